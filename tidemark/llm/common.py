@@ -78,3 +78,13 @@ def drop_cut(df: DataFrame) -> None:
 
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def draw(key: str, seed: int):
+    """A number in [0, 1) from a row's id, the same in every run."""
+    h = F.xxhash64(F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")))
+    return F.pmod(h, F.lit(1 << 53)).cast("double") / float(1 << 53)
+
+
+def share(wanted: int, there: int) -> float:
+    return 1.0 if there <= wanted else wanted / there

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import cut
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -58,31 +60,35 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, at_most: float =
     a third of all rows is so dealt over thousands of cells. Text is shuffled once, and only if the caller keeps it.
 
     Null text and text without words have size 0 and take 0 words; a source of size 0 gets target 0 and no copies.
-    A null source is a source of its own. Null ids and repeated rows are rows like any other. Columns of docs whose
+    Without a text column, docs must have size already. A null source is a source of its own. Null ids and repeated rows are rows like any other. Columns of docs whose
     names clash with the added ones (size, source_size, target, copies) are replaced.
     """
     added = ["size", "source_size", "target", "copies"]
-    docs = docs.drop(*added)
-    named = docs.withColumn("size", word_count())
-    totals = named.groupBy("source").agg(F.sum("size").alias("source_size"))
+    if "text" in docs.columns:
+        docs = docs.drop(*added)
+        named = docs.withColumn("size", word_count())
+        sized = cut(named.select("doc_id", "source", "size"))
+    else:
+        named = sized = docs.drop(*added[1:])
+    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     goal = targets(totals, weights, share, at_most)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     salt = _uniform(F.lit(f"{seed}|"), key) % spread
     size_class = F.floor(F.sqrt(F.col("size").cast("double")))
-    cells = named.withColumn("_class", size_class).withColumn("_salt", salt)
+    celled = lambda df: df.withColumn("_class", size_class).withColumn("_salt", salt)
     cell = ["source", "_class", "_salt"]
     along = W.partitionBy("source").orderBy("_class", "_salt").rowsBetween(W.unboundedPreceding, -1)
-    starts = cells.groupBy(*cell).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
+    starts = celled(sized).groupBy(*cell).agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(along), F.lit(0)))
     known = starts.join(goal, starts["source"].eqNullSafe(goal["source"])).select(
         starts["source"].alias("_source"), F.col("_class").alias("_c"), F.col("_salt").alias("_s"), "_before", "source_size", "target"
     )
     offset = _uniform(F.lit(f"{seed}|source|"), F.coalesce("_source", F.lit(""))) / F.lit(4294967296.0)
-    placed = cells.withColumn("_row", F.row_number().over(W.partitionBy(*cell).orderBy("size", "doc_id")))
+    placed = celled(named).withColumn("_row", F.row_number().over(W.partitionBy(*cell).orderBy("size", "doc_id")))
     joined = placed.join(known, placed["source"].eqNullSafe(known["_source"]) & (placed["_class"] == known["_c"]) & (placed["_salt"] == known["_s"]))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     edge = lambda place: F.floor(place * rate + offset)
     place = F.col("_before") + F.col("_row")
-    return joined.withColumn("copies", (edge(place) - edge(place - 1)).cast("long")).select(*docs.columns, *added)
+    return joined.withColumn("copies", (edge(place) - edge(place - 1)).cast("long")).select(*[c for c in docs.columns if c not in added], *added)
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

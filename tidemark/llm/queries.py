@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, mixing, packing
-from tidemark.llm.common import read
+from tidemark.llm import ann, chat, jaccard, langid, mixing, neardup, packing, quality, substring, toxicity
+from tidemark.llm.common import crc_mod, cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -27,7 +27,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(read(spark, sf_dir, "documents"))
+    sized = cut(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
+    mixed = mixing.mix(sized)
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
@@ -55,6 +56,82 @@ SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
 """
 
 
+@query
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = quality.train(docs, read(spark, sf_dir, "labels"), quality.may_teach())
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, text without repeated passages, their byte ranges in the old text, and the words they had."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring.without_repeats(docs).select("doc_id", "text", "removed", "removed_words")
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.train(docs, read(spark, sf_dir, "labels"), toxicity.may_teach())
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", (crc_mod("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar_groups(read(spark, sf_dir, "documents"))
+
+
+ORACLES["op5_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, ' ')]
+    ELSE list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')) END) AS sh FROM w),
+n AS (SELECT doc_id, len(sh)::BIGINT AS n_shingles FROM s),
+k AS (SELECT row_number() OVER () AS cls, sh, min(doc_id) AS rep, list(doc_id) AS ids FROM (SELECT doc_id, list_sort(sh) AS sh FROM s WHERE len(sh) > 0) GROUP BY sh),
+e AS (SELECT cls, rep, len(sh) AS n, hash(unnest(sh)) AS h FROM k),
+f AS (SELECT h FROM e GROUP BY h HAVING count(*) > 1),
+g AS (SELECT e.* FROM e JOIN f USING (h)),
+p AS (SELECT x.rep AS a, y.rep AS b FROM g x JOIN g y ON x.h = y.h AND x.cls < y.cls GROUP BY x.cls, y.cls, x.rep, y.rep, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))),
+b AS (SELECT a, b FROM p UNION SELECT b, a FROM p),
+c(node, comp) AS (SELECT rep, rep FROM k UNION SELECT b.b, c.comp FROM c JOIN b ON b.a = c.node WHERE c.comp < b.b),
+m AS (SELECT node, min(comp) AS comp FROM c GROUP BY node),
+z AS (SELECT unnest(ids) AS doc_id, comp FROM k JOIN m ON k.rep = m.node)
+SELECT n.doc_id, n_shingles, coalesce(z.comp, n.doc_id) AS component_id FROM n LEFT JOIN z USING (doc_id)
+"""
+
+
+@query
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = langid.train(docs, langid.may_teach())
+    found = langid.predict(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", (crc_mod("doc_id", 3) == 1).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(read(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0, top=20)
+
+
+@query
+def op10_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(read(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
+ORACLES["op10_embedding_near_dedup"] = r"""
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM g a JOIN g b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+n AS (SELECT a, count(*) AS n FROM p GROUP BY a),
+c(node, comp) AS (SELECT vec_id, vec_id FROM g UNION SELECT p.b, c.comp FROM c JOIN p ON p.a = c.node WHERE c.comp < p.b),
+m AS (SELECT node, min(comp) AS comp FROM c GROUP BY node)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, coalesce(m.comp, e.vec_id) AS component_id, coalesce(m.comp, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN n ON n.a = e.vec_id LEFT JOIN m ON m.node = e.vec_id
+"""
+
+
 @query
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

@@ -12,6 +12,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
 
+#: Letters by byte: A-Z, a-z and every byte of a character beyond ASCII.
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
+
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
@@ -52,15 +56,16 @@ class Words:
     """The words [^\\x20\\x09-\\x0D]+ of a block of texts with A-Z in lower case.
 
     raw: the bytes; start, end: byte ranges in raw; doc: the text of each word; begins: first byte of each text;
-    first: first word of each text, and their number at the end; hash: 64 bits of each word.
+    first: first word of each text, and their number at the end; hash: 64 bits of each word. With letters, words are
+    runs of letters instead.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = True):
+    def __init__(self, texts: list[bytes], lower: bool = True, letters: bool = False):
         self.raw = np.frombuffer(b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begins = np.concatenate([[0], np.cumsum(sizes)])
         n = len(self.raw)
-        solid = ~_SPACE[self.raw]
+        solid = _LETTER[self.raw] if letters else ~_SPACE[self.raw]
         edge = np.zeros(n + 1, bool)
         edge[self.begins] = True  # a text's end parts words too
         before = np.concatenate([[False], solid[:-1]]) & ~edge[:-1] if n else solid
@@ -70,8 +75,13 @@ class Words:
         self.first = np.searchsorted(self.start, self.begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
         data = (_LOWER[self.raw] if lower else self.raw).astype(np.uint64) + np.uint64(1)
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _powers(_P, n))])
-        self.hash = mix((total[self.end] - total[self.start]) * _powers(_PINV, n + 1)[self.start] + (self.end - self.start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        self._total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _powers(_P, n))])
+        self.hash = self.hash_of(self.start, self.end)
+
+    def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """64 bits of each byte range, by content alone."""
+        own = (self._total[end] - self._total[start]) * _powers(_PINV, len(self._total))[start]
+        return mix(own + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
