@@ -17,6 +17,8 @@ from tidemark.llm.text import Words, blocks
 POSITIVES, UNLABELLED = 4000, 8000
 #: Features that the classifier may keep.
 FEATURES = 20_000
+#: Standard errors by which a feature must be more frequent in positives than unlabelled text lets expect.
+SURE = 5.0
 _PREFIX = 5
 _SALT = np.uint64(0x5851F42D4C957F2D)
 
@@ -60,14 +62,16 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 400, rate: float = 0.05, decay: float = 1e-4) -> Model:
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 1000, rate: float = 0.05, decay: float = 2e-5) -> Model:
     """A linear classifier that minimises the class-prior-corrected risk, its negative part held at zero.
 
     risk = prior * E_positive[loss(+)] + max(0, E_unlabelled[loss(-)] - prior * E_positive[loss(-)]), with the logistic
-    loss. Where the bracket falls under zero, a step up its gradient undoes the overfit. Features are those that enough
-    positives have and that are at least three times as frequent there as in unlabelled text.
+    loss. Where the bracket falls under zero, a step up its gradient undoes the overfit. Features are those that
+    are three times as frequent in positives as in unlabelled text, and more frequent than that by SURE standard
+    errors. Texts with the same features count once, so that copies don't make their words telling.
     """
     prior = float(np.clip(prior, 1e-4, 0.9))
+    positive, unlabelled = ([np.frombuffer(d, np.uint32) for d in sorted({x.tobytes() for x in part})] for part in (positive, unlabelled))
     if not positive or not unlabelled:
         return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))))
     name, inverse = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
@@ -76,7 +80,8 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     in_p = np.bincount(inverse[rows < np_], minlength=len(name))
     in_u = np.bincount(inverse[rows >= np_], minlength=len(name))
     ratio = (in_p + 0.5) / np_ / ((in_u + 0.5) / nu)
-    good = np.flatnonzero((in_p >= max(3, np_ // 500)) & (ratio >= min(3.0, 0.5 / prior)))
+    expected = (in_u + 0.5) / nu * np_
+    good = np.flatnonzero((in_p - expected >= SURE * np.sqrt(expected + 1)) & (ratio >= min(3.0, 0.5 / prior)))
     good = np.sort(good[np.argsort(-ratio[good] * np.sqrt(in_p[good]), kind="stable")[:FEATURES]])
     column = np.full(len(name), -1)
     column[good] = np.arange(len(good))
