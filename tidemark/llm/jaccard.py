@@ -2,15 +2,19 @@
 
 1. One pass over the texts cuts the global shingle order into fragments (ranges of the shingle's hash). Every block of
    documents sends each fragment one packed row: which of its documents hold which shingles there.
-2. Each fragment counts, on its own, how many documents hold each of its shingles, and sends back those that more than
-   one holds. A document whose shared shingles are under the threshold of its set can link with nothing and drops out.
-3. The others are collapsed to classes of equal sets. In order of rising document count, a class's first
-   n - ceil(t * n) + 1 shingles are its prefix; two classes that link share one of them, and shingles of one document,
-   which come first, need not be looked up. Frequent passages stand last in the order and so seldom meet here.
+2. Each fragment counts, on its own, how many different sets hold each of its shingles, and sends back those that more
+   than one holds, for one document of each set. A set whose shared shingles are under the threshold can link with
+   nothing and drops out; the others are classes.
+3. In order of rising count, a class's first n - ceil(t * n) + 1 shingles are its prefix; two classes that link share
+   one of them, and shingles of one class, which come first, need not be looked up. Frequent passages stand last in
+   the order and so seldom meet here.
 4. Candidate pairs are checked exactly: each fragment counts the pair's partial overlap, the counts are summed by pair.
+   No overlap exceeds the lesser number of shared shingles, and no two sets differ in fewer shingles than in bits of
+   a parity bitmap, so pairs that these bounds rule out aren't candidates.
 
-Only components are wanted, so a bucket of classes that share a prefix shingle isn't expanded into all pairs: its most
-central class is compared with the rest, and further ones only where the bucket still spans several components.
+Only components are wanted, so a bucket of classes that share a prefix shingle isn't expanded into all pairs: first each
+class is compared with one hub, the most central class that it meets; then, in buckets that still span several
+components, with more and more hubs, most central first, until all are through or one component is left.
 """
 
 from __future__ import annotations
@@ -30,14 +34,20 @@ from tidemark.llm.text import set_digest, shingle_sets
 #: Shingles that one block of documents holds before it is sent out, and documents in it at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 60_000
 #: Fragments in which the overlaps of candidate pairs are counted.
-CHECK_FRAGMENTS = 8
-#: Further hubs of a bucket that one round compares with the rest of it.
-HUBS = 32
+CHECK_FRAGMENTS = 4
+#: Hubs of a bucket that the second round compares with the rest of it; each later round takes GROWTH times as many.
+HUBS, GROWTH = 256, 16
 
 _KEY = np.uint64(48)
 _ENTRY = np.dtype([("key", "<u4"), ("high", "<u2"), ("doc", "<u2")])
 _SHARED = np.dtype([("token", "<u8"), ("count", "<u4"), ("doc", "<u2")])
-_META = np.dtype([("n", "<i8"), ("d1", "<i8"), ("d2", "<i8")])
+_META = np.dtype([("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("bits", "<i8", 16)])
+
+
+def parity_bits(hashes: np.ndarray) -> np.ndarray:
+    """1024 bits, each the parity of the number of hashes that fall on it. Sets differ in at least as many hashes as bits."""
+    odd = np.bincount((hashes >> np.uint64(5)).astype(np.int64) & 1023, minlength=1024) & 1
+    return np.packbits(odd.astype(bool)).view("<i8")
 
 
 def _texts(batch: pa.RecordBatch, column: int) -> list[bytes]:
@@ -71,8 +81,10 @@ def _send(docs: DataFrame, size: int, fragments: int) -> DataFrame:
         entry["key"], entry["high"], entry["doc"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32), doc[order]
         frags, at = np.unique(frag[order], return_index=True)
         ends = [*at[1:], len(every)]
-        rows = [(int(f), block, 0, entry[a:b].tobytes()) for f, a, b in zip(frags, at, ends, strict=True)]
-        rows.append((block % fragments, block, 1, np.array(meta, _META).tobytes()))
+        known = np.array(meta, _META)
+        head = np.uint32(len(known)).tobytes() + known["d1"].tobytes()
+        rows = [(int(f), block, 0, head + entry[a:b].tobytes()) for f, a, b in zip(frags, at, ends, strict=True)]
+        rows.append((block % fragments, block, 1, known.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["frag", "block", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +100,7 @@ def _send(docs: DataFrame, size: int, fragments: int) -> DataFrame:
                 if not len(s) or (m := (len(s), *set_digest(s))) in seen:
                     continue
                 seen.add(m)
-                meta.append(m)
+                meta.append((*m, parity_bits(s)))
                 sets.append(s)
                 total += len(s)
                 if total >= BLOCK_SHINGLES or len(sets) >= BLOCK_DOCS:
@@ -106,23 +118,35 @@ def mixed_low(h: np.ndarray) -> np.ndarray:
 
 
 def _count(rows: DataFrame) -> DataFrame:
-    """Per fragment: entries whose shingle more than one document of the fragment's rows holds, back by block."""
+    """Per fragment: entries whose shingle more than one set holds, back to the first block that has the set."""
 
     def run(table: pa.Table) -> pa.Table:
         frag, block, kind = (table.column(i).to_numpy() for i in range(3))
         data = table.column(3).to_pylist()
-        keep = [i for i in range(len(data)) if kind[i] == 1]
-        out = [(int(block[i]), 1, data[i]) for i in keep]
-        parts = [i for i in range(len(data)) if kind[i] == 0]
+        out = [(int(block[i]), 1, data[i]) for i in range(len(data)) if kind[i] == 1]
+        parts = sorted((i for i in range(len(data)) if kind[i] == 0), key=lambda i: block[i])
         if parts:
-            entries = [np.frombuffer(data[i], _ENTRY) for i in parts]
-            every = np.concatenate(entries)
-            of = np.repeat(np.arange(len(parts)), [len(e) for e in entries])
-            del data, entries
+            every = [np.frombuffer(data[i], _ENTRY, offset=4 + 8 * int(np.frombuffer(data[i], "<u4", 1)[0])) for i in parts]
+            digests_ = [np.frombuffer(data[i], "<i8", int(np.frombuffer(data[i], "<u4", 1)[0]), 4) for i in parts]
+            of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(e) for e in every])
+            every = np.concatenate(every)
             token = (every["high"].astype(np.uint64) << np.uint64(32)) | every["key"]
             order = np.argsort(token, kind="stable")
-            token, of, doc = token[order], of[order], every["doc"][order]
-            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            token = token[order]
+            again = token[1:] == token[:-1]
+            many = np.concatenate([[False], again]) | np.concatenate([again, [False]])
+            order, token = order[many], token[many]
+            of, doc = of[order], every["doc"][order]
+            del every
+            base = np.cumsum([0, *map(len, digests_)])
+            set_ = np.concatenate(digests_)[base[of] + doc]
+            # by shingle and set; of a set's documents that of the first block stands first
+            order = np.lexsort((set_, token))
+            token, of, doc, set_ = token[order], of[order], doc[order], set_[order]
+            new = np.ones(len(token), bool)
+            new[1:] = (token[1:] != token[:-1]) | (set_[1:] != set_[:-1])
+            token, of, doc = token[new], of[new], doc[new]
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]])) if len(token) else np.zeros(0, int)
             count = np.diff(np.concatenate([first, [len(token)]]))
             count = np.repeat(count, count)
             many = count > 1
@@ -141,7 +165,7 @@ def _count(rows: DataFrame) -> DataFrame:
 
 
 def _survivors(rows: DataFrame, fragments: int, percent: int) -> DataFrame:
-    """(n, d1, d2, central, prefix, segments) of the block's documents that enough shared shingles are left to link."""
+    """(n, d1, d2, have, bits, central, prefix, segments) of the block's sets that have enough shared shingles to link."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, data = table.column(1).to_numpy(), table.column(2).to_pylist()
@@ -162,13 +186,14 @@ def _survivors(rows: DataFrame, fragments: int, percent: int) -> DataFrame:
                 tokens = np.sort(own["token"].astype(np.int64))
                 lane = (tokens >> 48) * CHECK_FRAGMENTS // fragments
                 cuts = np.searchsorted(lane, np.arange(1, CHECK_FRAGMENTS))
-                central = float(np.log(own["count"]).sum()) / n
-                out.append((n, int(meta["d1"][i]), int(meta["d2"][i]), central, own["token"][:take].astype(np.int64), np.split(tokens, cuts)))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
-        cols = list(zip(*out, strict=True)) if out else [()] * 6
-        return pa.table([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["n", "d1", "d2", "central", "prefix", "segments"])
+                common = float(np.log(own["count"]).mean())
+                central = len(own) / n + 0.001 * common / (1 + common)
+                out.append((n, int(meta["d1"][i]), int(meta["d2"][i]), len(own), meta["bits"][i], central, own["token"][:take].astype(np.int64), np.split(tokens, cuts)))
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
+        cols = list(zip(*out, strict=True)) if out else [()] * 8
+        return pa.table([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["n", "d1", "d2", "have", "bits", "central", "prefix", "segments"])
 
-    return rows.groupBy("block").applyInArrow(run, "n long, d1 long, d2 long, central double, prefix array<long>, segments array<array<long>>")
+    return rows.groupBy("block").applyInArrow(run, "n long, d1 long, d2 long, have long, bits array<long>, central double, prefix array<long>, segments array<array<long>>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -182,34 +207,49 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _buckets(sets: DataFrame) -> DataFrame:
-    """(token, rep, n, place, many): classes by prefix shingle where several share it, the most central first."""
-    entries = sets.select(F.explode("prefix").alias("token"), "rep", "n", "central")
+    """(token, rep, n, have, central, many): classes by prefix shingle where several share it."""
+    entries = sets.select(F.explode("prefix").alias("token"), "rep", "n", "have", "central")
     many = entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
     return entries.join(many, "token")
 
 
+def _may_link(percent: int):
+    """Whether rep and hub may link by their sizes and shared shingles."""
+    low = F.least("have", "hub_have")
+    return (F.col("rep") != F.col("hub")) & (100 * low >= percent * (F.col("n") + F.col("hub_n") - low))
+
+
+def _near_bits(percent: int):
+    """Whether the parity bitmaps of rep and hub differ in no more bits than linked sets differ in shingles."""
+    apart = sum((F.bit_count(F.col("bits")[i].bitwiseXOR(F.col("hub_bits")[i])) for i in range(16)), F.lit(0))
+    return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("hub_n"))
+
+
 def members(classes: DataFrame, percent: int, given: DataFrame) -> DataFrame:
-    """(node, component) for all classes that links or the given edges touch. classes: rep, n, central, prefix, segments."""
+    """(node, component) for all classes that links or the given edges touch. classes: rep, n, have, bits, central, prefix, segments."""
     buckets = cut(_buckets(classes))
     rank = W.partitionBy("token").orderBy(F.desc("central"), F.desc("rep"))
-    fits = (100 * F.col("n") >= percent * F.col("hub_n")) & (100 * F.col("hub_n") >= percent * F.col("n"))
-    hub = F.max_by(F.struct("rep", "n"), F.struct("central", "rep"))
-    hubs = buckets.groupBy("token").agg(hub.alias("hub")).select("token", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"))
     ordered = lambda df: df.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
-    tried = cut(ordered(buckets.join(hubs, "token").where(fits & (F.col("rep") != F.col("hub")))))
+    top = F.max_by(F.struct("rep", "n", "have", "central"), F.struct("central", "rep"))
+    hubs = buckets.groupBy("token").agg(top.alias("hub")).select("token", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.have").alias("hub_have"), F.col("hub.central").alias("hub_central"))
+    met = buckets.join(hubs, "token").where(_may_link(percent))
+    best = met.groupBy("rep").agg(F.max_by("hub", F.struct("hub_central", "hub")).alias("hub"))
+    tried = cut(ordered(best))
     found = cut(_linked(tried, classes, percent).union(given))
     member = components(found)
-    done = 1
+    done = 0
     while True:
         label = F.coalesce("component", "rep")
-        labelled = buckets.where(F.col("many") > done).join(member, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "central", label.alias("component"))
+        labelled = buckets.where(F.col("many") > done).join(member, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "have", "central", label.alias("component"))
         span = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        still = cut(labelled.join(span.where("low <> high").select("token"), "token"))
+        still = labelled.join(span.where("low <> high").select("token"), "token")
+        still = cut(still.join(classes.select("rep", "bits"), "rep"))
         if still.isEmpty():
             return member
-        near = still.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= done + HUBS)
-        near = near.where(F.col("place") > done).select("token", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("component").alias("hub_component"))
-        pairs = ordered(still.join(near, "token").where(fits & (F.col("component") != F.col("hub_component"))))
+        upto = HUBS if not done else done * GROWTH
+        near = still.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= upto).where(F.col("place") > done)
+        near = near.select("token", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("have").alias("hub_have"), F.col("bits").alias("hub_bits"), F.col("component").alias("hub_component"))
+        pairs = ordered(still.join(near, "token").where(_may_link(percent) & _near_bits(percent) & (F.col("component") != F.col("hub_component"))))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             new = cut(_linked(pairs, classes, percent))
@@ -217,7 +257,7 @@ def members(classes: DataFrame, percent: int, given: DataFrame) -> DataFrame:
             if not new.isEmpty():
                 found = cut(found.union(new))
                 member = components(found)
-        done += HUBS
+        done = upto
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, fragments: int | None = None) -> DataFrame:
@@ -237,8 +277,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, fragments:
     key = ["n", "d1", "d2"]
     real = meta.where("n > 0 and doc_id is not null")
     classes = real.groupBy(*key).agg(F.min("doc_id").alias("smallest")).withColumn("rep", F.xxhash64(*key))
-    left = _survivors(_count(_send(known.where("text is not null"), size, fragments)), fragments, percent).dropDuplicates(key)
-    sets = cut(left.withColumn("rep", F.xxhash64(*key)).select("rep", "n", "central", "prefix", "segments"))
+    left = _survivors(_count(_send(known.where("text is not null"), size, fragments)), fragments, percent)
+    sets = cut(left.withColumn("rep", F.xxhash64(*key)).select("rep", "n", "have", "bits", "central", "prefix", "segments"))
     # an id that several texts carry joins their classes
     ids = real.select("doc_id", F.xxhash64(*key).alias("rep")).distinct()
     several = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("doc_id", "b")

@@ -167,7 +167,7 @@ def _repeats(rows: DataFrame) -> DataFrame:
         new = np.ones(len(places), bool)
         new[1:] = (places["id"][1:] != places["id"][:-1]) | (places["tag"][1:] != places["tag"][:-1])
         at = np.flatnonzero(new)
-        blobs = [places["place"][a:b].tobytes() for a, b in zip(at, [*at[1:], len(places)], strict=True)]
+        blobs = [places["place"][a:b].tobytes() for a, b in zip(at, [*at[1:], len(places)][: len(at)], strict=True)]
         return pa.table({"_id": pa.array(places["id"][at], pa.int64()), "_tag": pa.array(places["tag"][at].astype(np.int64), pa.int64()), "places": pa.array(blobs, pa.binary())})
 
     return rows.groupBy("frag").applyInArrow(run, "_id long, _tag long, places binary")
