@@ -8,7 +8,12 @@ from pyspark.sql import functions as F
 from tidemark.catalog import query, read
 from tidemark.operators.relational import as_of_join, exact_sum, range_join, salted_sum, small, top_k
 
-DISC = F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+
+
+def disc():
+    return F.col("l_extendedprice").cast("decimal(18,2)") * (1 - F.col("l_discount").cast("decimal(4,2)"))
+
+
 SQL_DISC = "l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(4,2))"
 
 
@@ -18,7 +23,7 @@ SQL_DISC = "l_extendedprice::DECIMAL(18,2) * (1 - l_discount::DECIMAL(4,2))"
 def agg_group_by(spark, sf):
     li = read(spark, sf, "lineitem").where(F.col("l_shipdate") <= F.lit("2000-09-02").cast("timestamp"))
     return li.groupBy("l_returnflag", "l_linestatus").agg(
-        exact_sum("l_quantity", 2).alias("sum_qty"), exact_sum("l_extendedprice", 2).alias("sum_price"), F.sum(DISC).cast("double").alias("sum_disc"), F.count("*").alias("n")
+        exact_sum("l_quantity", 2).alias("sum_qty"), exact_sum("l_extendedprice", 2).alias("sum_price"), F.sum(disc()).cast("double").alias("sum_disc"), F.count("*").alias("n")
     )
 
 
@@ -71,7 +76,7 @@ def agg_statistics(spark, sf):
 
 @query(f"""SELECT l_suppkey, sum({SQL_DISC})::DOUBLE AS total FROM lineitem GROUP BY l_suppkey""")
 def agg_salted(spark, sf):
-    return salted_sum(read(spark, sf, "lineitem").select("l_suppkey", DISC.alias("v")), "l_suppkey", F.col("v"))
+    return salted_sum(read(spark, sf, "lineitem").select("l_suppkey", disc().alias("v")), "l_suppkey", F.col("v"))
 
 
 @query("""SELECT n_name, r_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')""")
@@ -290,4 +295,4 @@ def star_join(spark, sf):
     when = o.where((F.col("o_orderdate") >= F.lit("1996-01-01").cast("timestamp")) & (F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp")))
     bought = when.join(c, c.c_custkey == o.o_custkey).select("o_orderkey", "c_nationkey")
     lines = li.join(bought, li.l_orderkey == bought.o_orderkey).join(sold, (li.l_suppkey == sold.s_suppkey) & (F.col("c_nationkey") == F.col("s_nationkey")))
-    return lines.groupBy("n_name").agg(F.sum(DISC).cast("double").alias("revenue"))
+    return lines.groupBy("n_name").agg(F.sum(disc()).cast("double").alias("revenue"))
