@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, prepare
-from tidemark.llm.graph import components
+from tidemark.llm.graph import components, smallest_reached
 from tidemark.llm.vectors import grow, leaves, matrix, sample, usable
 
 #: Trees, rows that a leaf should have, and the distance to a plane within which a row goes to both sides.
@@ -20,21 +20,6 @@ TREES, LEAF, SPILL = 10, 400, 0.02
 BLOCK = 2000
 
 
-def _connected(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
-    """The smallest row that each of n rows reaches over the links a-b."""
-    label = np.arange(n)
-    while len(a):
-        low = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, low)
-        np.minimum.at(new, b, low)
-        new = new[new]
-        if (new == label).all():
-            break
-        label = new
-    return label
-
-
 def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 10) -> DataFrame:
     """(vec_id, n_links, component_id, kept), a row for each row of rows.
 
@@ -115,7 +100,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = TREES,
                 pa_.append(a)
                 pb_.append(b)
         a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (pa_, pb_))
-        label = _connected(a, b, len(rep))
+        label = smallest_reached(a, b, len(rep))
         lowest = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(lowest, label, rep)
         # pairs whose first shared leaf is this one: no earlier leaf of the one is an earlier leaf of the other
