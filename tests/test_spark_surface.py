@@ -54,6 +54,15 @@ def test_exports(spark, shop, tmp_path):
         export.sql_script(shop, "shop", "select")
     export.write_csv(shop, str(tmp_path))
     assert spark.read.option("header", True).csv(str(tmp_path / "summary")).first()["errors"] == "1"
+    import io
+    import zipfile
+
+    assert len(zipfile.ZipFile(io.BytesIO(export.csv_zip(shop, "shop"))).namelist()) == 7
+    export.write_xlsx(shop, "shop", str(tmp_path / "x.xlsx"))
+    sheet = zipfile.ZipFile(tmp_path / "x.xlsx").read("xl/worksheets/sheet8.xml").decode()
+    assert "raw_orders" in sheet and ">w<" in sheet
+    export.duckdb_file(shop, "shop", str(tmp_path / "x.duckdb"))
+    assert duckdb.connect(str(tmp_path / "x.duckdb")).sql("select count(*) from edges").fetchall()[0][0] > 20
     assert export.file_name("my shop!", "2024-01-01T10:00", "csv") == "my-shop-2024-01-01T10-00.csv"
 
 

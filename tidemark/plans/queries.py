@@ -185,3 +185,31 @@ def lineage_aggregations(spark, sf):
     t = project(spark).tables
     n = t["nodes"].select("project_id", "statement_id", F.col("id").alias("node_id"), "qualified_name")
     return t["aggregations"].join(n, ["project_id", "statement_id", "node_id"]).select("qualified_name", "is_grouping_key", "function", "is_distinct")
+
+
+@query("""SELECT * FROM (VALUES ('01_staging.sql', '02_model.sql', 'stg_orders,stg_users'), ('02_model.sql', '03_report.sql', 'user_totals'), ('01_staging.sql', '04_clean.sql', 'stg_users'),
+  ('03_report.sql', '04_clean.sql', 'report'), ('04_clean.sql', '03_report.sql', 'report')) v(producer, consumer, tables)""")
+def lineage_script_dependencies(spark, sf):
+    return G.script_dependencies(project(spark).tables).select("producer", "consumer", F.array_join("tables", ",").alias("tables"))
+
+
+@query("""SELECT 10 AS statements, 1 AS joins, 9 AS tables, 1 AS errors""")
+def lineage_summary(spark, sf):
+    from tidemark.sources.export import summary
+
+    return summary(project(spark).tables).select(F.col("statements").cast("int").alias("statements"), F.col("joins").cast("int").alias("joins"), F.col("tables").cast("int").alias("tables"), F.col("errors").cast("int").alias("errors"))
+
+
+@query("""SELECT * FROM (VALUES ('raw_orders', 'amount', 'stg_orders', 'cents', 'derivation'), ('raw_users', 'email', 'stg_users', 'email', 'derivation'), ('stg_orders', 'cents', 'paid', 'total', 'derivation'),
+  ('stg_orders', 'order_id', 'paid', 'orders', 'derivation'), ('user_totals', 'total', 'report', 'revenue', 'derivation')) v(source_table, source_column, target_table, target_column, edge_type)""")
+def lineage_export_mappings(spark, sf):
+    from tidemark.sources.export import column_mappings
+
+    return column_mappings(project(spark).tables).where("edge_type = 'derivation'").drop("project_id", "expression").distinct()
+
+
+@query("""SELECT * FROM (VALUES ('raw_orders', 'imported', 4), ('raw_users', 'imported', 3), ('stg_users', 'implied', 3), ('user_totals', 'implied', 5), ('dim_users', 'implied', 2), ('report', 'implied', 1)) v(name, resolution_source, columns)""")
+def lineage_resolved_schema(spark, sf):
+    p = project(spark)
+    c = p.schema_columns.groupBy("project_id", F.col("table_id").alias("id")).agg(F.count("*").cast("int").alias("columns"))
+    return p.schema_tables.join(c, ["project_id", "id"]).select("name", "resolution_source", "columns")

@@ -137,3 +137,70 @@ def file_name(project: str, stamp: str, kind: str) -> str:
     """project-stamp.kind with what file systems dislike replaced."""
     clean = re.sub(r"[^A-Za-z0-9._-]+", "-", project).strip("-.") or "lineage"
     return f"{clean}-{re.sub(r'[^0-9A-Za-z]+', '-', stamp)}.{kind}"
+
+
+def csv_zip(t: Tables, project: str) -> bytes:
+    """The bundle of one project as a zip of CSV files."""
+    import csv
+    import io
+    import zipfile
+
+    only = {k: df.where(F.col("project_id") == project) for k, df in t.items()}
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, df in bundle(only).items():
+            df = df.drop("project_id")
+            text = io.StringIO()
+            rows = csv.writer(text)
+            rows.writerow(df.columns)
+            # a cell that a spreadsheet would run as a formula gets a quote in front
+            rows.writerows([("'" + v if isinstance(v, str) and v[:1] in "=+-@" else v) for v in r] for r in df.orderBy(*df.columns).toLocalIterator())
+            z.writestr(f"{name}.csv", text.getvalue())
+    return out.getvalue()
+
+
+def matrix(t: Tables) -> DataFrame:
+    """The dependency matrix of tables: one row an item, one column an item."""
+    from tidemark.operators.graph import dependency_matrix
+
+    cells = dependency_matrix(VIEWS["table_dependencies"](t), "source_table", "target_table")
+    return cells.groupBy("project_id", "row").pivot("column").agg(F.first("cell"))
+
+
+def write_xlsx(t: Tables, project: str, path: str) -> None:
+    """A workbook of one project with a sheet for each table of the bundle and the dependency matrix; plain cells only."""
+    import zipfile
+
+    only = {k: df.where(F.col("project_id") == project) for k, df in t.items()}
+    sheets = {**bundle(only), "dependency_matrix": matrix(only)}
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    rel = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    clean = lambda v: re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f]", " ", str(v))[:32767]
+
+    def cell(v: object) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, (int, float)) and not isinstance(v, bool):
+            return f"<c><v>{v}</v></c>"
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{html.escape(clean(v))}</t></is></c>'
+
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        kinds = "".join(f'<Override PartName="/xl/worksheets/sheet{i + 1}.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.worksheet+xml"/>' for i in range(len(sheets)))
+        z.writestr("[Content_Types].xml", '<?xml version="1.0"?><Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/>'
+                   f'<Override PartName="/xl/workbook.xml" ContentType="application/vnd.openxmlformats-officedocument.spreadsheetml.sheet.main+xml"/>{kinds}</Types>')
+        package = "http://schemas.openxmlformats.org/package/2006/relationships"
+        z.writestr("_rels/.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}"><Relationship Id="r1" Type="{rel}/officeDocument" Target="xl/workbook.xml"/></Relationships>')
+        z.writestr("xl/_rels/workbook.xml.rels", f'<?xml version="1.0"?><Relationships xmlns="{package}">' + "".join(f'<Relationship Id="r{i + 1}" Type="{rel}/worksheet" Target="worksheets/sheet{i + 1}.xml"/>' for i in range(len(sheets))) + "</Relationships>")
+        z.writestr("xl/workbook.xml", f'<?xml version="1.0"?><workbook xmlns="{main}" xmlns:r="{rel}"><sheets>' + "".join(f'<sheet name="{n[:31]}" sheetId="{i + 1}" r:id="r{i + 1}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>")
+        for i, df in enumerate(sheets.values()):
+            df = df.drop("project_id")
+            rows = ["".join(map(cell, df.columns)), *("".join(map(cell, r)) for r in df.orderBy(*df.columns).toLocalIterator())]
+            z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>' + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
+
+
+def duckdb_file(t: Tables, project: str, path: str) -> None:
+    """One project's tables in a DuckDB file; needs the duckdb client."""
+    import duckdb
+
+    with duckdb.connect(path) as c:
+        c.execute(sql_script(t, project))
