@@ -103,3 +103,24 @@ def test_watch_folder(spark, tmp_path):
     for _ in range(2):
         watch_scripts(spark, str(tmp_path / "in"), out, str(tmp_path / "check")).awaitTermination()
     assert spark.read.parquet(out).where("kind = 'statements'").count() == 1
+
+
+def test_rules_and_custom_functions(spark):
+    from pyspark.sql import functions as F
+
+    from tidemark.functions import catalog, custom
+
+    assert catalog.spark_sql("timestamp_add", "t", "3") == "timestampadd(DAY, 3, t)" or "timestampadd" in catalog.spark_sql("timestamp_add", "t", "3")
+    assert catalog.spark_sql("greatest_ignore_nulls", "a", "b") == "greatest(a, b)" and catalog.spark_sql("lax_int64", "x") == "try_cast(x AS bigint)"
+    row = spark.sql("""SELECT '{"a": {"b": [1, null]}, "c": null}' AS j, 'abc' AS t, array('x', 'y') AS w, 48.85 AS la, 2.35 AS lo, '10.0.0.1' AS ip""")
+    got = row.select(
+        custom.call("json_set", F.col("j"), F.lit("$.a.d"), F.lit("5")).alias("s"), custom.call("json_remove", F.col("j"), F.lit("$.a")).alias("r"), custom.call("json_strip_nulls", F.col("j")).alias("n"),
+        custom.call("json_keys_at_depth", F.col("j"), F.lit(2)).alias("k"), custom.call("from_base32", custom.call("to_base32", F.col("t").cast("binary"))).cast("string").alias("b"), custom.call("normalize", F.lit("é"), F.lit("NFC")).alias("u"),
+        custom.call("decompress_string", custom.call("compress", F.col("t").cast("binary"))).alias("z"), custom.call("parse_ip", F.col("ip")).alias("ip"), custom.call("code_points_to_string", custom.call("to_code_points", F.col("t"))).alias("cp"),
+        custom.haversine(F.col("la"), F.col("lo"), F.lit(51.5), F.lit(-0.12)).alias("d"), custom.similarity(custom.minhash(F.col("w")), custom.minhash(F.reverse("w"))).alias("sim"), F.expr(catalog.spark_sql("json_extract_scalar", "j", "'$.a.b[0]'")).alias("e"),
+        F.expr(catalog.spark_sql("sech", "0")).alias("h"), F.expr(catalog.spark_sql("is_ascii", "t")).alias("asc"),
+    ).first()
+    assert '"d": 5' in got.s and got.r == '{"c": null}' and got.n == '{"a": {"b": [1, null]}}' and got.k == ["a", "a.b", "c"] and got.b == got.z == got.cp == "abc"
+    assert got.u == "é" and got.ip == "10.0.0.1" and 340_000 < got.d < 347_000 and got.sim == 1 and got.e == "1" and got.h == 1 and got.asc
+    frame = catalog.coverage(spark, ["upper", "arg_max", "coth", "json_set", "ai_agg", "sum"])
+    assert {r.name: r.spark is not None for r in frame.collect()} == {"upper": True, "arg_max": True, "coth": True, "json_set": True, "ai_agg": False, "sum": True}

@@ -34,6 +34,13 @@ RENAMED = {
     "string_to_array": "split($1, $2)", "str_to_map": "str_to_map($1)", "str_to_time": "to_timestamp($1, $2)", "time_to_str": "date_format($1, $2)", "unix_to_time": "timestamp_seconds($1)", "time_to_unix": "unix_timestamp($1)",
     "safe_divide": "try_divide($1, $2)", "safe_add": "try_add($1, $2)", "safe_subtract": "try_subtract($1, $2)", "safe_multiply": "try_multiply($1, $2)", "regexp_i_like": "rlike(lower($1), lower($2))", "md5_digest": "unhex(md5($1))",
     "sha": "sha1($1)", "sha2_digest": "unhex(sha2($1, 256))", "farm_fingerprint": "xxhash64($1)", "square": "($1 * $1)", "int_div": "($1 DIV $2)", "nullif0": "nullif($1, 0)", "zeroifnull": "coalesce($1, 0)", "nvl2": "nvl2($1, $2, $3)",
+    "approx_quantiles": "percentile_approx($1, array($2))", "bitwise_count": "bit_count($1)", "byte_length": "octet_length($1)", "day_of_week_iso": "(weekday($1) + 1)", "exploding_generate_series": "explode(sequence($1, $2))", "format": "format_string($*)",
+    "from_base": "conv($1, $2, 10)", "stuff": "overlay($1, $4, $2, $3)", "is_ascii": "rlike($1, '^[\\\\x00-\\\\x7F]*$')", "lower_hex": "lower(hex($1))", "object_insert": "map_concat($1, map($2, $3))", "previous_day": "(next_day($1, $2) - 7)",
+    "range_bucket": "size(filter($2, b -> b <= $1))", "regexp_full_match": "rlike($1, concat('^(?:', $2, ')$'))", "regexp_split": "split($1, $2)", "rtrimmed_length": "char_length(rtrim($1))", "safe_negate": "try_subtract(0, $1)", "soundex_p123": "soundex($1)",
+    "standard_hash": "sha1($1)", "to_map": "map_from_arrays($1, $2)", "star_map": "map_from_arrays($1, $2)", "week": "weekofyear($1)", "search": "contains($1, $2)", "match_against": "contains($1, $2)", "list": "array($*)", "to_array": "array($*)",
+    "time_from_parts": "make_time($1, $2, $3)", "number_to_str": "format_number($1, $2)", "unnest": "explode($1)", "convert_to_charset": "decode(encode($1, $2), $2)", "array_construct_compact": "array_compact(array($*))", "date_bin": "window($2, $1).start", "time_slice": "window($1, $2).start",
+    "regr_valx": "CASE WHEN $1 IS NOT NULL THEN $2 END", "regr_valy": "CASE WHEN $2 IS NOT NULL THEN $1 END", "generate_timestamp_array": "sequence($1, $2, $3)", "get_extract": "element_at($1, $2)", "safe_convert_bytes_to_string": "try_validate_utf8(cast($1 as string))",
+    "is_null_value": "is_variant_null($1)", "exists": "exists($1, $2)", "apply": "transform($1, $2)", "xml_element": "to_xml(struct($1))", "decode_case": "decode($*)", "try": "$1", "range_n": "(floor(($1 - $2) / $3) + 1)",
     "last_day": "last_day($1)", "months_between": "months_between($1, $2)", "to_days": "datediff($1, DATE '0001-01-01')", "var_map": "map_from_arrays($1, $2)", "struct_extract": "$1.$2", "unicode": "ascii($1)", "chr": "char($1)", "hex_string": "hex($1)",
     "levenshtein_distance": "levenshtein($1, $2)", "jarowinkler_similarity": "NULL", "xor": "(($1 AND NOT $2) OR (NOT $1 AND $2))", "space": "repeat(' ', $1)", "pad": "lpad($1, $2, $3)", "euclidean_distance": "sqrt(aggregate(zip_with($1, $2, (a, b) -> (a - b) * (a - b)), 0D, (s, x) -> s + x))",
 }
@@ -44,6 +51,66 @@ ABSENT = set(
 )
 
 
+#: Types by the names that casting functions carry.
+_CASTS = {"float64": "double", "double": "double", "int64": "bigint", "bool": "boolean", "string": "string", "bignumeric": "decimal(38,9)", "numeric": "decimal(38,9)", "str_type": "string"}
+_UNIT = {"add": "timestampadd({u}, $2, $1)", "sub": "timestampadd({u}, -($2), $1)", "diff": "timestampdiff({u}, $2, $1)", "trunc": "date_trunc($2, $1)"}
+_TO = {
+    "date": "to_date($1)", "time": "to_timestamp($1)", "datetime": "to_timestamp($1)", "timestamp": "to_timestamp($1)", "unix": "unix_timestamp($1)", "date_str": "date_format($1, 'yyyy-MM-dd')",
+    "time_str": "cast($1 as string)", "di": "cast(date_format($1, 'yyyyMMdd') as int)", "str": "cast($1 as string)",
+}
+_JSON = {
+    "extract": "get_json_object($1, $2)", "extract_scalar": "get_json_object($1, $2)", "exists": "(get_json_object($1, $2) IS NOT NULL)", "extract_array": "from_json(get_json_object($1, $2), 'array<string>')",
+    "value_array": "from_json(get_json_object($1, $2), 'array<string>')", "array": "to_json(array($*))", "array_agg": "to_json(collect_list($1))", "object": "to_json(map($*))", "object_agg": "to_json(map_from_entries(collect_list(struct($1, $2))))",
+    "cast": "parse_json($1)", "type": "schema_of_variant(parse_json($1))", "contains": "array_contains(from_json($1, 'array<string>'), cast($2 as string))", "array_contains": "array_contains(from_json($1, 'array<string>'), cast($2 as string))",
+    "contains_all_top_keys": "(size(array_except($2, json_object_keys($1))) = 0)", "contains_any_top_keys": "arrays_overlap($2, json_object_keys($1))",
+}
+_CODEC = {"base64": ("base64($1)", "unbase64($1)"), "hex": ("hex($1)", "unhex($1)")}
+
+
+def by_rule(name: str) -> str | None:
+    """Spark SQL for names that follow a pattern: casts, date parts, codecs, JSON, reciprocals, null-ignoring forms."""
+    n = name.lower()
+    if m := re.fullmatch(r"(?:lax_|json_|parse_|cast_to_|to_|try_to_)?(\w+)", n):
+        if m[1] in _CASTS and n not in ("string", "double"):
+            return f"try_cast($1 AS {_CASTS[m[1]]})" if n.startswith(("lax_", "try_")) else f"cast($1 AS {_CASTS[m[1]]})"
+    if m := re.fullmatch(r"(?:date|datetime|timestamp|time|ts_or_ds)_(add|sub|diff|trunc)", n):
+        return _UNIT[m[1]].format(u="DAY" if n.startswith(("date", "ts")) else "SECOND")
+    if m := re.fullmatch(r"(?:ts_or_ds|ts_or_di|str|time_str|time|date|parse|from_iso8601)_?(?:to_)?(date_str|time_str|datetime|timestamp|date|time|unix|di|str)", n):
+        return _TO[m[1]]
+    if m := re.fullmatch(r"unix_to_(str|time_str)", n):
+        return "from_unixtime($1)"
+    if n == "di_to_date":
+        return "to_date(cast($1 as string), 'yyyyMMdd')"
+    if m := re.fullmatch(r"jsonb?_(\w+)", n):
+        return _JSON.get(m[1])
+    if m := re.fullmatch(r"(?:try_)?(?:to_|from_)?(base64|hex)_?(encode|decode)?(?:_(string|binary))?", n):
+        code = _CODEC[m[1]][n.startswith("from_") or m[2] == "decode"]
+        return f"cast({code} as string)" if m[3] == "string" and "decode" in n else code
+    if n in ("coth", "csch", "sech"):
+        return {"coth": "(cosh($1) / sinh($1))", "csch": "(1 / sinh($1))", "sech": "(1 / cosh($1))"}[n]
+    if m := re.fullmatch(r"(\w+)_ignore_nulls", n):
+        return f"{m[1]}($*)"
+    if m := re.fullmatch(r"(md5|sha1|sha2)_?digest", n):
+        return f"unhex({m[1]}($1{', 256' if m[1] == 'sha2' else ''}))"
+    if m := re.fullmatch(r"(?:current_|utc_)(datetime|date|timestamp|timestamp_ltz|time)", n):
+        return {"date": "current_date()", "time": "current_time()"}.get(m[1], "current_timestamp()")
+    if m := re.fullmatch(r"array_(filter|slice|overlaps)", n):
+        return {"filter": "filter($1, $2)", "slice": "slice($1, $2, $3)", "overlaps": "arrays_overlap($1, $2)"}[m[1]]
+    if m := re.fullmatch(r"bool(not|and|or)", n):
+        return {"not": "(NOT $1)", "and": "($1 AND $2)", "or": "($1 OR $2)"}[m[1]]
+    if m := re.fullmatch(r"md5number_(lower|upper)64", n):
+        return f"conv(substring(md5($1), {17 if m[1] == 'lower' else 1}, 16), 16, 10)"
+    if m := re.fullmatch(r"timestamp_(?:ltz|tz)_from_parts", n):
+        return "make_timestamp($*)"
+    if m := re.fullmatch(r"year_of_week(?:_iso)?", n):
+        return "extract(YEAROFWEEK FROM $1)"
+    return None
+
+
+#: Names whose work no Spark function does, done by functions.custom.
+CUSTOM = set("json_set json_remove json_strip_nulls json_array_append json_array_insert jsonb_delete_at_path json_keys_at_depth to_base32 from_base32 normalize compress decompress_binary decompress_string parse_ip st_distance to_code_points code_points_to_string minhash minhash_combine approximate_similarity".split())
+
+
 @lru_cache(maxsize=1)
 def _builtin_of(session_id: int) -> frozenset[str]:
     spark = SparkSession.active()
@@ -64,14 +131,15 @@ def spark_sql(name: str, *args: str) -> str:
     n = name.lower()
     if n in ABSENT:
         raise ValueError(f"{name} has no counterpart in Spark")
-    if n in RENAMED:
+    template = RENAMED.get(n) or (None if n in builtin() else by_rule(n))
+    if template:
         def put(m: re.Match) -> str:
             k = int(m[1]) - 1
             if k >= len(args):
                 raise ValueError(f"{name} takes more arguments")
             return args[k]
 
-        return re.sub(r"\$(\d)", put, RENAMED[n])
+        return re.sub(r"\$(\d)", put, template.replace("$*", ", ".join(args)))
     if n in builtin():
         return f"{n}({', '.join(args)})"
     raise ValueError(f"{name} is not a known function")
@@ -85,6 +153,6 @@ def coverage(spark: SparkSession, names: list[str]):
     """(name, category, spark) for names, spark null where nothing corresponds."""
     rows = []
     for n in names:
-        how = None if n in ABSENT else RENAMED.get(n) or (n if n in builtin() else None)
+        how = None if n in ABSENT else RENAMED.get(n) or (n if n in builtin() else by_rule(n) or ("functions.custom" if n in CUSTOM else None))
         rows.append((n, category(n), how))
     return spark.createDataFrame(rows, "name string, category string, spark string")
