@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.scratch import cut, drop_cut, shared_dir
+
+__all__ = ["crc_mod", "cut", "draw", "drop_cut", "partitions", "prepare", "read", "share", "shared_dir"]
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
@@ -32,50 +33,6 @@ def crc_mod(column: str, modulus: int):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a temporary one in local mode only."""
-    own = spark.conf.get("spark.checkpoint.dir", None)
-    if own:
-        return own.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    own = "file://" + tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # the session is gone, and its scratch folder is the cluster's to clear
-        pass
-
-
-def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later reads survive lost executors, and the work is done once.
-
-    The table goes when the driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(partition_by)
-    writer.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def drop_cut(df: DataFrame) -> None:
-    """Removes a table that cut() wrote and that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        if "/tidemark-" in f:
-            head, _, tail = f.rpartition("/tidemark-")
-            _remove(df.sparkSession, f"{head}/tidemark-{tail.split('/')[0]}")
-
-
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -22,7 +22,7 @@ from tidemark.llm.text import Words, _powers, blocks, mix
 #: A cut may follow one word in 2 ** CUT_BITS; a chunk has MIN_WORDS to MAX_WORDS words, the last of a text perhaps fewer.
 CUT_BITS, MIN_WORDS, MAX_WORDS = 2, 3, 16
 #: Words that a run of repeated chunks must have to be removed: what is left of 50 words when both ends fall inside chunks.
-MIN_RUN = 20
+MIN_RUN = 16
 #: Bytes that the gear hash looks back.
 WINDOW = 16
 #: Chunks that one block of documents holds before it is sent out.
