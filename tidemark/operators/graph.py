@@ -119,3 +119,39 @@ def top_by_degree(pairs: DataFrame, source: str, target: str, n: int) -> DataFra
 
 
 __all__ = ["reach", "connected", "prune_dangling", "restrict", "search", "namespace", "column_owner", "script_tables", "script_dependencies", "dependency_matrix", "top_by_degree", "drop_cut"]
+
+
+def merge_statements(nodes: DataFrame, joins: DataFrame, filters: DataFrame) -> DataFrame:
+    """One row for each node of a project over all its statements: type, label, first known join, and all filters."""
+    n = nodes.groupBy("project_id", "id").agg(
+        F.first("node_type", True).alias("node_type"), F.first("label", True).alias("label"), F.first("qualified_name", True).alias("qualified_name"), F.countDistinct("statement_id").alias("statements")
+    )
+    j = joins.groupBy("project_id", F.col("node_id").alias("id")).agg(F.min(F.struct("statement_id", "join_type", "join_condition")).alias("j"))
+    f = filters.groupBy("project_id", F.col("node_id").alias("id")).agg(F.sort_array(F.collect_set("predicate")).alias("filters"))
+    out = n.join(j, ["project_id", "id"], "left").join(f, ["project_id", "id"], "left")
+    return out.select("project_id", "id", "node_type", "label", "qualified_name", "statements", "j.join_type", "j.join_condition", F.coalesce("filters", F.array().cast("array<string>")).alias("filters"))
+
+
+def matrix_metrics(cells: DataFrame) -> DataFrame:
+    """(project_id, item, writes, reads, degree) of a dependency matrix's rows."""
+    out = cells.groupBy("project_id", F.col("row").alias("item")).agg(F.count_if(F.col("cell") == "w").alias("writes"), F.count_if(F.col("cell") == "r").alias("reads"))
+    return out.withColumn("degree", F.col("writes") + F.col("reads"))
+
+
+def created_relations(t: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, statement_id, id): what a CREATE statement makes; the relation that its data flows into, or else its only one."""
+    made = t["statements"].where(F.col("statement_type").startswith("CREATE_")).select("project_id", F.col("id").alias("statement_id"))
+    n = t["nodes"].where(F.col("node_type").isin("table", "view")).join(made, ["project_id", "statement_id"]).select("project_id", "statement_id", "id")
+    into = t["edges"].where("edge_type = 'data_flow'").select("project_id", "statement_id", F.col("to_node_id").alias("id")).distinct().withColumn("_in", F.lit(True))
+    j = n.join(into, ["project_id", "statement_id", "id"], "left")
+    per = j.groupBy("project_id", "statement_id").agg(F.count("*").alias("_n"), F.count("_in").alias("_into"))
+    return j.join(per, ["project_id", "statement_id"]).where("_in OR _into = 0 AND _n = 1").select("project_id", "statement_id", "id")
+
+
+def foreign_keys(t: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, table, column, referenced_table, referenced_column): declared keys, and those that joins imply, once each."""
+    c = t["schema_constraints"].where(F.col("constraint_type").isin("FOREIGN_KEY", "IMPLIED_FOREIGN_KEY"))
+    pair = F.explode(F.arrays_zip("columns", "referenced_columns"))
+    return c.select("project_id", "table", "referenced_table", (F.col("constraint_type") == "IMPLIED_FOREIGN_KEY").alias("implied"), pair.alias("p")).groupBy(
+        "project_id", "table", F.col("p.columns").alias("column"), "referenced_table", F.col("p.referenced_columns").alias("referenced_column")
+    ).agg(F.min("implied").alias("implied"))

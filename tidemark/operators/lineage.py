@@ -48,12 +48,13 @@ class Lineage:
         return {n: getattr(self, n) for n in TABLES}
 
 
-def analyze(scripts: DataFrame, keep: bool = True) -> Lineage:
+def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> Lineage:
     """Lineage of scripts: columns project_id, ord, name, content, and optionally dialect and schema (JSON).
 
     A project's statements depend on those before them, so a project is analyzed in one task, scripts in order of ord
     and then name; projects run side by side. Scripts over SCRIPT_BYTES give an issue instead. A project's dialect and
-    schema are those of its first script that has one. Null content is an empty script.
+    schema are those of its first script that has one. Null content is an empty script. With hide_ctes, what flows through
+    CTEs joins its sources and targets directly.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = scripts.sparkSession.sparkContext.environment
@@ -71,7 +72,7 @@ def analyze(scripts: DataFrame, keep: bool = True) -> Lineage:
         first = lambda c: next((v for v in pdf[c] if isinstance(v, str) and v), None)
         given = json.loads(first("schema") or "{}")
         project = Project(first("dialect") or "generic", given.get("tables"), given.get("defaultSchema"), given.get("defaultCatalog"),
-                          [p.get("schema") for p in given.get("searchPath") or []], given.get("allowImplied", True))
+                          [p.get("schema") for p in given.get("searchPath") or []], given.get("allowImplied", True), hide_ctes)
         files = []
         for name, content in zip(pdf["name"], pdf["content"], strict=True):
             if isinstance(content, str) and len(content.encode()) > SCRIPT_BYTES:

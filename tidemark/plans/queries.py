@@ -213,3 +213,28 @@ def lineage_resolved_schema(spark, sf):
     p = project(spark)
     c = p.schema_columns.groupBy("project_id", F.col("table_id").alias("id")).agg(F.count("*").cast("int").alias("columns"))
     return p.schema_tables.join(c, ["project_id", "id"]).select("name", "resolution_source", "columns")
+
+
+@query("""SELECT * FROM (VALUES (0, 'stg_orders'), (1, 'stg_users'), (2, 'user_totals')) v(statement_id, label)""")
+def lineage_created_relations(spark, sf):
+    t = project(spark).tables
+    n = t["nodes"].select("project_id", "statement_id", "id", "label")
+    return G.created_relations(t).join(n, ["project_id", "statement_id", "id"]).select("statement_id", "label")
+
+
+@query(sample.oracle(""", j AS (SELECT node_id AS id, min({'a': statement_id, 'b': join_type, 'c': join_condition}) AS j FROM joins GROUP BY ALL),
+  f AS (SELECT node_id AS id, array_to_string(list_sort(list(DISTINCT predicate)), ',') AS filters FROM filters GROUP BY ALL)
+  SELECT 'main' AS project_id, n.id, min(node_type) AS node_type, count(DISTINCT statement_id) AS statements, any_value(j.j.b) AS join_type, any_value(j.j.c) AS join_condition, coalesce(any_value(f.filters), '') AS filters
+  FROM nodes n LEFT JOIN j ON j.id = n.id LEFT JOIN f ON f.id = n.id GROUP BY n.id"""))
+def graph_merge_statements(spark, sf):
+    t = sample.graph(spark, sf)
+    m = G.merge_statements(t["nodes"], t["joins"], t["filters"])
+    return m.select("project_id", "id", "node_type", "statements", "join_type", "join_condition", F.array_join("filters", ",").alias("filters"))
+
+
+@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {_ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name),
+  i AS (SELECT a AS item FROM p UNION SELECT b FROM p)
+  SELECT 'main' AS project_id, item, (SELECT count(*) FROM p WHERE a = item) AS writes, (SELECT count(*) FROM p WHERE b = item AND NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)) AS reads,
+    (SELECT count(*) FROM p WHERE a = item) + (SELECT count(*) FROM p WHERE b = item AND NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)) AS degree FROM i"""))
+def graph_matrix_metrics(spark, sf):
+    return G.matrix_metrics(G.dependency_matrix(VIEWS["table_dependencies"](sample.graph(spark, sf)), "source_table", "target_table"))
