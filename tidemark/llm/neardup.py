@@ -40,7 +40,7 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = TREES,
     dim = size["d"] if size else 1
     square = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     scaled = F.transform("v", lambda x: x / F.col("norm"))
-    unit = good.where(F.size("v") == dim).withColumn("norm", square).where("norm > 0 and norm < double('infinity')").select("id", scaled.alias("v")).distinct()
+    unit = cut(good.where(F.size("v") == dim).withColumn("norm", square).where("norm > 0 and norm < double('infinity')").select("id", scaled.alias("v")).distinct())
     classes = cut(unit.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
     x, n = sample(classes.select(F.col("rep").alias("id"), "v"), seed=seed)
     depth = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
