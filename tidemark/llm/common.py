@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 from tidemark.scratch import cut, drop_cut, shared_dir
 
-__all__ = ["crc_mod", "cut", "draw", "drop_cut", "partitions", "prepare", "read", "share", "shared_dir"]
+__all__ = ["crc_mod", "cut", "draw", "drop_cut", "fields", "join_dealt", "partitions", "power_of_two", "prepare", "read", "row_of", "share", "shared_dir"]
+
+#: Keys that hold at least this part of all rows are joined by broadcast: there can't be more of them than its inverse.
+HOT = 1000
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -45,3 +48,35 @@ def draw(key: str, seed: int):
 
 def share(wanted: int, there: int) -> float:
     return 1.0 if there <= wanted else wanted / there
+
+
+def row_of(df: DataFrame):
+    """All columns of df as one struct, so that columns added beside it can't clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def fields(df: DataFrame, **new) -> list:
+    """The columns of df again, out of the struct that row_of() made; new ones instead of those named."""
+    return [(new[c] if c in new else F.col("row").getField(c)).alias(c) for c in df.columns]
+
+
+def power_of_two(at_least: float) -> int:
+    n = 1
+    while n < at_least:
+        n *= 2
+    return n
+
+
+def hot(total: int):
+    """Whether a key with many rows of total is one of at most HOT keys that hold the most."""
+    return F.col("many") * HOT >= total
+
+
+def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """left joined with right, which has a row for each key and says in many how many of the total rows of left have it.
+
+    The rows of a frequent key stay where they are: right's rows for such keys, HOT at most, are broadcast.
+    """
+    few = F.broadcast(right.where(hot(total)))
+    rest = left.join(few.select(*keys), keys, "left_anti").join(right.where(~hot(total)), keys)
+    return left.join(few, keys).unionByName(rest)

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, draw, prepare, share
-from tidemark.llm.text import Words, blocks
+from tidemark.llm.text import PIECE, Words, blocks, hashed, joined_sum, pieces
 
 #: Bound of the labelled rows that the model is fitted on.
 ROWS = 20_000
@@ -29,21 +29,47 @@ _CLASS[10], _CLASS[128:] = 8, 9
 
 
 def features(texts: list[bytes]) -> np.ndarray:
-    """A row of NAMES for each text; all zero for a text without words."""
-    return np.concatenate([_block(texts[a:b]) for a, b in blocks(texts)]) if texts else np.zeros((0, len(NAMES)))
+    """A row of NAMES for each text; all zero for a text without words. A long text is walked in pieces."""
+    rows = [_long(texts[a]) if b - a == 1 and len(texts[a]) > 2 * PIECE else _block(texts[a:b]) for a, b in blocks(texts)]
+    return np.concatenate(rows) if rows else np.zeros((0, len(NAMES)))
+
+
+def _sums(w: Words) -> np.ndarray:
+    """For each text: bytes by class (10), bytes, words, their length and its square, capitalised words, words in capitals."""
+    n = len(w.begins) - 1
+    size = np.diff(w.begins)
+    kinds = _CLASS[w.raw]
+    if n == 1:
+        of = np.bincount(kinds, minlength=10).reshape(1, 10)
+    else:
+        of = np.bincount(np.repeat(np.arange(n), size) * 10 + kinds, minlength=10 * n).reshape(n, 10)
+    length = (w.end - w.start).astype(float)
+    if len(w.start):
+        head, last, middle = (kinds[i] == 1 for i in (w.start, w.end - 1, (w.start + w.end) // 2))
+    else:
+        head = last = middle = np.zeros(0, bool)
+    sum_ = lambda x: np.bincount(w.doc, x, minlength=n)
+    return np.column_stack([of, size, np.diff(w.first), sum_(length), sum_(length**2), sum_(head & ~last), sum_(head & middle)]).astype(float)
+
+
+def _row(sums: np.ndarray, same: np.ndarray, distinct: np.ndarray, lines: np.ndarray, distinct_lines: np.ndarray) -> np.ndarray:
+    """Features from the sums of texts, words that repeat the one before, different words, lines and different lines."""
+    of, (size, count, length, square, capital, shout) = sums[:, :10], sums[:, 10:].T
+    some, solid = np.maximum(count, 1), np.maximum(size, 1)
+    mean = length / some
+    spread = np.sqrt(np.maximum(square / some - mean**2, 0))
+    out = np.column_stack([
+        np.log1p(count), mean, spread, of[:, 1] / solid, of[:, 3] / solid, of[:, 4] / some, of[:, 5] / some, of[:, 6] / some, of[:, 7] / some,
+        lines / some, of[:, 9] / solid, same / some, distinct / some, distinct_lines / np.maximum(lines, 1),
+        count / (of[:, 4] + 1), capital / some, shout / some,
+    ])
+    out[count == 0] = 0
+    return out
 
 
 def _block(texts: list[bytes]) -> np.ndarray:
     n = len(texts)
     w = Words(texts, lower=False)
-    size = np.diff(w.begins)
-    owner = np.repeat(np.arange(n), size)
-    of = np.bincount(owner * 10 + _CLASS[w.raw], minlength=10 * n).reshape(n, 10).astype(float)
-    count = np.diff(w.first).astype(float)
-    some, solid = np.maximum(count, 1), np.maximum(size, 1)
-    length = (w.end - w.start).astype(float)
-    mean = np.bincount(w.doc, length, minlength=n) / some
-    spread = np.sqrt(np.maximum(np.bincount(w.doc, length**2, minlength=n) / some - mean**2, 0))
     same = np.zeros(len(w.hash))
     if len(w.hash) > 1:
         same[1:] = (w.hash[1:] == w.hash[:-1]) & (w.doc[1:] == w.doc[:-1])
@@ -51,28 +77,41 @@ def _block(texts: list[bytes]) -> np.ndarray:
     h, d = w.hash[order], w.doc[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (d[1:] != d[:-1])
-    distinct = np.bincount(d[new], minlength=n) / some
-    head = w.raw[w.start] if len(w.start) else w.raw[:0]
-    last = w.raw[np.maximum(w.start, w.end - 1)] if len(w.start) else w.raw[:0]
-    middle = w.raw[(w.start + w.end) // 2] if len(w.start) else w.raw[:0]
-    capital = (_CLASS[head] == 1) & (_CLASS[last] != 1)
-    shout = (_CLASS[head] == 1) & (_CLASS[middle] == 1)
     # lines: between newlines and texts' ends
     breaks = np.unique(np.concatenate([w.begins, np.flatnonzero(w.raw == 10) + 1]))
     a, b = breaks[:-1], breaks[1:]
-    lines = np.bincount(owner[a], minlength=n) if len(a) else np.zeros(n)
+    lines = distinct_lines = np.zeros(n)
     if len(a):
-        key = np.unique(np.stack([owner[a].astype(np.uint64), w.hash_of(a, np.where(w.raw[b - 1] == 10, b - 1, b))]), axis=1)
-        distinct_lines = np.bincount(key[0].astype(np.int64), minlength=n) / np.maximum(lines, 1)
-    else:
-        distinct_lines = np.zeros(n)
-    out = np.column_stack([
-        np.log1p(count), mean, spread, of[:, 1] / solid, of[:, 3] / solid, of[:, 4] / some, of[:, 5] / some, of[:, 6] / some, of[:, 7] / some,
-        lines / some, of[:, 9] / solid, np.bincount(w.doc, same, minlength=n) / some, distinct, distinct_lines,
-        count / (of[:, 4] + 1), np.bincount(w.doc, capital, minlength=n) / some, np.bincount(w.doc, shout, minlength=n) / some,
-    ])
-    out[count == 0] = 0
-    return out
+        owner = np.searchsorted(w.begins, a, side="right") - 1
+        lines = np.bincount(owner, minlength=n)
+        key = np.unique(np.stack([owner.astype(np.uint64), w.hash_of(a, np.where(w.raw[b - 1] == 10, b - 1, b))]), axis=1)
+        distinct_lines = np.bincount(key[0].astype(np.int64), minlength=n)
+    return _row(_sums(w), np.bincount(w.doc, same, minlength=n), np.bincount(d[new], minlength=n), lines, distinct_lines)
+
+
+def _long(text: bytes) -> np.ndarray:
+    sums, same, lines, last = np.zeros((1, 16)), 0, 0, None
+    words: list[np.ndarray] = []
+    marks: list[np.ndarray] = []
+    open_sum, open_size = 0, 0  # the line that the piece before left open
+    for _, part in pieces(text):
+        w = Words([part], lower=False)
+        sums += _sums(w)
+        same += int((w.hash[1:] == w.hash[:-1]).sum()) + int(len(w.hash) > 0 and last is not None and w.hash[0] == last)
+        last = w.hash[-1] if len(w.hash) else last
+        words.append(np.unique(w.hash))
+        stops = np.flatnonzero(w.raw == 10)
+        a, b = np.append(0, stops + 1), np.append(stops, len(w.raw))
+        own, size = w.sum_of(a, b), b - a
+        own[0], size[0] = joined_sum(open_sum, open_size, int(own[0])), size[0] + open_size
+        lines += len(stops)
+        marks.append(np.unique(hashed(own[:-1], size[:-1])))
+        open_sum, open_size = int(own[-1]), int(size[-1])
+    if open_size:
+        lines += 1
+        marks.append(hashed(np.array([open_sum], np.uint64), np.array([open_size])))
+    different = [np.array([len(np.unique(np.concatenate(x)))]) for x in (words, marks)]
+    return _row(sums, np.array([same]), different[0], np.array([lines]), different[1])
 
 
 @dataclass
@@ -186,12 +225,13 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS, seed: int
     """Fits on at most about rows labelled texts, drawn by id; learn says which ids may teach.
 
     Only the features of those texts come to the driver. Rows of labels with a null id or null quality teach nothing;
-    a null text teaches as an empty one; an id that labels repeats teaches once for each different label.
+    a null text teaches as an empty one; an id that labels repeats, or docs, teaches once for each different label and row.
+    Only doc_id, text and quality are read, whatever other columns are there.
     """
     prepare(docs.sparkSession)
-    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", "quality").distinct()
+    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct()
     chosen = known.where(draw("doc_id", seed) < share(rows, known.count())).limit(2 * rows)
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(F.col("quality").cast("int").alias("quality"), "text")
+    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,7 +244,10 @@ def train(docs: DataFrame, labels: DataFrame, learn, rows: int = ROWS, seed: int
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of docs; null text scores as empty text."""
+    """(doc_id, score) for every row of docs, repeated rows each; null text scores as empty text.
+
+    Whole texts are scored, long ones piece by piece; other columns are ignored. An empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

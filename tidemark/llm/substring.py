@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import partitions, prepare
-from tidemark.llm.text import Words, _powers, blocks, mix
+from tidemark.llm.common import fields, partitions, power_of_two, prepare, row_of
+from tidemark.llm.text import PIECE, Words, blocks, mix, pieces, power, running, sums
 
 #: A cut may follow one word in 2 ** CUT_BITS; a chunk has MIN_WORDS to MAX_WORDS words, the last of a text perhaps fewer.
 CUT_BITS, MIN_WORDS, MAX_WORDS = 2, 3, 16
@@ -27,6 +27,8 @@ MIN_RUN = 16
 WINDOW = 16
 #: Chunks that one block of documents holds before it is sent out.
 BLOCK_CHUNKS = 400_000
+#: Bytes of text whose chunks one fragment should compare: it is one group in one worker. There are as many as that takes.
+FRAGMENT_BYTES = 96 << 20
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _GEAR[0] = 0
@@ -37,26 +39,30 @@ _PLACE = np.dtype([("id", "<i8"), ("place", "<u4"), ("tag", "<u4")])
 _NO_ID = np.iinfo(np.int64).max
 
 
-def gear(data: np.ndarray) -> np.ndarray:
-    """At each byte the sum of gear values of the WINDOW bytes up to it, each shifted left by its distance."""
-    h = _GEAR[data]
-    reach = 1
-    while reach < WINDOW:
-        h[reach:] = h[reach:] + (h[:-reach] << np.uint32(reach))
-        reach *= 2
+def gear(data: np.ndarray, end: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """At each end the sum of gear values of the WINDOW bytes before it, but not before begin, each shifted left by its
+    distance."""
+    h = np.zeros(len(end), np.uint32)
+    for k in range(WINDOW):
+        at = end - 1 - k
+        h += np.where(at >= begin, _GEAR[data[np.maximum(at, 0)]], np.uint32(0)) << np.uint32(k)
     return h
 
 
-def chunk_ends(words: Words) -> np.ndarray:
-    """The word after each chunk's last, for all texts of the block; no chunk spans two texts."""
+def chunk_ends(words: Words, before: bytes = b"", closed: bool = True) -> np.ndarray:
+    """The word after each chunk's last, for all texts of the block; no chunk spans two texts.
+
+    before: what stands before the first text, which the gear hash sees. Unless closed, texts go on, and so may their
+    last chunk, which is left out.
+    """
     n = len(words.begins) - 1
-    raw = words.raw
-    padded = np.zeros(len(raw) + WINDOW * n, np.uint8)
-    doc_of_byte = np.repeat(np.arange(n), np.diff(words.begins))
-    plain = np.where((raw >= 0x09) & (raw <= 0x0D), 0x20, raw)
-    upper = (plain >= 65) & (plain <= 90)
-    padded[np.arange(len(raw)) + WINDOW * doc_of_byte] = plain + upper.astype(np.uint8) * 32
-    at = gear(padded)[words.end - 1 + WINDOW * words.doc]
+    before = before[-WINDOW:]
+    plain = np.concatenate([np.frombuffer(before, np.uint8), words.raw])
+    plain = np.where((plain >= 0x09) & (plain <= 0x0D), np.uint8(0x20), plain)
+    plain += ((plain >= 65) & (plain <= 90)).astype(np.uint8) * np.uint8(32)
+    begin = words.begins[:-1] + len(before)
+    begin[:1] = 0
+    at = gear(plain, words.end + len(before), begin[words.doc])
     may = np.flatnonzero((at >> np.uint32(WINDOW - CUT_BITS)) & np.uint32((1 << CUT_BITS) - 1) == 0).tolist()
     may.append(len(words.start))
     first = words.first.tolist()
@@ -65,33 +71,62 @@ def chunk_ends(words: Words) -> np.ndarray:
     for d in range(n):
         last, stop = first[d], first[d + 1]
         while last < stop:
-            end = may[k] + 1 if may[k] < stop else stop
-            if may[k] < stop:
+            inside = may[k] < stop
+            end = may[k] + 1 if inside else stop
+            if inside:
                 k += 1
             while end - last > MAX_WORDS:
                 last += MAX_WORDS
                 ends.append(last)
-            if end - last >= MIN_WORDS or end == stop and end > last:
+            if not inside and not closed:
+                break
+            if end - last >= MIN_WORDS or end == stop and end > last and closed:
                 ends.append(end)
                 last = end
+            elif end == stop:
+                break
     return np.array(ends, np.int64)
 
 
-def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word, word after the last, digest) of each chunk of the block."""
-    ends = chunk_ends(words)
+def _digests(words: Words, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts = np.concatenate([[0], ends[:-1]]).astype(np.int64) if len(ends) else ends
-    n = len(words.hash)
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.hash * _powers(_Q, n))])
-    digest = mix((total[ends] - total[starts]) * _powers(_QINV, n + 1)[starts] + (ends - starts).astype(np.uint64))
+    total = running(words.hash, _Q) if len(words.hash) < 1 << 20 else None
+    at = (lambda i: total[i]) if total is not None else (lambda i: sums(words.hash, _Q, i))
+    digest = mix((at(ends) - at(starts)) * power(_QINV, starts) + (ends - starts).astype(np.uint64))
     return starts, ends, digest
 
 
+def chunks(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, word after the last, digest) of each chunk of the block."""
+    return _digests(words, chunk_ends(words))
+
+
+def long_chunks(text: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first byte, byte where the next chunk's first word or the text's end stands, words, digest) of the chunks of one
+    text, a piece at a time; what follows a piece's last whole chunk goes to the next piece."""
+    held = 0
+    for at, part in pieces(text):
+        end = at + len(part)
+        words = Words([text[held:end]])
+        starts, ends, digest = _digests(words, chunk_ends(words, text[max(0, held - WINDOW) : held], closed=end == len(text)))
+        if len(ends):
+            stop = np.append(words.start, len(words.raw))
+            yield words.start[starts] + held, stop[ends] + held, ends - starts, digest
+            held += int(stop[ends[-1]])
+
+
+def text_chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What long_chunks() gives, of all pieces."""
+    parts = list(long_chunks(text))
+    return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+
+
 def _send(docs: DataFrame, fragments: int) -> DataFrame:
     """(frag, kind, data). kind 0: a block's first chunk of each digest; kind 1: its other chunks, repeats for sure.
 
     So that a digest of which there are very many counts once a block where it is compared with other blocks.
     """
+    bits = fragments.bit_length() - 1
 
     def flush(entries: list[np.ndarray], number: int) -> pa.RecordBatch:
         every = np.concatenate(entries)
@@ -100,7 +135,7 @@ def _send(docs: DataFrame, fragments: int) -> DataFrame:
         same = np.concatenate([[False], ~new[1:] & (every["id"][1:] == every["id"][:-1]) & (every["place"][1:] == every["place"][:-1]) & (every["tag"][1:] == every["tag"][:-1])])
         lead = np.maximum.accumulate(np.where(~same, np.arange(len(every)), 0))
         first, later = every[new], every[~new & ~new[lead]]
-        frag = ((first["digest"] >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
+        frag = first["digest"] >> np.uint64(64 - bits) if bits else np.zeros(len(first), np.uint64)
         frags, at = np.unique(frag, return_index=True)  # the digests are in order, and so are the fragments
         rows = [(int(f), 0, first[a:b].tobytes()) for f, a, b in zip(frags, at, [*at[1:], len(first)], strict=True)]
         if len(later):
@@ -121,11 +156,15 @@ def _send(docs: DataFrame, fragments: int) -> DataFrame:
             tags = batch.column(1).to_numpy()
             texts = batch.column(2).cast(pa.binary()).to_pylist()
             for a, b in blocks(texts):
-                words = Words(texts[a:b])
-                starts, _, digest = chunks(words)
-                doc = words.doc[starts]
+                if b - a == 1 and len(texts[a]) > 2 * PIECE:
+                    digest = np.concatenate([d for *_, d in long_chunks(texts[a])] or [np.zeros(0, np.uint64)])
+                    doc = firsts = np.zeros(len(digest), int)
+                else:
+                    words = Words(texts[a:b])
+                    starts, _, digest = chunks(words)
+                    doc = words.doc[starts]
+                    firsts = np.searchsorted(doc, doc)
                 e = np.empty(len(digest), _ENTRY)
-                firsts = np.searchsorted(doc, doc)
                 e["digest"], e["id"], e["tag"] = digest, ids[a:b][doc], tags[a:b].astype(np.uint32)[doc]
                 e["place"] = np.arange(len(doc)) - firsts
                 entries.append(e)
@@ -133,14 +172,14 @@ def _send(docs: DataFrame, fragments: int) -> DataFrame:
                 if held >= BLOCK_CHUNKS:
                     yield flush(entries, number)
                     entries, held, number = [], 0, number + 1
-        if held:
+        if entries and held:
             yield flush(entries, number)
 
     return docs.mapInArrow(run, "frag int, kind int, data binary")
 
 
 def _repeats(rows: DataFrame) -> DataFrame:
-    """(_id, _tag, places) of the repeated chunks that a fragment knows of, by document."""
+    """(id, tag, places) of the repeated chunks that a fragment knows of, by document."""
 
     def run(table: pa.Table) -> pa.Table:
         kind, data = table.column(1).to_numpy(), table.column(2).to_pylist()
@@ -168,25 +207,24 @@ def _repeats(rows: DataFrame) -> DataFrame:
         new[1:] = (places["id"][1:] != places["id"][:-1]) | (places["tag"][1:] != places["tag"][:-1])
         at = np.flatnonzero(new)
         blobs = [places["place"][a:b].tobytes() for a, b in zip(at, [*at[1:], len(places)][: len(at)], strict=True)]
-        return pa.table({"_id": pa.array(places["id"][at], pa.int64()), "_tag": pa.array(places["tag"][at].astype(np.int64), pa.int64()), "places": pa.array(blobs, pa.binary())})
+        return pa.table({"id": pa.array(places["id"][at], pa.int64()), "tag": pa.array(places["tag"][at].astype(np.int64), pa.int64()), "places": pa.array(blobs, pa.binary())})
 
-    return rows.groupBy("frag").applyInArrow(run, "_id long, _tag long, places binary")
+    return rows.groupBy("frag").applyInArrow(run, "id long, tag long, places binary")
 
 
-def spans(words: Words, repeated: np.ndarray, min_run: int = MIN_RUN) -> tuple[list[tuple[int, int]], int]:
+def spans(text: bytes, repeated: np.ndarray, min_run: int = MIN_RUN) -> tuple[list[tuple[int, int]], int]:
     """Byte ranges of one text's runs of repeated chunks with min_run words or more, and their words."""
-    starts, ends, _ = chunks(words)
-    flag = np.zeros(len(starts) + 2, np.int8)
-    flag[repeated[repeated < len(starts)] + 1] = 1
+    begin, stop, count, _ = text_chunks(text)
+    flag = np.zeros(len(begin) + 2, np.int8)
+    flag[repeated[repeated < len(begin)] + 1] = 1
     step = np.diff(flag)
-    out, count = [], 0
+    out, gone = [], 0
     for a, b in zip(np.flatnonzero(step == 1), np.flatnonzero(step == -1), strict=True):
-        n = int(ends[b - 1] - starts[a])
+        n = int(count[a:b].sum())
         if n >= min_run:
-            stop = words.start[ends[b - 1]] if ends[b - 1] < len(words.start) else len(words.raw)
-            out.append((int(words.start[starts[a]]), int(stop)))
-            count += n
-    return out, count
+            out.append((int(begin[a]), int(stop[b - 1])))
+            gone += n
+    return out, gone
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | None = None) -> DataFrame:
@@ -195,16 +233,24 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | No
 
     A passage's first place, by document id and then by place in the text, keeps it; null ids come last. White space and
     the case of A-Z don't count. Rows that repeat id and text are one document and fare alike. Null, empty and wordless
-    texts stay as they are. Every text is read whole. Other columns pass through; removed and removed_words are replaced.
+    texts stay as they are, and an empty table stays empty. Every text is read whole, long ones in pieces. Other columns
+    pass through, whatever their names; removed and removed_words are replaced.
+
+    There is a power of two of fragments, by default as many as keep one at the chunks of FRAGMENT_BYTES.
     """
     spark = prepare(docs.sparkSession)
-    fragments = min(fragments or partitions(spark), 1 << 15)
-    columns = [c for c in docs.columns if c not in ("removed", "removed_words")]
+    docs = docs.drop("removed", "removed_words")
+    if not fragments:
+        size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+        fragments = max(partitions(spark), size / FRAGMENT_BYTES)
+    fragments = power_of_two(fragments)
     tag = F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)).cast("long")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NO_ID)))
-    keyed = docs.select(*columns, key.alias("_id"), tag.alias("_tag"))
-    sent = _send(keyed.where("text is not null").select("_id", "_tag", "text"), fragments)
-    marks = _repeats(sent).groupBy("_id", "_tag").agg(F.collect_list("places").alias("_places"))
+    keyed = docs.select(row_of(docs), F.col("text").alias("old"), key.alias("id"), tag.alias("tag"))
+    sent = _send(keyed.where("old is not null").select("id", "tag", "old"), fragments)
+    if fragments > partitions(spark):
+        sent = sent.repartition(fragments, "frag")
+    marks = _repeats(sent).groupBy("id", "tag").agg(F.collect_list("places").alias("places"))
 
     @F.pandas_udf("text string, removed array<struct<start: int, end: int>>, removed_words long")
     def clean(text: pd.Series, places: pd.Series) -> pd.DataFrame:
@@ -214,8 +260,7 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | No
                 out.append((None, None, 0))
                 continue
             raw = t.encode()
-            words = Words([raw])
-            cuts, n = spans(words, np.concatenate([np.frombuffer(x, "<u4") for x in p]).astype(np.int64), min_run)
+            cuts, n = spans(raw, np.concatenate([np.frombuffer(x, "<u4") for x in p]).astype(np.int64), min_run)
             kept, at = [], 0
             for a, b in cuts:
                 kept.append(raw[at:a])
@@ -224,16 +269,17 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | No
             out.append((b"".join(kept).decode(), [{"start": a, "end": b} for a, b in cuts], n))
         return pd.DataFrame(out, columns=["text", "removed", "removed_words"])
 
-    joined = keyed.join(marks, ["_id", "_tag"], "left")
-    marked = F.col("_places").isNotNull()
-    cleaned = joined.withColumn("_clean", clean(F.when(marked, F.col("text")), "_places"))
-    changed = marked & (F.col("_clean.removed_words") > 0)
-    new = {"text": F.when(changed, F.col("_clean.text")).otherwise(F.col("text"))}
-    if "n_chars" in columns:
-        new["n_chars"] = F.when(changed, F.char_length("_clean.text").cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
+    joined = keyed.join(marks, ["id", "tag"], "left")
+    marked = F.col("places").isNotNull()
+    done = joined.withColumn("clean", clean(F.when(marked, F.col("old")), "places"))
+    changed = marked & (F.col("clean.removed_words") > 0)
+    new = {"text": F.when(changed, F.col("clean.text")).otherwise(F.col("old"))}
+    if "n_chars" in docs.columns:
+        old = F.col("row").getField("n_chars")
+        new["n_chars"] = F.when(changed, F.char_length("clean.text").cast(docs.schema["n_chars"].dataType)).otherwise(old)
     none = F.array().cast("array<struct<start: int, end: int>>")
-    return cleaned.select(
-        *[new[c].alias(c) if c in new else F.col(c) for c in columns],
-        F.when(changed, F.col("_clean.removed")).otherwise(none).alias("removed"),
-        F.when(changed, F.col("_clean.removed_words")).otherwise(F.lit(0)).cast("long").alias("removed_words"),
+    return done.select(
+        *fields(docs, **new),
+        F.when(changed, F.col("clean.removed")).otherwise(none).alias("removed"),
+        F.when(changed, F.col("clean.removed_words")).otherwise(F.lit(0)).cast("long").alias("removed_words"),
     )

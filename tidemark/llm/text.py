@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,19 +17,48 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(ord("A"), ord("Z") + 1), *range(ord("a"), ord("z") + 1), *range(0x80, 0x100)]] = True
 
+_GAP = re.compile(rb"[\x20\x09-\x0D]+")
 _P = 0x9E3779B97F4A7C15
 _PINV = pow(_P, -1, 1 << 64)
 _tables: dict[int, np.ndarray] = {}
+_BITS = 21
+_STEP = 1 << _BITS
+#: Bytes that a block of texts or a piece of a long text has about.
+PIECE = 1 << 20
 
 
-def _powers(base: int, n: int) -> np.ndarray:
+def _table(base: int, n: int) -> np.ndarray:
     t = _tables.get(base)
     if t is None or len(t) < n:
-        size = max(1 << 16, 1 << int(n).bit_length())
-        t = np.full(size, base, np.uint64)
+        t = np.full(max(1 << 12, 1 << int(n - 1).bit_length()), base, np.uint64)
         t[0] = 1
         _tables[base] = t = np.multiply.accumulate(t)
-    return t[:n]
+    return t
+
+
+def power(base: int, at: np.ndarray) -> np.ndarray:
+    """base ** at modulo 2 ** 64, from tables of at most _STEP entries whatever the exponents."""
+    top = int(at.max(initial=0))
+    if top < _STEP:
+        return _table(base, top + 1)[at]
+    return _table(base, _STEP)[at & (_STEP - 1)] * _table(pow(base, _STEP, 1 << 64), (top >> _BITS) + 1)[at >> _BITS]
+
+
+def running(data: np.ndarray, base: int) -> np.ndarray:
+    """The sums of data[i] * base ** i over i below 0, 1, ... len(data), modulo 2 ** 64, for up to _STEP numbers."""
+    return np.concatenate([np.zeros(1, np.uint64), np.cumsum(data.astype(np.uint64) * _table(base, len(data) + 1)[: len(data)])])
+
+
+def sums(data: np.ndarray, base: int, at: np.ndarray) -> np.ndarray:
+    """running(data, base)[at] for data of any length, slice by slice; at rises."""
+    out = np.zeros(len(at), np.uint64)
+    low, total = 0, 0
+    for s in range(0, len(data), _STEP):
+        run = running(data[s : s + _STEP], base) * np.uint64(pow(base, s, 1 << 64)) + np.uint64(total)
+        high = np.searchsorted(at, s + len(run) - 1, side="right")
+        out[low:high] = run[at[low:high] - s]
+        low, total = high, int(run[-1])
+    return out
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -40,7 +70,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def blocks(texts: list[bytes], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[bytes], limit: int = PIECE) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes together, one text at least."""
     at, size = 0, 0
     for i, t in enumerate(texts):
@@ -61,7 +91,7 @@ class Words:
     """
 
     def __init__(self, texts: list[bytes], lower: bool = True, letters: bool = False):
-        self.raw = np.frombuffer(b"".join(texts), np.uint8)
+        self.raw = np.frombuffer(texts[0] if len(texts) == 1 else b"".join(texts), np.uint8)
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         self.begins = np.concatenate([[0], np.cumsum(sizes)])
         n = len(self.raw)
@@ -74,39 +104,89 @@ class Words:
         self.end = np.flatnonzero(solid & ~after) + 1
         self.first = np.searchsorted(self.start, self.begins)
         self.doc = np.repeat(np.arange(len(texts)), np.diff(self.first))
-        data = (_LOWER[self.raw] if lower else self.raw).astype(np.uint64) + np.uint64(1)
-        self._total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * _powers(_P, n))])
+        self._data = (_LOWER[self.raw] if lower else self.raw) + np.uint8(1)
+        self._total = running(self._data, _P) if n <= _STEP else None
         self.hash = self.hash_of(self.start, self.end)
 
+    def sum_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """What hash_of() spreads: sums by place in the range, so that the sum of a range is that of its parts, moved."""
+        if self._total is not None:
+            own = self._total[end] - self._total[start]
+        else:
+            own = sums(self._data, _P, end) - sums(self._data, _P, start)
+        return own * power(_PINV, start)
+
     def hash_of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """64 bits of each byte range, by content alone."""
-        own = (self._total[end] - self._total[start]) * _powers(_PINV, len(self._total))[start]
-        return mix(own + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        """64 bits of each byte range, by content alone. Starts and ends rise."""
+        return hashed(self.sum_of(start, end), end - start)
+
+
+def hashed(total: np.ndarray, size: np.ndarray) -> np.ndarray:
+    return mix(total + size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def joined_sum(left: int, size: int, right: int) -> int:
+    """The sum of a range whose first size bytes have the sum left and whose others have the sum right."""
+    return (left + right * pow(_P, size, 1 << 64)) % (1 << 64)
+
+
+def _rolled(h: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(0, len(h) - size + 1), np.uint64)
+    for k in range(size):
+        out += h[k : k + len(out)] * np.uint64(pow(0xA0761D6478BD642F, k + 1, 1 << 64))
+    return mix(out)
+
+
+def _whole(h: np.ndarray) -> np.ndarray:
+    total = np.sum(h * power(0xE7037ED1A0B428DB, np.arange(1, len(h) + 1)))
+    return mix(np.array([total], np.uint64)) ^ np.uint64(len(h))
 
 
 def shingle_hashes(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of every run of size words; a text with fewer words, but some, has its whole sequence as one."""
     h, n = words.hash, len(words.hash)
-    rolled = np.zeros(max(0, n - size + 1), np.uint64)
-    for k in range(size):
-        rolled += h[k : n - size + 1 + k] * _powers(0xA0761D6478BD642F, size + 1)[k + 1]
-    whole = words.doc[: len(rolled)] == words.doc[size - 1 :] if n >= size else np.zeros(0, bool)
-    doc, out = words.doc[: len(rolled)][whole], mix(rolled[whole])
+    whole = words.doc[: n - size + 1] == words.doc[size - 1 :] if n >= size else np.zeros(0, bool)
+    doc, out = words.doc[: len(whole)][whole], _rolled(h, size)[whole]
     counts = np.diff(words.first)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
-        few = []
-        for d in short:
-            own = h[words.first[d] : words.first[d + 1]]
-            few.append(mix(np.array([np.sum(own * _powers(0xE7037ED1A0B428DB, size + 1)[1 : len(own) + 1])], np.uint64))[0] ^ np.uint64(len(own)))
-        doc, out = np.concatenate([doc, short]), np.concatenate([out, np.array(few, np.uint64)])
+        few = [_whole(h[words.first[d] : words.first[d + 1]]) for d in short]
+        doc, out = np.concatenate([doc, short]), np.concatenate([out, *few])
     return doc, out
 
 
+def pieces(text: bytes, limit: int = PIECE) -> Iterator[tuple[int, bytes]]:
+    """(place, part) of a text, in parts of about limit bytes that end behind white space: no part cuts a word."""
+    at = 0
+    while at < len(text):
+        end = at + limit
+        if end < len(text):
+            near = [m.end() for m in [_GAP.search(text, end)] if m]
+            end = near[0] if near else len(text)
+        yield at, text[at:end]
+        at = end
+
+
+def _long_set(text: bytes, size: int) -> np.ndarray:
+    found, held, short = np.zeros(0, np.uint64), np.zeros(0, np.uint64), True
+    parts: list[np.ndarray] = []
+    for _, part in pieces(text):
+        held = np.concatenate([held, Words([part]).hash])
+        if len(held) >= size:
+            parts.append(np.unique(_rolled(held, size)))
+            held, short = held[len(held) - size + 1 :], False
+    if parts:
+        found = np.unique(np.concatenate(parts))
+    return _whole(held) if short and len(held) else found
+
+
 def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
+    """The sorted distinct shingle hashes of each text. A long text is walked in pieces."""
     out: list[np.ndarray] = []
     for a, b in blocks(texts):
+        if b - a == 1 and len(texts[a]) > 2 * PIECE:
+            out.append(_long_set(texts[a], size))
+            continue
         words = Words(texts[a:b])
         doc, hashes = shingle_hashes(words, size)
         order = np.argsort(doc, kind="stable")
