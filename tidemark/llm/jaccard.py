@@ -27,18 +27,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, partitions, prepare
+from tidemark.llm.common import cut, fields, join_dealt, partitions, power_of_two, prepare, row_of
 from tidemark.llm.graph import components
 from tidemark.llm.text import set_digest, shingle_sets
 
 #: Shingles that one block of documents holds before it is sent out, and documents in it at most.
 BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 60_000
+#: Shingles that a fragment should count at most: it is one group in one worker. There are as many fragments as that takes.
+FRAGMENT_SHINGLES = 4_000_000
 #: Fragments in which the overlaps of candidate pairs are counted.
 CHECK_FRAGMENTS = 4
 #: Hubs of a bucket that the second round compares with the rest of it; each later round takes GROWTH times as many.
 HUBS, GROWTH = 256, 16
+#: Rows of a bucket that one task compares with its hubs; larger buckets are dealt over several.
+DEALT = 2000
 
-_KEY = np.uint64(48)
 _ENTRY = np.dtype([("key", "<u4"), ("high", "<u2"), ("doc", "<u2")])
 _SHARED = np.dtype([("token", "<u8"), ("count", "<u4"), ("doc", "<u2")])
 _META = np.dtype([("n", "<i8"), ("d1", "<i8"), ("d2", "<i8"), ("bits", "<i8", 16)])
@@ -68,22 +71,35 @@ def digests(docs: DataFrame, size: int = 5) -> DataFrame:
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
 
+def _bits(fragments: int) -> tuple[int, int, int]:
+    """Bits of a shingle's hash that name its fragment, that an entry drops, and that it keeps: 48 or the rest of 64."""
+    k = fragments.bit_length() - 1
+    return k, max(0, 16 - k), min(48, 64 - k)
+
+
 def _send(docs: DataFrame, size: int, fragments: int) -> DataFrame:
-    """(frag, block, kind, data): kind 0 are a block's entries in a fragment, kind 1 is what the block's documents are."""
+    """(frag, block, kind, data): kind 0 are a block's entries in a fragment, kind 1 is what the block's documents are.
+
+    The data of kind 0 begin with the block's documents that have entries there, their number first, and the 128 bits
+    of the set of each.
+    """
+    k, drop, keep = _bits(fragments)
 
     def flush(block: int, sets: list[np.ndarray], meta: list[tuple]) -> pa.RecordBatch:
         every = np.concatenate(sets)
         doc = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(s) for s in sets])
-        frag = ((every >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32)
-        order = np.argsort(frag.astype(np.uint32), kind="stable")
+        order = np.argsort(every >> np.uint64(64 - k), kind="stable") if k else np.arange(len(every))
+        every, doc = every[order], doc[order]
         entry = np.empty(len(every), _ENTRY)
-        low = mixed_low(every[order])
-        entry["key"], entry["high"], entry["doc"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32), doc[order]
-        frags, at = np.unique(frag[order], return_index=True)
-        ends = [*at[1:], len(every)]
+        low = (every >> np.uint64(drop)) & np.uint64((1 << keep) - 1)
+        entry["key"], entry["high"], entry["doc"] = low & np.uint64(0xFFFFFFFF), low >> np.uint64(32), doc
+        frags, at = np.unique(every >> np.uint64(64 - k), return_index=True) if k else (np.zeros(1, int), np.zeros(1, int))
         known = np.array(meta, _META)
-        head = np.uint32(len(known)).tobytes() + known["d1"].tobytes()
-        rows = [(int(f), block, 0, head + entry[a:b].tobytes()) for f, a, b in zip(frags, at, ends, strict=True)]
+        digest = np.column_stack([known["d1"], known["d2"]])
+        rows = []
+        for f, a, b in zip(frags, at, [*at[1:], len(every)], strict=True):
+            there = np.unique(doc[a:b])
+            rows.append((int(f), block, 0, np.uint32(len(there)).tobytes() + there.tobytes() + digest[there].tobytes() + entry[a:b].tobytes()))
         rows.append((block % fragments, block, 1, known.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["frag", "block", "kind", "data"])
 
@@ -112,13 +128,16 @@ def _send(docs: DataFrame, size: int, fragments: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "frag int, block long, kind int, data binary")
 
 
-def mixed_low(h: np.ndarray) -> np.ndarray:
-    """48 bits that, with the fragment, stand for a shingle."""
-    return (h ^ (h >> np.uint64(23))) & np.uint64((1 << 48) - 1)
+def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, their digests, entries) of a row of kind 0."""
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    digest = np.frombuffer(data, "<i8", 2 * n, 4 + 2 * n).reshape(n, 2)
+    return np.frombuffer(data, "<u2", n, 4), digest, np.frombuffer(data, _ENTRY, offset=4 + 18 * n)
 
 
-def _count(rows: DataFrame) -> DataFrame:
+def _count(rows: DataFrame, fragments: int) -> DataFrame:
     """Per fragment: entries whose shingle more than one set holds, back to the first block that has the set."""
+    keep = _bits(fragments)[2]
 
     def run(table: pa.Table) -> pa.Table:
         frag, block, kind = (table.column(i).to_numpy() for i in range(3))
@@ -126,10 +145,16 @@ def _count(rows: DataFrame) -> DataFrame:
         out = [(int(block[i]), 1, data[i]) for i in range(len(data)) if kind[i] == 1]
         parts = sorted((i for i in range(len(data)) if kind[i] == 0), key=lambda i: block[i])
         if parts:
-            every = [np.frombuffer(data[i], _ENTRY, offset=4 + 8 * int(np.frombuffer(data[i], "<u4", 1)[0])) for i in parts]
-            digests_ = [np.frombuffer(data[i], "<i8", int(np.frombuffer(data[i], "<u4", 1)[0]), 4) for i in parts]
-            of = np.repeat(np.arange(len(parts), dtype=np.int32), [len(e) for e in every])
-            every = np.concatenate(every)
+            read = [_entries(data[i]) for i in parts]
+            # sets by number: the copies of a set in several blocks have one number
+            digest = np.concatenate([d for _, d, _ in read])
+            order = np.lexsort((digest[:, 1], digest[:, 0]))
+            digest = digest[order]
+            number = np.zeros(len(digest), np.int32)
+            number[order] = np.cumsum(np.concatenate([[False], (digest[1:] != digest[:-1]).any(1)]))
+            base = np.cumsum([0, *(len(d) for d, _, _ in read)])
+            every = np.concatenate([e for _, _, e in read])
+            of = np.repeat(np.arange(len(read), dtype=np.int32), [len(e) for _, _, e in read])
             token = (every["high"].astype(np.uint64) << np.uint64(32)) | every["key"]
             order = np.argsort(token, kind="stable")
             token = token[order]
@@ -138,8 +163,10 @@ def _count(rows: DataFrame) -> DataFrame:
             order, token = order[many], token[many]
             of, doc = of[order], every["doc"][order]
             del every
-            base = np.cumsum([0, *map(len, digests_)])
-            set_ = np.concatenate(digests_)[base[of] + doc]
+            set_ = np.empty(len(doc), np.int32)
+            for i in np.unique(of):
+                mine = of == i
+                set_[mine] = number[base[i] + np.searchsorted(read[i][0], doc[mine])]
             # by shingle and set; of a set's documents that of the first block stands first
             order = np.lexsort((set_, token))
             token, of, doc, set_ = token[order], of[order], doc[order], set_[order]
@@ -151,12 +178,12 @@ def _count(rows: DataFrame) -> DataFrame:
             count = np.repeat(count, count)
             many = count > 1
             shared = np.empty(int(many.sum()), _SHARED)
-            shared["token"] = token[many] | (np.uint64(frag[parts[0]]) << _KEY)
+            shared["token"] = token[many] | (np.uint64(frag[parts[0]]) << np.uint64(keep))
             shared["count"], shared["doc"], of = np.minimum(count[many], 0xFFFFFFFF), doc[many], of[many]
             order = np.argsort(of, kind="stable")
             shared, of = shared[order], of[order]
             which, at = np.unique(of, return_index=True)
-            ends = [*at[1:], len(of)]
+            ends = np.append(at, len(of))[1:]  # none, where nothing is shared
             out += [(int(block[parts[w]]), 0, shared[a:b].tobytes()) for w, a, b in zip(which, at, ends, strict=True)]
         cols = zip(*out, strict=True) if out else ([], [], [])
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "kind", "data"])
@@ -166,6 +193,7 @@ def _count(rows: DataFrame) -> DataFrame:
 
 def _survivors(rows: DataFrame, fragments: int, percent: int) -> DataFrame:
     """(n, d1, d2, have, bits, central, prefix, segments) of the block's sets that have enough shared shingles to link."""
+    keep = _bits(fragments)[2]
 
     def run(table: pa.Table) -> pa.Table:
         kind, data = table.column(1).to_numpy(), table.column(2).to_pylist()
@@ -183,12 +211,12 @@ def _survivors(rows: DataFrame, fragments: int, percent: int) -> DataFrame:
                 own = every[edges[i] : edges[i + 1]]
                 n = int(meta["n"][i])
                 take = n - -(-percent * n // 100) + 1 - (n - len(own))
-                tokens = np.sort(own["token"].astype(np.int64))
-                lane = (tokens >> 48) * CHECK_FRAGMENTS // fragments
+                tokens = np.sort(own["token"])
+                lane = ((tokens >> np.uint64(keep)) * np.uint64(CHECK_FRAGMENTS) // np.uint64(fragments)).astype(np.int64)
                 cuts = np.searchsorted(lane, np.arange(1, CHECK_FRAGMENTS))
                 common = float(np.log(own["count"]).mean())
                 central = len(own) / n + 0.001 * common / (1 + common)
-                out.append((n, int(meta["d1"][i]), int(meta["d2"][i]), len(own), meta["bits"][i], central, own["token"][:take].astype(np.int64), np.split(tokens, cuts)))
+                out.append((n, int(meta["d1"][i]), int(meta["d2"][i]), len(own), meta["bits"][i], central, own["token"][:take].view(np.int64), np.split(tokens.view(np.int64), cuts)))
         types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.list_(pa.int64())))
         cols = list(zip(*out, strict=True)) if out else [()] * 8
         return pa.table([pa.array(list(c), t) for c, t in zip(cols, types, strict=True)], names=["n", "d1", "d2", "have", "bits", "central", "prefix", "segments"])
@@ -208,9 +236,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def _buckets(sets: DataFrame) -> DataFrame:
     """(token, rep, n, have, central, many): classes by prefix shingle where several share it."""
-    entries = sets.select(F.explode("prefix").alias("token"), "rep", "n", "have", "central")
-    many = entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1")
-    return entries.join(many, "token")
+    entries = cut(sets.select(F.explode("prefix").alias("token"), "rep", "n", "have", "central"))
+    many = cut(entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
+    return join_dealt(entries, many, ["token"], entries.count())
 
 
 def _may_link(percent: int):
@@ -225,31 +253,49 @@ def _near_bits(percent: int):
     return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("hub_n"))
 
 
-def members(classes: DataFrame, percent: int, given: DataFrame) -> DataFrame:
-    """(node, component) for all classes that links or the given edges touch. classes: rep, n, have, bits, central, prefix, segments."""
+def _salted():
+    """The part of its bucket that a class is in: buckets of over DEALT classes are dealt over several tasks."""
+    return F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / DEALT).cast("long"))
+
+
+def _central(still: DataFrame, upto: int, done: int) -> DataFrame:
+    """The classes of each bucket from place done + 1 to upto, most central first."""
+    order = [F.desc("central"), F.desc("rep")]
+    large = still.where(F.col("many") > DEALT).withColumn("salt", _salted())
+    # of a part, no class behind place upto can be one of the bucket's first upto
+    first = large.withColumn("place", F.row_number().over(W.partitionBy("token", "salt").orderBy(*order))).where(F.col("place") <= upto)
+    both = still.where(F.col("many") <= DEALT).unionByName(first.drop("salt", "place"))
+    return both.withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(*order))).where(F.col("place") <= upto).where(F.col("place") > done)
+
+
+def members(classes: DataFrame, percent: int) -> DataFrame:
+    """(node, component) for all classes that links touch. classes: rep, n, have, bits, central, prefix, segments."""
     buckets = cut(_buckets(classes))
-    rank = W.partitionBy("token").orderBy(F.desc("central"), F.desc("rep"))
+    total = buckets.count()
     ordered = lambda df: df.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     top = F.max_by(F.struct("rep", "n", "have", "central"), F.struct("central", "rep"))
-    hubs = buckets.groupBy("token").agg(top.alias("hub")).select("token", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.have").alias("hub_have"), F.col("hub.central").alias("hub_central"))
-    met = buckets.join(hubs, "token").where(_may_link(percent))
+    hubs = buckets.groupBy("token").agg(top.alias("hub"), F.max("many").alias("many"))
+    hubs = cut(hubs.select("token", "many", F.col("hub.rep").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.have").alias("hub_have"), F.col("hub.central").alias("hub_central")))
+    met = join_dealt(buckets.drop("many"), hubs, ["token"], total).where(_may_link(percent))
     best = met.groupBy("rep").agg(F.max_by("hub", F.struct("hub_central", "hub")).alias("hub"))
     tried = cut(ordered(best))
-    found = cut(_linked(tried, classes, percent).union(given))
+    found = cut(_linked(tried, classes, percent))
     member = components(found)
     done = 0
     while True:
         label = F.coalesce("component", "rep")
-        labelled = buckets.where(F.col("many") > done).join(member, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "have", "central", label.alias("component"))
-        span = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-        still = labelled.join(span.where("low <> high").select("token"), "token")
-        still = cut(still.join(classes.select("rep", "bits"), "rep"))
-        if still.isEmpty():
+        labelled = buckets.where(F.col("many") > done).join(member, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "have", "central", "many", label.alias("component"))
+        span = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("many").alias("many"))
+        open_ = cut(span.where("low <> high").select("token", "many"))
+        if open_.isEmpty():
             return member
+        still = join_dealt(labelled.drop("many"), open_, ["token"], total)
+        still = cut(still.join(classes.select("rep", "bits"), "rep"))
         upto = HUBS if not done else done * GROWTH
-        near = still.withColumn("place", F.row_number().over(rank)).where(F.col("place") <= upto).where(F.col("place") > done)
-        near = near.select("token", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("have").alias("hub_have"), F.col("bits").alias("hub_bits"), F.col("component").alias("hub_component"))
-        pairs = ordered(still.join(near, "token").where(_may_link(percent) & _near_bits(percent) & (F.col("component") != F.col("hub_component"))))
+        near = _central(still, upto, done)
+        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("many") / DEALT).cast("long") - 1))
+        near = near.select("token", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("have").alias("hub_have"), F.col("bits").alias("hub_bits"), F.col("component").alias("hub_component"), parts.alias("salt"))
+        pairs = ordered(still.withColumn("salt", _salted()).join(near, ["token", "salt"]).where(_may_link(percent) & _near_bits(percent) & (F.col("component") != F.col("hub_component"))))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             new = cut(_linked(pairs, classes, percent))
@@ -268,36 +314,58 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, fragments:
     Two documents link when 100 * |intersection| >= percent * |union|; component_id is the smallest id that links
     reach. Null, empty and wordless texts have no shingles and link with nothing: they stand for themselves. A row
     with a null id counts its shingles, has a null component_id and links nothing. Rows that repeat an id get a row
-    each; their links are joint. Nothing is sampled or capped; every shingle stands by over 50 bits of hash.
+    each; their links are joint. An empty table gives an empty one. Long texts are walked in pieces.
+
+    Nothing is sampled or capped. Equal sets are told by their size and 128 bits. Two sets' shingles are compared by
+    48 bits and those that number the fragments (a power of two; by default as many as keep one at FRAGMENT_SHINGLES),
+    so 26 bits more than it takes to number all shingles.
     """
     spark = prepare(docs.sparkSession)
-    fragments = min(fragments or max(CHECK_FRAGMENTS, partitions(spark)), 1 << 15)
     known = docs.where("doc_id is not null").select("doc_id", "text")
     meta = cut(digests(docs, size))
+    rows, shingles = meta.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    fragments = power_of_two(fragments or max(CHECK_FRAGMENTS, partitions(spark), shingles / FRAGMENT_SHINGLES))
     key = ["n", "d1", "d2"]
-    real = meta.where("n > 0 and doc_id is not null")
-    classes = real.groupBy(*key).agg(F.min("doc_id").alias("smallest")).withColumn("rep", F.xxhash64(*key))
-    left = _survivors(_count(_send(known.where("text is not null"), size, fragments)), fragments, percent)
-    sets = cut(left.withColumn("rep", F.xxhash64(*key)).select("rep", "n", "have", "bits", "central", "prefix", "segments"))
-    # an id that several texts carry joins their classes
-    ids = real.select("doc_id", F.xxhash64(*key).alias("rep")).distinct()
-    several = ids.groupBy("doc_id").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b <> top").select("doc_id", "b")
-    member = members(sets, percent, ids.join(several, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b"))
-    grouped = classes.join(member, F.col("rep") == F.col("node"), "left").withColumn("group", F.coalesce("component", "rep"))
-    smallest = grouped.groupBy("group").agg(F.min("smallest").alias("component_id"))
-    named = grouped.join(smallest, "group").select(*key, "component_id")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    out = meta.join(named, key, "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), component).alias("component_id"))
+    real = meta.where("n > 0")
+    classes = real.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("smallest"), F.count("*").alias("many"))
+    sent = _send(known.where("text is not null"), size, fragments)
+    if fragments > partitions(spark):
+        sent = sent.repartition(fragments, "frag")
+    left = _survivors(_count(sent, fragments), fragments, percent)
+    # a number for each set, which stays since the table is written
+    sets = cut(left.withColumn("rep", F.monotonically_increasing_id()))
+    member = members(sets.select("rep", "n", "have", "bits", "central", "prefix", "segments"), percent)
+    linked = sets.select(*key, "rep").join(member, F.col("rep") == F.col("node")).select(*key, "component")
+    grouped = classes.join(linked, key, "left")
+    smallest = grouped.where("component is not null").groupBy("component").agg(F.min("smallest").alias("least"))
+    named = cut(grouped.join(smallest, "component", "left").select(*key, "many", F.coalesce("least", "smallest").alias("component_id")))
+    # rows without an id have no part in the classes' counts, and need none
+    out = join_dealt(real.where("doc_id is not null"), named, key, rows).select("doc_id", "n", "component_id")
+    alone = meta.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
+    out = _joint_ids(out).unionByName(alone)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _joint_ids(rows: DataFrame) -> DataFrame:
+    """rows with one component for all rows of an id, and for all that they reach."""
+    rows = cut(rows)
+    low = rows.groupBy("doc_id").agg(F.min("component_id").alias("low"), F.max("component_id").alias("high"))
+    several = cut(low.where("low <> high").select("doc_id", F.col("low").alias("b")))
+    if several.isEmpty():
+        return rows
+    same = components(rows.join(several, "doc_id").select(F.col("component_id").alias("a"), "b").where("a <> b"))
+    return rows.join(same, F.col("component_id") == F.col("node"), "left").select("doc_id", "n", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """docs without near copies: of each group of similar_groups the document with the smallest id stays, once.
 
-    Rows with a null id stay. The columns are those of docs.
+    Of rows that repeat that id the one whose text comes first stays. Rows with a null id stay, and so do empty and
+    wordless texts. The columns are those of docs, whatever their names.
     """
     groups = similar_groups(docs, **options)
     keep = groups.where("doc_id = component_id").select("doc_id").distinct()
     # the window stands on the join's own partitioning: text is shuffled once
-    stay = docs.join(keep, "doc_id", "left_semi").withColumn("_turn", F.row_number().over(W.partitionBy("doc_id").orderBy("text")))
-    return stay.where("_turn = 1").select(*docs.columns).union(docs.where("doc_id is null"))
+    stay = docs.where("doc_id is not null").select("doc_id", "text", row_of(docs)).join(keep, "doc_id", "left_semi")
+    stay = stay.withColumn("turn", F.row_number().over(W.partitionBy("doc_id").orderBy("text"))).where("turn = 1")
+    return stay.select(*fields(docs)).union(docs.where("doc_id is null"))
