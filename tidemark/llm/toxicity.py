@@ -1,4 +1,9 @@
-"""Toxicity by non-negative positive-unlabelled learning."""
+"""Toxicity by non-negative positive-unlabelled learning.
+
+Learns from confirmed toxic texts and unlabelled ones; labels that say "not toxic" are not used. Features are words of
+letters and their first bytes. Before learning, features that aren't surely more frequent in positives are left out; the
+risk estimator then weighs those that are left, some below zero.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, draw, prepare, share
-from tidemark.llm.text import Words, blocks
+from tidemark.llm.text import PIECE, Words, blocks, pieces
 
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic texts, and unlabelled texts.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -32,14 +37,27 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([w.doc, w.doc[long]]), (np.concatenate([w.hash, head]) >> np.uint64(32)).astype(np.uint32)
 
 
-def feature_sets(texts: list[bytes]) -> list[np.ndarray]:
-    out: list[np.ndarray] = []
+def _pairs(texts: list[bytes]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, text from there, feature) of blocks; a long text comes in several, a piece each."""
     for a, b in blocks(texts):
-        doc, f = _features(texts[a:b])
+        if b - a == 1 and len(texts[a]) > 2 * PIECE:
+            for _, part in pieces(texts[a]):
+                yield a, *_features([part])
+        else:
+            yield a, *_features(texts[a:b])
+
+
+def feature_sets(texts: list[bytes]) -> list[np.ndarray]:
+    """The features of each text, sorted, each once."""
+    out: dict[int, np.ndarray] = {}
+    for a, doc, f in _pairs(texts):
         key = np.unique((doc.astype(np.uint64) << np.uint64(32)) | f)
-        edges = np.searchsorted(key >> np.uint64(32), np.arange(b - a + 1))
-        out += [key[x:y].astype(np.uint32) for x, y in zip(edges[:-1], edges[1:], strict=True)]
-    return out
+        doc = (key >> np.uint64(32)).astype(np.int64)
+        at = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else doc
+        for x, y in zip(at, [*at[1:], len(key)], strict=False):
+            i, own = a + int(doc[x]), key[x:y].astype(np.uint32)
+            out[i] = np.union1d(out[i], own) if i in out else own
+    return [out.get(i, np.zeros(0, np.uint32)) for i in range(len(texts))]
 
 
 @dataclass
@@ -52,16 +70,64 @@ class Model:
 
     def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
-        if len(self.features):
-            for a, b in blocks(texts):
-                doc, f = _features(texts[a:b])
-                at = np.minimum(np.searchsorted(self.features, f), len(self.features) - 1)
+        n = len(self.features)
+        if n:
+            found = [np.zeros(0, np.int64)]
+            for a, doc, f in _pairs(texts):
+                at = np.minimum(np.searchsorted(self.features, f), n - 1)
                 hit = self.features[at] == f
-                key = np.unique(doc[hit] * len(self.features) + at[hit])
-                out[a:b] += np.bincount(key // len(self.features), self.weights[key % len(self.features)], minlength=b - a)
+                found.append(np.unique((a + doc[hit]) * n + at[hit]))
+            key = np.unique(np.concatenate(found))
+            out += np.bincount(key // n, self.weights[key % n], minlength=len(texts))
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
+def _once(sets: list[np.ndarray]) -> list[np.ndarray]:
+    return [np.frombuffer(d, np.uint32) for d in sorted({x.tobytes() for x in sets})]
+
+
+def _telling(in_p: np.ndarray, in_u: np.ndarray, np_: int, nu: int, least: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Features surely more frequent in positives than in unlabelled text, by SURE standard errors, and all ratios."""
+    ratio = (in_p + 0.5) / np_ / ((in_u + 0.5) / nu)
+    expected = (in_u + 0.5) / nu * np_
+    return np.flatnonzero((in_p - expected >= SURE * np.sqrt(expected + 1)) & (ratio >= least)), ratio
+
+
+def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], least: float = 0.3) -> float:
+    """The share of positives in unlabelled text, from feature sets alone.
+
+    Of all rules, the share of unlabelled texts that one catches is at least the prior times the share of positives that
+    it catches; so the prior is at most the least quotient of the two. The rules are the cuts of a sum of log ratios,
+    learned on one half of the texts and judged on the other, that catch least or more of the positives there; an upper
+    bound of each unlabelled share is taken. Where no rule tells the two apart by a factor of two, the confirmed
+    positives' own share of the texts is returned: toxic text is taken to be the lesser part.
+    """
+    positive, unlabelled = _once(positive), _once(unlabelled)
+    known = {x.tobytes() for x in positive}
+    floor = sum(x.tobytes() in known for x in unlabelled) / max(1, len(unlabelled))
+    floor = max(floor, 1.0 / (len(unlabelled) + 1))
+    bounds = []
+    for fold in (0, 1):
+        p, u = positive[fold::2], unlabelled[fold::2]
+        q, v = positive[1 - fold :: 2], unlabelled[1 - fold :: 2]
+        if not (len(p) and len(u) and len(q) and len(v)):
+            continue
+        name, at = np.unique(np.concatenate([*p, *u]), return_inverse=True)
+        mine = np.arange(len(at)) < sum(map(len, p))
+        in_p, in_u = (np.bincount(at[m], minlength=len(name)) for m in (mine, ~mine))
+        good, ratio = _telling(in_p, in_u, len(p), len(u), 1.5)
+        weight = dict(zip(name[good].tolist(), np.log(ratio[good]).tolist(), strict=True))
+        marks = lambda sets: np.array([sum(weight.get(f, 0.0) for f in s.tolist()) for s in sets])
+        sp, su = np.sort(marks(q)), np.sort(marks(v))
+        for cut in np.unique(sp[sp > 0]):
+            caught = len(sp) - np.searchsorted(sp, cut)
+            if caught >= least * len(sp):
+                also = len(su) - np.searchsorted(su, cut)
+                bounds.append((also + np.sqrt(also + 1)) / len(su) / (caught / len(sp)))
+    best = min(bounds, default=1.0)
+    return float(min(max(best, floor), 0.9)) if best < 0.5 else float(floor)
+
+
 def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, rounds: int = 1000, rate: float = 0.05, decay: float = 2e-5) -> Model:
     """A linear classifier that minimises the class-prior-corrected risk, its negative part held at zero.
 
@@ -71,7 +137,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     errors. Texts with the same features count once, so that copies don't make their words telling.
     """
     prior = float(np.clip(prior, 1e-4, 0.9))
-    positive, unlabelled = ([np.frombuffer(d, np.uint32) for d in sorted({x.tobytes() for x in part})] for part in (positive, unlabelled))
+    positive, unlabelled = _once(positive), _once(unlabelled)
     if not positive or not unlabelled:
         return Model(np.empty(0, np.uint32), np.empty(0), float(np.log(prior / (1 - prior))))
     name, inverse = np.unique(np.concatenate([*positive, *unlabelled]), return_inverse=True)
@@ -79,9 +145,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     rows = np.repeat(np.arange(np_ + nu), [len(x) for x in (*positive, *unlabelled)])
     in_p = np.bincount(inverse[rows < np_], minlength=len(name))
     in_u = np.bincount(inverse[rows >= np_], minlength=len(name))
-    ratio = (in_p + 0.5) / np_ / ((in_u + 0.5) / nu)
-    expected = (in_u + 0.5) / nu * np_
-    good = np.flatnonzero((in_p - expected >= SURE * np.sqrt(expected + 1)) & (ratio >= min(3.0, 0.5 / prior)))
+    good, ratio = _telling(in_p, in_u, np_, nu, min(3.0, 0.5 / prior))
     good = np.sort(good[np.argsort(-ratio[good] * np.sqrt(in_p[good]), kind="stable")[:FEATURES]])
     column = np.full(len(name), -1)
     column[good] = np.arange(len(good))
@@ -105,21 +169,23 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(name[good], w, float(bias))
 
 
-def train(docs: DataFrame, labels: DataFrame, learn, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 4) -> Model:
+def train(docs: DataFrame, labels: DataFrame, learn, positives: int = POSITIVES, unlabelled: int = UNLABELLED, seed: int = 4, prior: float | None = None) -> Model:
     """Fits on a sample of at most about positives + unlabelled texts, drawn by id; learn says which ids may teach.
 
-    The class prior is the share of toxic rows in all labels that may teach. Unlabelled texts come from all documents
-    that may teach. Rows of labels with a null id or null toxic, and null texts, teach nothing.
+    Positives are the ids that some row of labels marks toxic = 1; no other label is read. Unlabelled texts come from
+    all documents that may teach. prior, the share of toxic texts among those, is estimated where it isn't given. Rows
+    of labels with a null id, and null texts, teach nothing; an id that labels repeats is one positive. Without
+    positives the model says its prior for every text. Only doc_id, toxic and text are read.
     """
     prepare(docs.sparkSession)
-    known = labels.where(learn & F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
-    total, toxic = known.agg(F.count("*"), F.coalesce(F.sum((F.col("toxic") == 1).cast("long")), F.lit(0))).first()
+    known = labels.where(learn & F.col("doc_id").isNotNull() & (F.col("toxic") == 1)).select(F.col("doc_id").alias("known")).distinct()
+    toxic = known.count()
     teach = docs.where(learn & F.col("text").isNotNull()).select("doc_id", "text")
     there = docs.select("doc_id").where(learn).count()
-    chosen = known.where((F.col("toxic") == 1) & (draw("doc_id", seed) < share(positives, toxic))).select("doc_id", F.lit(True).alias("_toxic")).distinct()
-    picked = teach.join(F.broadcast(chosen.limit(2 * positives)), "doc_id", "left")
+    chosen = known.where(draw("known", seed) < share(positives, toxic)).limit(2 * positives)
+    picked = teach.join(F.broadcast(chosen), F.col("doc_id") == F.col("known"), "left")
     other = draw("doc_id", seed + 1) < share(unlabelled, there)
-    picked = picked.select(F.col("_toxic").isNotNull().alias("toxic"), other.alias("other"), "text").where("toxic or other")
+    picked = picked.select(F.col("known").isNotNull().alias("toxic"), other.alias("other"), "text").where("toxic or other")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,11 +194,15 @@ def train(docs: DataFrame, labels: DataFrame, learn, positives: int = POSITIVES,
 
     got = sorted((r["toxic"], r["other"], bytes(r["data"])) for r in picked.mapInArrow(run, "toxic boolean, other boolean, data binary").toLocalIterator())
     arrays = [(t, o, np.frombuffer(d, np.uint32)) for t, o, d in got]
-    return fit([a for t, _, a in arrays if t], [a for _, o, a in arrays if o], toxic / total if total else 0.0)
+    p, u = [a for t, _, a in arrays if t], [a for _, o, a in arrays if o]
+    return fit(p, u, estimate_prior(p, u) if prior is None else prior)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """(doc_id, score) for every row of docs; null text scores as empty text."""
+    """(doc_id, score) for every row of docs, repeated rows each; null text scores as empty text, which has no feature.
+
+    Whole texts are scored, long ones piece by piece; other columns are ignored. An empty table gives an empty one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,7 +213,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """docs whose score is under the threshold, columns as they are."""
+    """docs whose score is under the threshold, columns as they are and whatever their names; rows that repeat fare alike."""
 
     @F.pandas_udf("double")
     def toxic(text):
