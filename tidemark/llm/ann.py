@@ -16,6 +16,8 @@ from tidemark.llm.vectors import Tree, grow, leaves, matrix, sample, usable
 
 #: Trees, levels of each, directions tried at each split, and the part of all rows that a query's leaves should hold.
 TREES, DEPTH, TRIES, PROBED = 4, 6, 24, 1.2
+#: Rows that a leaf should have at most: larger tables get deeper trees, as far as the sample can fit them.
+LEAF = 8192
 #: Rows of a leaf that one task holds; larger leaves are dealt over several.
 BLOCK = 4096
 #: Float noise of a matrix product that may not decide who is reranked.
@@ -79,7 +81,8 @@ def nearest(rows: DataFrame, is_query, top: int = 20, trees: int = TREES, depth:
     x, n = sample(points, seed=seed)
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    forest = [grow(lifted(x), min(depth, max(0, int(np.log2(max(n, 1) / 8)))), seed * 1000 + t, TRIES) for t in range(trees)]
+    wanted = max(min(depth, int(np.log2(max(n, 8) / 8))), int(np.ceil(np.log2(n / LEAF))))
+    forest = [grow(lifted(x), min(wanted, max(0, int(np.log2(max(len(x), 8) / 8)))), seed * 1000 + t, TRIES) for t in range(trees)]
     deep = forest[0].depth
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +91,11 @@ def nearest(rows: DataFrame, is_query, top: int = 20, trees: int = TREES, depth:
             if not len(v):
                 continue
             at = lifted(v)
-            codes = np.concatenate([leaves(t, at)[1][np.argsort(leaves(t, at)[0])] + (k << deep) for k, t in enumerate(forest)])
+            codes = []
+            for k, t in enumerate(forest):
+                row, leaf = leaves(t, at)
+                codes.append(leaf[np.argsort(row)] + (k << deep))
+            codes = np.concatenate(codes)
             pick = pa.array(np.tile(np.arange(len(v)), len(forest)))
             yield pa.RecordBatch.from_arrays([pa.array(codes), batch.column(0).take(pick), pa.array([v[i].tobytes() for i in range(len(v))] * len(forest), pa.binary())], names=["code", "id", "v"])
 

@@ -9,123 +9,187 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemark.llm.common import cut, prepare
 from tidemark.llm.graph import components, smallest_reached
-from tidemark.llm.vectors import grow, leaves, matrix, sample, usable
+from tidemark.llm.vectors import SpillTree, grow_spill, matrix, sample, usable
 
-#: Trees, rows that a leaf should have, and the distance to a plane within which a row goes to both sides.
-TREES, LEAF, SPILL = 10, 400, 0.02
+#: Rows that a leaf should have at most, the share of rows that each level counts as near its cut, and the least trees.
+LEAF, SPILL, TREES = 8192, 0.1, 3
+#: Part of the pairs just at the threshold that shall meet in some leaf: trees are added until made-up ones do.
+RECALL = 0.98
 #: Rows of a block; larger leaves are compared block by block, each pair of blocks in a task of its own.
-BLOCK = 2000
+BLOCK = 16384
+#: Rows and bytes within which a task collapses equal vectors before they go down the trees.
+TOGETHER, TOGETHER_BYTES = 65_536, 64 << 20
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, seed: int = 10) -> DataFrame:
-    """(vec_id, n_links, component_id, kept), a row for each row of rows.
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in double precision; the largest component is made 1 first, so nothing overflows."""
+    x = v.astype(np.float64)
+    x /= np.abs(x).max(1, keepdims=True, initial=1e-320)
+    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
-    Each tree splits at medians of a bounded sample along random directions; every vector goes down every tree, near a
-    plane to both sides. Vectors that share a leaf are compared by cosine in double precision. A pair that shares
-    several leaves counts in the first only, so that n_links is the number of different vectors found at threshold or
-    above. From a leaf come counts and one link per vector to the smallest it reaches there, never the pairs.
 
-    Equal vectors (the same numbers, scale aside only if bit-equal after it) are collapsed before the trees and counted
-    by weight. Leaves of over BLOCK rows are compared block against block, so none is capped. Vectors that are null,
-    zero or hold null or non-finite components, or of a length unlike most, and rows with null ids, link with nothing:
-    n_links 0, component_id their id. Rows that repeat an id are one vector if their vectors are equal; otherwise they
-    share links, and each row of the id gets the sum.
+def forest(x: np.ndarray, depth: int, threshold: float, share: float = SPILL, recall: float = RECALL, least: int = TREES, most: int = 400, seed: int = 10) -> list[SpillTree]:
+    """As many trees as it takes for pairs at the threshold to meet: partners of sampled rows are made up and sent down.
+
+    A table that is one leaf needs one tree.
+    """
+    rng = np.random.default_rng(seed)
+    a = x[:: max(1, len(x) // 2000)]
+    b = rng.standard_normal(a.shape)
+    b -= np.einsum("ij,ij->i", a, b)[:, None] * a
+    size = np.linalg.norm(b, axis=1, keepdims=True)
+    b = np.where(size > 1e-9, threshold * a + math.sqrt(max(0.0, 1 - threshold**2)) * b / np.maximum(size, 1e-300), a)
+    apart = np.ones(len(a), bool)
+    trees: list[SpillTree] = []
+    while len(trees) < most and (len(trees) < (least if depth else 1) or apart.mean() > 1 - recall):
+        trees.append(grow_spill(x, depth, share, seed * 1000 + len(trees)))
+        p, q = trees[-1].places(a), trees[-1].places(b)
+        apart &= ~_met(p, q)
+    return trees
+
+
+def _met(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Whether rows with the leaves p and q of one tree share one."""
+    return (p[:, 0] == q[:, 0]) | (p[:, 0] == q[:, 1]) | (p[:, 1] == q[:, 0]) | ((p[:, 1] == q[:, 1]) & (p[:, 1] >= 0))
+
+
+def near_duplicates(
+    rows: DataFrame, threshold: float = 0.9, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL, recall: float = RECALL, seed: int = 10
+) -> DataFrame:
+    """(vec_id, n_links, component_id, kept), a row for each row of rows; only vec_id and embedding are read.
+
+    Each tree cuts at medians of a bounded sample along random directions; every vector goes down every tree, and near a
+    cut to both sides, at the one cut of the tree to which it is nearest, so to two leaves at most. The depth follows
+    the number of rows, so that leaves keep their size; at least trees trees are grown, and more until recall of
+    made-up pairs just at the threshold share a leaf. Vectors that share a leaf are compared by cosine in double
+    precision. A pair that shares several leaves counts in the first only, so that n_links is the number of different
+    vectors found at threshold or above. From a leaf come counts and one link per vector to the smallest it reaches
+    there, never the pairs.
+
+    Equal vectors of a task are collapsed before the trees and counted by weight, so that a vector that a third of all
+    rows hold goes down once a task. Leaves of over BLOCK rows are compared block against block, so none is capped.
+    Vectors that are null, zero or hold null or non-finite components, or of a length unlike most, and rows with null
+    ids, link with nothing: n_links 0, component_id their id. Rows that repeat an id are one vector if their vectors are
+    equal; otherwise they share links, and each row of the id gets the sum. An empty table gives an empty one.
     """
     spark = prepare(rows.sparkSession)
-    good = usable(rows)
+    kind = rows.schema["embedding"].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    wire = np.dtype("<f4" if single else "<f8")
+    good = usable(rows).withColumn("v", F.col("v").cast("array<float>")) if single else usable(rows)
     size = good.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
     dim = size["d"] if size else 1
-    square = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
-    scaled = F.transform("v", lambda x: x / F.col("norm"))
-    unit = cut(good.where(F.size("v") == dim).withColumn("norm", square).where("norm > 0 and norm < double('infinity')").select("id", scaled.alias("v")).distinct())
-    classes = cut(unit.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("weight")))
-    x, n = sample(classes.select(F.col("rep").alias("id"), "v"), seed=seed)
+    good = good.where(F.size("v") == dim)
+    if not good.groupBy("id").count().where("count > 1").isEmpty():
+        good = good.distinct()
+    x, n = sample(good, seed=seed)
     depth = max(0, math.ceil(math.log2(max(n, 1) / leaf)))
-    # deeper trees than the sample can fit would split at random; the leaves are blocked instead
-    depth = min(depth, max(0, int(math.log2(max(len(x), 1) / 8)))) if len(x) else 0
-    forest = [grow(x, depth, seed * 1000 + t) for t in range(trees)] if depth else [grow(x, 0, seed)]
-    count = len(forest)
+    grown = forest(unit(x), depth, threshold, spill, recall, trees, seed=seed) if len(x) else []
+    together = max(1, min(TOGETHER, TOGETHER_BYTES // (wire.itemsize * dim)))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush(ids: list[np.ndarray], vectors: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            every, v = np.concatenate(ids), np.concatenate(vectors)
+            order = np.argsort(every, kind="stable")  # the smallest id of equal vectors comes first
+            every, v = every[order], np.ascontiguousarray(v[order]) + 0.0
+            _, first, inverse = np.unique(v.view(np.dtype((np.void, v.dtype.itemsize * dim))).ravel(), return_index=True, return_inverse=True)
+            head = first[inverse.ravel()]
+            weight = np.bincount(head, minlength=len(every))[head]
+            leads = head == np.arange(len(every))
+            for s in range(0, len(every), 4096):
+                part = slice(s, s + 4096)
+                u = unit(v[part])
+                where = np.concatenate([t.places(u) for t in grown], axis=1)
+                lead = leads[part]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(every[part]), pa.array(every[head[part]]), pa.array(weight[part]),
+                        pa.array([r.tobytes() if k else None for r, k in zip(v[part], lead, strict=True)], pa.binary()),
+                        pa.array([r if k else None for r, k in zip(where, lead, strict=True)], pa.list_(pa.int32())),
+                    ],
+                    names=["id", "rep", "weight", "v", "codes"],
+                )
+
+        ids: list[np.ndarray] = []
+        vectors: list[np.ndarray] = []
+        held = 0
         for batch in batches:
-            v = matrix(batch.column(2))
-            where = [leaves(t, v, spill) for t in forest]
-            # all leaves of a row, as tree * 2 ** 40 + leaf, in order
-            row = np.concatenate([r for r, _ in where])
-            code = np.concatenate([leaf_ + (t << 40) for t, (_, leaf_) in enumerate(where)])
-            order = np.lexsort((code, row))
-            row, code = row[order], code[order]
-            edges = np.searchsorted(row, np.arange(len(v) + 1))
-            lists = [code[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
-            pick = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(code), batch.column(0).take(pick), batch.column(1).take(pick), pa.array([v[i].tobytes() for i in row], pa.binary()), pa.array([lists[i].tobytes() for i in row], pa.binary())],
-                names=["code", "rep", "weight", "v", "codes"],
-            )
-
-    placed = classes.select("rep", "weight", "v").mapInArrow(place, "code long, rep long, weight long, v binary, codes binary")
-    sizes = classes.select("rep", "weight", "v").mapInArrow(place, "code long, rep long, weight long, v binary, codes binary").groupBy("code").agg(F.count("*").alias("rows"))
-    large = sizes.where(F.col("rows") > BLOCK).withColumn("blocks", F.ceil(F.col("rows") / BLOCK).cast("int")).select("code", "blocks")
+            if not batch.num_rows:
+                continue
+            ids.append(batch.column(0).to_numpy())
+            vectors.append(matrix(batch.column(1)).astype(wire))
+            held += batch.num_rows
+            if held >= together:
+                yield from flush(ids, vectors)
+                ids, vectors, held = [], [], 0
+        if held:
+            yield from flush(ids, vectors)
+
+    placed = cut(good.select("id", "v").mapInArrow(place, "id long, rep long, weight long, v binary, codes array<int>"))
+    # (tree, leaf) of a row: the leaves stand in pairs, tree by tree
+    codes = placed.where("v is not null").select("*", F.posexplode("codes").alias("slot", "leaf")).where("leaf >= 0").withColumn("tree", F.floor(F.col("slot") / 2).cast("int"))
+    sizes = codes.groupBy("tree", "leaf").agg(F.count("*").alias("rows")).where(F.col("rows") > BLOCK)
+    large = sizes.select("tree", "leaf", F.ceil(F.col("rows") * 2 / BLOCK).cast("int").alias("blocks"))
     # a leaf of k blocks makes tasks (i, j), i <= j; a row of block b belongs to all that name b
-    blocked = placed.join(large, "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
+    blocked = codes.join(large, ["tree", "leaf"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks").cast("long")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     tasks = blocked.withColumn("other", other).withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    tasks = tasks.select("tree", "leaf", "low", "high", "block", "rep", "weight", "v", "codes")
+    slack = 2.4e-7 * (dim + 16)  # what a product of unit rows in single precision can be off
 
     def compare(table: pa.Table) -> pa.Table:
         rep, weight = table.column("rep").to_numpy(), table.column("weight").to_numpy()
         block = table.column("block").to_numpy()
-        low, high = int(table.column("low")[0].as_py()), int(table.column("high")[0].as_py())
-        here = int(table.column("code")[0].as_py())
-        v = np.stack([np.frombuffer(b, np.float64) for b in table.column("v").to_pylist()])
-        codes = [np.frombuffer(b, np.int64) for b in table.column("codes").to_pylist()]
-        before = np.array([np.searchsorted(c, here) for c in codes])
-        earlier = np.full((len(codes), max(1, before.max())), -1, np.int64)
-        for i, c in enumerate(codes):
-            earlier[i, : before[i]] = c[: before[i]]
+        low, high, here, leaf = (int(table.column(c)[0].as_py()) for c in ("low", "high", "tree", "leaf"))
+        v = unit(np.frombuffer(b"".join(table.column("v").to_pylist()), wire).reshape(-1, dim))
+        rough = v.astype(np.float32)
+        where = matrix(table.column("codes")).reshape(len(rep), -1, 2)
         left, right = (np.flatnonzero(block == low), np.flatnonzero(block == high))
-        pa_, pb_ = [], []
+        across = np.ascontiguousarray(rough[right].T)
+        label = np.arange(len(rep))
+        found = np.zeros(len(rep), np.int64)
         for s in range(0, len(left), 512):
-            rows_ = left[s : s + 512]
-            i, j = np.nonzero(v[rows_] @ v[right].T >= threshold - 1e-9)
-            i, j = rows_[i], right[j]
+            part = left[s : s + 512]
+            near = rough[part] @ across
+            i, j = np.nonzero(near >= threshold - slack)
+            sure = near[i, j] >= threshold + slack
+            i, j = part[i], right[j]
             if low == high:
-                i, j = i[i < j], j[i < j]
-            for t in range(0, len(i), 50_000):
-                a, b = i[t : t + 50_000], j[t : t + 50_000]
-                exact = np.einsum("ij,ij->i", v[a], v[b]) >= threshold
-                a, b = a[exact], b[exact]
-                pa_.append(a)
-                pb_.append(b)
-        a, b = (np.concatenate(x) if x else np.zeros(0, int) for x in (pa_, pb_))
-        label = smallest_reached(a, b, len(rep))
+                sure, i, j = sure[i < j], i[i < j], j[i < j]
+            open_ = np.flatnonzero(~sure)
+            for t in range(0, len(open_), 50_000):
+                k = open_[t : t + 50_000]
+                sure[k] = np.einsum("ij,ij->i", v[i[k]], v[j[k]]) >= threshold
+            i, j = i[sure], j[sure]
+            a, b = label[i], label[j]
+            if (a != b).any():
+                label = smallest_reached(a, b, len(rep))[label]
+            for t in range(here):  # pairs that met in an earlier tree were counted there
+                apart = ~_met(where[i, t], where[j, t])
+                i, j = i[apart], j[apart]
+            # a pair with two leaves of this tree in common counts where the row of the smaller place has its own leaf
+            twice = (where[i, here] >= 0).all(1) & (np.sort(where[i, here], 1) == np.sort(where[j, here], 1)).all(1)
+            fresh = ~twice | (where[i, here].min(1) == leaf)
+            i, j = i[fresh], j[fresh]
+            found += np.bincount(i, weight[j], len(rep)).astype(np.int64) + np.bincount(j, weight[i], len(rep)).astype(np.int64)
         lowest = np.full(len(rep), np.iinfo(np.int64).max)
         np.minimum.at(lowest, label, rep)
-        # pairs whose first shared leaf is this one: no earlier leaf of the one is an earlier leaf of the other
-        fresh = np.ones(len(a), bool)
-        for t in range(0, len(a), 20_000):
-            x, y = earlier[a[t : t + 20_000]], earlier[b[t : t + 20_000]]
-            met = np.zeros(len(x), bool)
-            for k in range(x.shape[1]):
-                met |= ((x[:, k : k + 1] == y) & (x[:, k : k + 1] >= 0)).any(1)
-            fresh[t : t + 20_000] = ~met
-        a, b = a[fresh], b[fresh]
-        found = np.zeros(len(rep), np.int64)
-        np.add.at(found, a, weight[b])
-        np.add.at(found, b, weight[a])
         hub = lowest[label]
         say = (found > 0) | (hub != rep)
         return pa.table({"rep": pa.array(rep[say]), "found": pa.array(found[say]), "hub": pa.array(hub[say])})
 
-    out = cut(tasks.select("code", "low", "high", "block", "rep", "weight", "v", "codes").groupBy("code", "low", "high").applyInArrow(compare, "rep long, found long, hub long"))
+    out = cut(tasks.groupBy("tree", "leaf", "low", "high").applyInArrow(compare, "rep long, found long, hub long"))
     per = out.groupBy("rep").agg(F.sum("found").alias("found"))
-    inside = unit.join(classes, "v").select("id", "rep", "weight")
+    inside = placed.select("id", "rep", "weight")
     # an id with several vectors belongs to several classes, and joins them
     edges = out.select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct().union(inside.select(F.col("id").alias("a"), F.col("rep").alias("b")))
     member = components(edges)
-    links = inside.join(per, "rep", "left").groupBy("id").agg(F.sum(F.coalesce("found", F.lit(0)) + F.col("weight") - 1).alias("links"))
+    same = inside.groupBy("id", "rep").agg(F.sum(F.col("weight") - 1).alias("same"))
+    links = same.join(per, "rep", "left").groupBy("id").agg(F.sum(F.coalesce("found", F.lit(0)) + F.col("same")).alias("links"))
     named = rows.select(F.col("vec_id").cast("long").alias("vec_id"))
     full = named.join(links, named["vec_id"] == links["id"], "left").join(member, F.col("vec_id") == F.col("node"), "left")
     component = F.coalesce("component", "vec_id")
