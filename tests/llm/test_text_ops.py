@@ -76,6 +76,40 @@ def test_similar_groups_of_an_empty_table(spark):
     assert jaccard.similar_groups(spark.createDataFrame([], DOCS)).count() == 0
 
 
+UNLIKE = [" ".join(f"w{i}x{k}" for k in range(i % 9 + 1)) for i in range(50)]
+
+
+@pytest.mark.parametrize("texts", [UNLIKE, UNLIKE[8:9], [UNLIKE[7]] * 3 + [UNLIKE[8]], [UNLIKE[8], UNLIKE[8].upper(), UNLIKE[7] + " z", UNLIKE[3]]], ids=["unlike", "one", "copies", "pair"])
+@pytest.mark.parametrize("fragments", [1, 64, 1 << 17])
+def test_similar_groups_where_little_is_shared(spark, texts, fragments):
+    rows = list(enumerate(texts))
+    df = spark.createDataFrame([(i, t, None, "s", 7) for i, t in rows], DOCS)
+    monkey = jaccard.partitions
+    jaccard.partitions = lambda spark: 1 << 20  # no more tasks for more fragments
+    try:
+        got = sorted(tuple(r) for r in jaccard.similar_groups(df, fragments=fragments).collect())
+        kept = sorted(r.doc_id for r in jaccard.one_of_each(df, fragments=fragments).collect())
+    finally:
+        jaccard.partitions = monkey
+    assert got == brute_groups(rows)
+    assert kept == sorted({c for _, _, c in got})
+
+
+@pytest.mark.parametrize("fragments", [1, 1 << 17])
+def test_large_buckets_are_dealt(spark, monkeypatch, fragments):
+    monkeypatch.setattr(jaccard, "DEALT", 3)
+    monkeypatch.setattr(jaccard, "HUBS", 4)
+    monkeypatch.setattr(jaccard, "GROWTH", 2)
+    monkeypatch.setattr(jaccard, "partitions", lambda spark: 1 << 20)
+    rng = random.Random(11)
+    vocab = [f"v{i}" for i in range(400)]
+    line = "a b c d e f g h"
+    texts = [f"{line} {' '.join(rng.choices(vocab, k=3))}" for _ in range(60)] + corpus(12, 40)
+    rows = list(enumerate(texts))
+    got = jaccard.similar_groups(spark.createDataFrame([(i, t, None, "s", 7) for i, t in rows], DOCS), fragments=fragments).collect()
+    assert sorted(tuple(r) for r in got) == brute_groups(rows)
+
+
 def test_parity_bits_bound_the_difference():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 1 << 63, 400).astype(np.uint64)
@@ -123,17 +157,57 @@ def test_repeated_passages_go_and_first_ones_stay(spark):
     assert substring.without_repeats(spark.createDataFrame([], DOCS)).count() == 0
 
 
-def test_repeats_match_brute_force(spark):
-    texts = corpus(7, 80)
+def plain_chunks(text):
+    """[(first byte, byte behind, words)] of each chunk, byte by byte from the definition."""
+    raw = text.encode()
+    found = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", raw)]
+    low = bytes(32 if 9 <= c <= 13 else c + 32 if 65 <= c <= 90 else c for c in raw)
+    out, held = [], []
+
+    def close(k):
+        out.append((held[0][0], held[k - 1][1], tuple(low[x:y] for x, y in held[:k])))
+        del held[:k]
+
+    for s, e in found:
+        held.append((s, e))
+        h = sum(int(substring._GEAR[low[i]]) << (e - 1 - i) for i in range(max(0, e - 16), e)) & 0xFFFFFFFF
+        if len(held) > substring.MAX_WORDS:
+            close(substring.MAX_WORDS)
+        if h >> 14 & 3 == 0 and len(held) >= substring.MIN_WORDS:
+            close(len(held))
+    while held:
+        close(min(len(held), substring.MAX_WORDS))
+    return out
+
+
+def plain_without_repeats(rows):
+    """{id: text} by a dictionary of chunks in order of id and place; a run of 16 repeated words goes."""
+    seen, out = set(), {}
+    for i, t in sorted(rows):
+        raw, run, cuts = t.encode(), [], []
+        parts = plain_chunks(t)
+        for k, (s, _, w) in enumerate([*parts, (len(raw), 0, None)]):
+            if w is not None and w in seen:
+                run.append((s, w))
+                continue
+            if sum(len(x) for _, x in run) >= substring.MIN_RUN:
+                cuts.append((run[0][0], s))
+            run = []
+            seen.add(w)
+        kept, at = b"", 0
+        for x, y in cuts:
+            kept, at = kept + raw[at:x], y
+        out[i] = (kept + raw[at:]).decode()
+    return out
+
+
+@pytest.mark.parametrize("fragments", [None, 1, 64])
+def test_repeats_match_brute_force(spark, fragments):
+    texts = [*corpus(7, 80), "one and only one and only one and only " * 20, "É " * 50, "\x0b a b  c\t"]
     df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS).repartition(7)
-    got = {r.doc_id: r.removed_words for r in substring.without_repeats(df).collect()}
-    seen, expect = {}, {}
-    for i, t in enumerate(texts):
-        w = Words([t.encode()])
-        digest = substring.chunks(w)[2].tolist()
-        again = np.array([k for k, d in enumerate(digest) if seen.setdefault(d, (i, k)) != (i, k)], int)
-        expect[i] = substring.spans(w, again)[1]
-    assert got == expect and any(expect.values())
+    got = {r.doc_id: r.text for r in substring.without_repeats(df, fragments=fragments).collect()}
+    expect = plain_without_repeats(enumerate(texts))
+    assert got == expect and sum(got[i] != t for i, t in enumerate(texts)) > 10
 
 
 def test_mix_reaches_targets_and_repeats_itself(spark):
@@ -213,7 +287,7 @@ def test_sum_of_squares_picks_the_least_sum():
     rng, levels = random.Random(8), packing.SumOfSquares(16)
     for n in (rng.randint(1, 16) for _ in range(400)):
         before = levels.count.copy()
-        full = levels.place(("x", 0, np.zeros(n), n), n)
+        full = levels.place(("x", 0, np.zeros(n), n, packing.PLACED))
         options = []
         for h in range(0, 17 - n):
             if h and not before[h]:
@@ -225,7 +299,27 @@ def test_sum_of_squares_picks_the_least_sum():
                 c[h + n] += 1
             options.append((c**2).sum())
         assert (levels.count**2).sum() == min(options)
-        assert full is None or sum(len(i[2]) for i in full) == 16
+        assert len(full) < 2 and all(sum(len(i[2]) for i in w) == 16 for w in full)
+
+
+@pytest.mark.parametrize("n, least", [(250, 0.85), (2000, 0.95), (8000, 0.98)])
+def test_the_rule_places_most_pieces_whole(n, least):
+    rng = np.random.default_rng(0)
+    docs = [(i, np.arange(int(np.clip(rng.lognormal(5, 1), 1, 20_000)), dtype="<u4")) for i in range(n)]
+    windows = list(packing.pack_ids(iter(docs)))
+    pieces = [p for w in windows for p in w]
+    whole = sum(p[4] in (packing.FULL, packing.PLACED) for p in pieces)
+    assert whole >= least * len(pieces)
+    fills = [sum(len(p[2]) for p in w) for w in windows]
+    assert sum(f < packing.CAPACITY for f in fills) <= 11 and all(f & (f - 1) == 0 for f in fills)
+    if n >= 2000:  # most windows hold nothing that was cut
+        cut = sum(any(p[4] in (packing.SPLIT, packing.SEALED) for p in w) for w in windows)
+        assert cut <= 0.25 * len(windows)
+    by = {}
+    for key, start, ids, total, _ in sorted(pieces, key=lambda p: p[:2]):
+        assert by.get(key, 0) == start and ids[0] == start
+        by[key] = start + len(ids)
+    assert by == {k: len(ids) for k, ids in docs}
 
 
 def test_toxicity_learns_from_positives_alone():
@@ -241,6 +335,39 @@ def test_toxicity_learns_from_positives_alone():
     assert toxicity.fit([], unl, 0.1).score([b"", b"x"]).tolist() == pytest.approx([0.1, 0.1])
 
 
+def test_toxicity_needs_no_labelled_negatives(spark):
+    rng = random.Random(19)
+    vocab = ["".join(rng.choices("abcdefghij", k=5)) for _ in range(400)]
+    bad = [f"vile{c}" for c in "qrstuvw"]
+    toxic = [i % 10 == 0 for i in range(2000)]
+    texts = [" ".join([*rng.choices(vocab, k=50), *(rng.choices(bad, k=3) if t else [])]) for t in toxic]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS)
+    labels = spark.createDataFrame([(i, 0, 1) for i, t in enumerate(toxic) if t], "doc_id long, quality int, toxic int")
+    model = toxicity.train(df, labels, toxicity.may_teach())
+    flagged = np.zeros(2000, bool)
+    for r in toxicity.score(df, model).collect():
+        flagged[r.doc_id] = r.score >= 0.5
+    toxic = np.array(toxic)
+    assert flagged[~toxic].mean() < 0.05 and flagged[toxic].mean() > 0.95
+    p = toxicity.feature_sets([t.encode() for t, x in zip(texts, toxic, strict=True) if x])
+    u = toxicity.feature_sets([t.encode() for t in texts])
+    assert 0.08 < toxicity.estimate_prior(p, u) < 0.16
+    assert toxicity.estimate_prior(u[:100], u) < 0.2  # positives like any text: their own share
+
+
+def test_toxicity_weighs_more_than_the_plainest_words():
+    # each positive has some of 40 words that clean texts have too, only less often; no word decides alone
+    rng = random.Random(29)
+    mild = [f"mild{chr(97 + k // 6)}{chr(97 + k % 6)}" for k in range(40)]
+    vocab = [f"w{chr(97 + k // 26)}{chr(97 + k % 26)}" for k in range(400)]
+    make = lambda k: " ".join([*rng.choices(vocab, k=40), *rng.sample(mild, k)]).encode()
+    p = toxicity.feature_sets([make(12) for _ in range(400)])
+    u = toxicity.feature_sets([make(12 if i % 10 == 0 else 2) for i in range(3000)])
+    m = toxicity.fit(p, u, 0.1)
+    assert (m.weights != 0).sum() >= 35
+    assert (m.score([make(12) for _ in range(300)]) >= 0.5).mean() > 0.95 and (m.score([make(2) for _ in range(300)]) >= 0.5).mean() < 0.02
+
+
 def test_quality_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 4))

@@ -39,8 +39,8 @@ def test_near_duplicates_match_brute_force(spark):
         if (new == label).all():
             break
         label = new
-    for leaf in (1000, 60):
-        got = {r.vec_id: r for r in neardup.near_duplicates(frame(spark, x), leaf=leaf, trees=24).collect()}
+    for leaf, trees in ((1000, 3), (60, 24)):
+        got = {r.vec_id: r for r in neardup.near_duplicates(frame(spark, x), leaf=leaf, trees=trees).collect()}
         assert len(got) == len(x) + len(BAD)
         assert [got[i].n_links for i in range(len(x))] == link.sum(1).tolist()
         assert [got[i].component_id for i in range(len(x))] == label.tolist()
@@ -57,6 +57,59 @@ def test_large_leaves_are_compared_whole(spark, monkeypatch):
     assert [whole[i] for i in range(300)] == ((unit @ unit.T >= 0.9).sum(1) - 1).tolist()
 
 
+def planted(n, dim, seed=0):
+    """n random vectors, half of them partners of the other half at a cosine of 0.902 to 0.93."""
+    rng = np.random.default_rng(seed)
+    a = rng.standard_normal((n // 2, dim))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    b = rng.standard_normal(a.shape)
+    b -= (a * b).sum(1, keepdims=True) * a
+    b /= np.linalg.norm(b, axis=1, keepdims=True)
+    c = rng.uniform(0.902, 0.93, (n // 2, 1))
+    return np.concatenate([a, c * a + np.sqrt(1 - c * c) * b])
+
+
+def test_near_duplicates_find_planted_pairs(spark):
+    x = planted(24_000, 64)
+    flat = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<float>")
+    got = np.zeros(len(x), int)
+    for r in neardup.near_duplicates(flat).collect():
+        got[r.vec_id] = r.component_id
+    n = len(x) // 2
+    assert (got[n:] == np.arange(n)).mean() >= 0.97  # default parameters; the pairs are nearly all there is
+
+
+@pytest.mark.parametrize("dim", [64, 256, 1536])
+def test_trees_meet_at_any_depth_and_hold_two_copies_at_most(dim):
+    x = planted(4000, dim)
+    for depth in (1, 4, 12):
+        trees = neardup.forest(x, depth, 0.9)
+        apart = np.ones(2000, bool)
+        for t in trees:
+            p = t.places(x)
+            assert p.shape == (4000, 2) and (p[:, 0] >= 0).all() and p.max() < 1 << depth and (p[:, 0] != p[:, 1]).all()
+            apart &= ~neardup._met(p[:2000], p[2000:])
+        assert apart.mean() < 0.05, (dim, depth, len(trees))
+
+
+def test_copies_over_blocks_and_repeated_ids(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "TOGETHER", 7)
+    x = vectors(4, 200)
+    x[100:160] = x[3]
+    rows = [(i, [float(v) for v in r], 0) for i, r in enumerate(x)]
+    df = spark.createDataFrame([*rows, rows[5], rows[120], (7, [-float(v) for v in x[6]], 1)], VEC).withColumn("id", F.lit("clash")).withColumn("rep", F.lit(1)).repartition(5)
+    got = {}
+    for r in neardup.near_duplicates(df).collect():
+        assert got.setdefault(r.vec_id, r) == r
+    unit = np.concatenate([x, -x[6:7]]).astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    link = unit @ unit.T >= 0.9
+    np.fill_diagonal(link, False)
+    expect = link.sum(1)[:200]
+    expect[7] += link[200].sum()
+    assert [got[i].n_links for i in range(200)] == expect.tolist()
+
+
 def test_ann_recall_and_exact_scores(spark):
     x = vectors(5, 1200, 24).astype(float)
     x[7] *= 3

@@ -27,13 +27,14 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 
 @query
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = cut(read(spark, sf_dir, "documents").select("doc_id", "source", mixing.word_count().alias("size")))
-    mixed = mixing.mix(sized)
-    return mixed.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+    docs = read(spark, sf_dir, "documents")
+    sized = cut(docs.select(F.col("doc_id").alias("id"), "source", mixing.word_count().alias("size"), mixing.tie_breaker().alias("tie")))
+    mixed = mixing.mix_sized(sized)
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
 
 
 ORACLES["op1_mixing"] = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, md5(coalesce(text, '')) AS tie, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 r AS (SELECT *, row_number() OVER (ORDER BY source IS NULL, source) - 1 AS turn FROM s),
 w AS (SELECT *, ([5.0, 2.0, 1.0]::DOUBLE[])[(turn % 3 + 1)::BIGINT] AS weight FROM r),
@@ -46,10 +47,10 @@ n AS (SELECT *, row_number() OVER (ORDER BY source_size / weight, turn) AS pos F
 o AS (SELECT *, arg_min(level, CASE WHEN source_size * 2.0::DOUBLE > level * weight THEN pos END) OVER () AS final FROM n),
 t AS (SELECT source, source_size, least(source_size * 2.0::DOUBLE, coalesce(final, 'infinity'::DOUBLE) * weight) AS target FROM o),
 k AS (SELECT d.*, source_size, target, floor(sqrt(size::DOUBLE)) AS cls,
-    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % 64 AS salt,
+    ('0x' || substr(md5('17|' || coalesce(doc_id::VARCHAR, tie)), 1, 8))::BIGINT % 64 AS salt,
     ('0x' || substr(md5('17|source|' || coalesce(d.source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS off
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
-p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, salt, size, doc_id) AS place,
+p AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY cls, salt, size, doc_id NULLS FIRST, tie) AS place,
     CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS rate FROM k),
 c AS (SELECT *, (floor(place * rate + off) - floor((place - 1) * rate + off))::BIGINT AS copies FROM p)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c
@@ -140,7 +141,7 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(trap).alias("text")
     )
     out = chat.format_chats(rows.union(probe))
-    said = F.concat_ws("", F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]))
+    said = F.concat_ws("", chat.under(F.col("formatted"), F.col("loss_spans")))
     told = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
     return out.select(
         "conv_id",
@@ -175,4 +176,4 @@ FROM n GROUP BY conv_id
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(read(spark, sf_dir, "documents"), tokenizer_path())
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "how")
