@@ -32,6 +32,7 @@ FRAGMENT_BYTES = 96 << 20
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _GEAR[0] = 0
+_BACK = np.arange(1, WINDOW + 1)
 _Q = 0xD1342543DE82EF95
 _QINV = pow(_Q, -1, 1 << 64)
 _ENTRY = np.dtype([("digest", "<u8"), ("id", "<i8"), ("place", "<u4"), ("tag", "<u4")])
@@ -42,11 +43,10 @@ _NO_ID = np.iinfo(np.int64).max
 def gear(data: np.ndarray, end: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """At each end the sum of gear values of the WINDOW bytes before it, but not before begin, each shifted left by its
     distance."""
-    h = np.zeros(len(end), np.uint32)
-    for k in range(WINDOW):
-        at = end - 1 - k
-        h += np.where(at >= begin, _GEAR[data[np.maximum(at, 0)]], np.uint32(0)) << np.uint32(k)
-    return h
+    at = end[:, None] - _BACK
+    value = _GEAR[data[np.maximum(at, 0)]] << (_BACK - 1).astype(np.uint32)
+    value[at < begin[:, None]] = 0
+    return value.sum(1, dtype=np.uint32)
 
 
 def chunk_ends(words: Words, before: bytes = b"", closed: bool = True) -> np.ndarray:
