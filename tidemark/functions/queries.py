@@ -87,9 +87,9 @@ def fn_regex_hash(spark, sf):
 
 
 @query("""SELECT event_type, bit_and(user_id) AS ba, bit_or(user_id) AS bo, bit_xor(user_id) AS bx, bool_or(value > 99) AS any_big, arg_max(event_id, event_id) AS top, count(DISTINCT user_id) AS users, round(corr(value, user_id), 9) AS co, round(covar_pop(value, user_id), 6) AS cp,
-  round(skewness(value), 3) IS NOT NULL AS sk, mode(user_id % 2) IN (0, 1) AS mo FROM events GROUP BY event_type""")
+  round(skewness(value), 6) AS sk, mode(event_type) AS mo FROM events GROUP BY event_type""")
 def fn_aggregate(spark, sf):
     return read(spark, sf, "events").groupBy("event_type").agg(
         call("bitwise_and_agg", "user_id").alias("ba"), call("bitwise_or_agg", "user_id").alias("bo"), call("bitwise_xor_agg", "user_id").alias("bx"), call("logical_or", "value > 99").alias("any_big"), call("arg_max", "event_id", "event_id").alias("top"),
-        F.countDistinct("user_id").alias("users"), F.round(F.corr("value", "user_id"), 9).alias("co"), F.round(F.covar_pop("value", "user_id"), 6).alias("cp"), (F.round(F.skewness("value"), 3).isNotNull()).alias("sk"), F.mode(F.col("user_id") % 2).isin(0, 1).alias("mo"),
+        F.countDistinct("user_id").alias("users"), F.round(F.corr("value", "user_id"), 9).alias("co"), F.round(F.covar_pop("value", "user_id"), 6).alias("cp"), F.round(F.skewness("value") * F.sqrt(F.count("value") * (F.count("value") - 1)) / (F.count("value") - 2), 6).alias("sk"), F.mode("event_type").alias("mo"),
     )

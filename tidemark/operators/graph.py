@@ -8,22 +8,37 @@ from pyspark.sql import functions as F
 from tidemark.scratch import cut, drop_cut
 
 
+#: Levels that a traversal reads one by one before they are written together.
+LEVELS = 24
+
+
 def reach(edges: DataFrame, starts: DataFrame, downstream: bool = True, max_depth: int | None = None) -> DataFrame:
     """(project_id, id, depth): nodes that the starts (project_id, id) reach, at their least depth; starts have depth 0.
 
     Breadth first: each frontier meets the edges in one equi-join and loses what is known already in an anti-join, so
-    cycles end. Frontier and known nodes are written to the shared folder each step; the plan doesn't grow.
+    cycles end. Only the frontier is written to the shared folder each step; every LEVELS steps the levels are put
+    together, so that neither the plan nor the work grows with the depth.
     """
     a, b = ("from_node_id", "to_node_id") if downstream else ("to_node_id", "from_node_id")
     step = cut(edges.select("project_id", F.col(a).alias("id"), F.col(b).alias("_next")).distinct())
-    frontier = known = cut(starts.select("project_id", "id").distinct().withColumn("depth", F.lit(0)))
-    depth = 0
+    frontier = cut(starts.select("project_id", "id").distinct().withColumn("depth", F.lit(0)))
+    levels, depth = [frontier], 0
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
+        if len(levels) > LEVELS:
+            levels = [cut(_together(levels))]
         found = frontier.join(step, ["project_id", "id"]).select("project_id", F.col("_next").alias("id")).distinct()
-        frontier = cut(found.join(known, ["project_id", "id"], "left_anti").withColumn("depth", F.lit(depth)))
-        known = cut(known.union(frontier))
-    return known
+        frontier = cut(found.join(_together(levels), ["project_id", "id"], "left_anti").withColumn("depth", F.lit(depth)))
+        levels.append(frontier)
+    drop_cut(step)
+    return _together(levels)
+
+
+def _together(levels: list[DataFrame]) -> DataFrame:
+    out = levels[0]
+    for level in levels[1:]:
+        out = out.union(level)
+    return out
 
 
 def connected(edges: DataFrame, starts: DataFrame) -> DataFrame:

@@ -49,10 +49,10 @@ class Lineage:
 
 
 def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> Lineage:
-    """Lineage of scripts: columns project_id, ord, name, content, and optionally dialect and schema (JSON).
+    """Lineage of scripts: columns project_id, ord, name, content, and optionally dialect, schema (JSON) and bytes.
 
     A project's statements depend on those before them, so a project is analyzed in one task, scripts in order of ord
-    and then name; projects run side by side. Scripts over SCRIPT_BYTES give an issue instead. A project's dialect and
+    and then name; projects run side by side. Scripts over SCRIPT_BYTES, by their content or by bytes, give an issue instead. A project's dialect and
     schema are those of its first script that has one. Null content is an empty script. With hide_ctes, what flows through
     CTEs joins its sources and targets directly.
     """
@@ -63,6 +63,8 @@ def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> L
     for c in ("dialect", "schema"):
         if c not in scripts.columns:
             scripts = scripts.withColumn(c, F.lit(None).cast("string"))
+    if "bytes" not in scripts.columns:
+        scripts = scripts.withColumn("bytes", F.lit(0).cast("long"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from tidemark.lineage.analyzer import Project
@@ -74,8 +76,8 @@ def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> L
         project = Project(first("dialect") or "generic", given.get("tables"), given.get("defaultSchema"), given.get("defaultCatalog"),
                           [p.get("schema") for p in given.get("searchPath") or []], given.get("allowImplied", True), hide_ctes)
         files = []
-        for name, content in zip(pdf["name"], pdf["content"], strict=True):
-            if isinstance(content, str) and len(content.encode()) > SCRIPT_BYTES:
+        for name, content, size in zip(pdf["name"], pdf["content"], pdf["bytes"], strict=True):
+            if size > SCRIPT_BYTES or isinstance(content, str) and len(content.encode()) > SCRIPT_BYTES:
                 project.issue(None, "error", "PAYLOAD_SIZE", f"{name} is larger than {SCRIPT_BYTES} bytes")
             elif isinstance(content, str):
                 files.append((name, render(content)))
@@ -83,7 +85,7 @@ def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> L
         out = [(kind, json.dumps(r)) for kind, rs in rows.items() for r in rs]
         return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "kind": [k for k, _ in out], "row": [r for _, r in out]})
 
-    records = scripts.select("project_id", "ord", "name", "content", "dialect", "schema").groupBy("project_id").applyInPandas(run, "project_id string, kind string, row string")
+    records = scripts.select("project_id", "ord", "name", "content", "dialect", "schema", F.coalesce("bytes", F.lit(0)).alias("bytes")).groupBy("project_id").applyInPandas(run, "project_id string, kind string, row string")
     return Lineage(cut(records, "kind") if keep else records)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, read
-from tidemark.operators.relational import as_of_join, exact_sum, range_join, salted_sum, small, top_k
+from tidemark.operators.relational import as_of_join, exact_sum, median_by_counts, range_join, small, top_k
 
 
 
@@ -74,9 +74,9 @@ def agg_statistics(spark, sf):
     )
 
 
-@query(f"""SELECT l_suppkey, sum({SQL_DISC})::DOUBLE AS total FROM lineitem GROUP BY l_suppkey""")
-def agg_salted(spark, sf):
-    return salted_sum(read(spark, sf, "lineitem").select("l_suppkey", disc().alias("v")), "l_suppkey", F.col("v"))
+@query("""SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS median FROM lineitem GROUP BY l_returnflag""")
+def agg_median_by_counts(spark, sf):
+    return median_by_counts(read(spark, sf, "lineitem"), "l_returnflag", "l_quantity")
 
 
 @query("""SELECT n_name, r_name, s_suppkey FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA', 'EUROPE')""")
@@ -159,6 +159,16 @@ def join_as_of(spark, sf):
     return as_of_join(clicks, bought, "user_id", "ts", "ts", ["purchase_id"]).select("event_id", "purchase_id")
 
 
+@query("""WITH e AS (SELECT event_id, CASE WHEN event_id % 7 > 0 THEN user_id END AS user_id, CASE WHEN event_id % 11 > 0 THEN ts END AS ts, event_type FROM events)
+  SELECT e.event_id, p.event_id AS purchase_id FROM (SELECT * FROM e WHERE event_type = 'click') e
+  LEFT JOIN LATERAL (SELECT max(event_id) AS event_id FROM e p WHERE p.event_type = 'purchase' AND p.user_id = e.user_id AND p.ts = (SELECT max(q.ts) FROM e q WHERE q.event_type = 'purchase' AND q.user_id = e.user_id AND q.ts <= e.ts)) p ON true""")
+def join_as_of_nulls(spark, sf):
+    e = read(spark, sf, "events").select("event_id", F.expr("if(event_id % 7 > 0, user_id, null)").alias("user_id"), F.expr("if(event_id % 11 > 0, ts, null)").alias("ts"), "event_type")
+    clicks = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    bought = e.where("event_type = 'purchase'").select("user_id", "ts", F.col("event_id").alias("purchase_id"))
+    return as_of_join(clicks, bought, "user_id", "ts", "ts", ["purchase_id"]).select("event_id", "purchase_id")
+
+
 @query("""SELECT c_custkey, b.low FROM customer JOIN (SELECT range * 500.0::DOUBLE AS low, range * 500.0::DOUBLE + 700 AS high FROM range(0, 5)) b ON c_acctbal >= b.low AND c_acctbal < b.high""")
 def join_range(spark, sf):
     bands = spark.range(5).select((F.col("id") * 500.0).alias("low"), (F.col("id") * 500.0 + 700).alias("high"))

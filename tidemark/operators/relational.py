@@ -26,16 +26,23 @@ def as_of_join(left: DataFrame, right: DataFrame, on: str, left_time: str, right
     """left with the values of right's last row at or before left_time for the same key; null where there is none.
 
     One shuffle by key of the union of both sides and one running last(); no pair of rows is ever built. Right rows
-    of the same time must agree in values, or an arbitrary one counts.
+    with a null key or time match nothing, and neither do left rows with one, which stay with nulls and aren't shuffled.
+    Of right rows of one time the one whose values are greatest counts, in the order of values.
     """
-    carried = [F.lit(None).cast(dict(right.dtypes)[v]).alias(f"_{v}") for v in values]
-    a = left.select(F.col(on).alias("_key"), F.col(left_time).alias("_time"), F.lit(1).alias("_side"), F.struct(*left.columns).alias("_row"), *carried)
-    none = F.lit(None).cast(a.schema["_row"].dataType).alias("_row")
-    b = right.select(F.col(on).alias("_key"), F.col(right_time).alias("_time"), F.lit(0).alias("_side"), none, *[F.col(v).alias(f"_{v}") for v in values])
-    w = W.partitionBy("_key").orderBy("_time", "_side").rowsBetween(W.unboundedPreceding, W.currentRow)
-    seen = F.last(F.when(F.col("_side") == 0, F.struct(*[f"_{v}" for v in values])), ignorenulls=True).over(w)
-    joined = a.union(b).withColumn("_last", seen).where("_side = 1")
-    return joined.select("_row.*", *[F.col(f"_last._{v}").alias(v) for v in values])
+    kinds = dict(right.dtypes)
+    there = F.col(on).isNotNull() & F.col(left_time).isNotNull()
+    row = lambda df: F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+    carried = F.struct(*[F.lit(None).cast(kinds[v]).alias(f"v{i}") for i, v in enumerate(values)])
+    a = left.where(there).select(F.col(on).alias("key"), F.col(left_time).alias("time"), F.lit(1).alias("side"), row(left), carried.alias("held"))
+    none = F.lit(None).cast(a.schema["row"].dataType).alias("row")
+    held = F.struct(*[F.col(v).alias(f"v{i}") for i, v in enumerate(values)]).alias("held")
+    b = right.where(F.col(on).isNotNull() & F.col(right_time).isNotNull()).select(F.col(on).alias("key"), F.col(right_time).alias("time"), F.lit(0).alias("side"), none, held)
+    w = W.partitionBy("key").orderBy("time", "side", "held").rowsBetween(W.unboundedPreceding, W.currentRow)
+    seen = F.last(F.when(F.col("side") == 0, F.col("held")), ignorenulls=True).over(w)
+    joined = a.union(b).withColumn("last", seen).where("side = 1").select("row", "last")
+    alone = left.where(~F.coalesce(there, F.lit(False))).select(row(left), carried.alias("last"))
+    out = joined.union(alone)
+    return out.select(*[F.col("row").getField(c).alias(c) for c in left.columns], *[F.col("last").getField(f"v{i}").alias(v) for i, v in enumerate(values)])
 
 
 def range_join(points: DataFrame, ranges: DataFrame, at: str, low: str, high: str, width: float) -> DataFrame:
@@ -52,8 +59,11 @@ def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int) -> DataFr
     return df.withColumn("_place", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("_place") <= k)
 
 
-def salted_sum(df: DataFrame, key: str, value: Column, salts: int = 16, name: str = "total") -> DataFrame:
-    """A group-by for non-combining inputs with hot keys: by key and salt first, then by key."""
-    salt = F.pmod(F.xxhash64(*df.columns), F.lit(salts))
-    part = df.withColumn("_salt", salt).groupBy(key, "_salt").agg(F.sum(value.cast("decimal(28,4)")).alias("_part"))
-    return part.groupBy(key).agg(F.sum("_part").cast("double").alias(name))
+def median_by_counts(df: DataFrame, key: str, value: str, at: float = 0.5, name: str = "median") -> DataFrame:
+    """The exact percentile of value for each key, null values aside, without gathering a key's rows.
+
+    percentile() holds every value of a group; here rows are counted by key and value first, which combines before
+    the shuffle, and only different values with their counts meet, however many rows a hot key has.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("many"))
+    return counts.groupBy(key).agg(F.percentile(F.col(value), F.lit(at), F.col("many")).alias(name))

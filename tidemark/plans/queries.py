@@ -143,12 +143,10 @@ def lineage_statements(spark, sf):
   ('04_clean.sql', 'dim_users', 'report', 'data_flow'), ('04_clean.sql', 'report', 'old_report', 'data_flow')) v(source_name, source, target, edge_type)""")
 def lineage_table_dependencies(spark, sf):
     t = project(spark).tables
-    names = t["nodes"].select("project_id", "statement_id", "id", "label")
     e = t["edges"].where("edge_type = 'data_flow'")
     on = ["project_id", "statement_id"]
     kinds = t["nodes"].where(F.col("node_type").isin("table", "view", "cte")).select("project_id", "statement_id", "id", "label")
     j = e.join(kinds.withColumnsRenamed({"id": "from_node_id", "label": "source"}), [*on, "from_node_id"]).join(kinds.withColumnsRenamed({"id": "to_node_id", "label": "target"}), [*on, "to_node_id"])
-    del names
     s = t["statements"].select("project_id", F.col("id").alias("statement_id"), "source_name")
     return j.join(s, on).select("source_name", "source", "target", "edge_type").distinct()
 
@@ -159,7 +157,7 @@ def lineage_table_dependencies(spark, sf):
   ('stg_users.region', 'user_totals.region', NULL), ('paid.total', 'user_totals.total', NULL), ('paid.orders', 'user_totals.orders', NULL), ('user_totals.region', 'report.region', NULL),
   ('user_totals.total', 'report.revenue', 'sum(total)')) v(source, target, transformation)""")
 def lineage_column_mappings(spark, sf):
-    c = VIEWS["column_lineage"](project(spark).tables).where("statement_index <> 4")
+    c = VIEWS["column_lineage"](project(spark).tables)
     return c.select(F.col("source_table").alias("source"), F.col("target_table").alias("target"), "transformation").distinct()
 
 
@@ -169,9 +167,9 @@ def lineage_edge_counts(spark, sf):
     return e.groupBy("edge_type").agg(F.count("*").cast("int").alias("n"))
 
 
-@query("""SELECT * FROM (VALUES ('error', 'PARSE_ERROR', 9)) v(severity, code, statement_index)""")
+@query("""SELECT * FROM (VALUES ('error', 'PARSE_ERROR', 9), ('info', 'APPROXIMATE_LINEAGE', 4)) v(severity, code, statement_index)""")
 def lineage_issues(spark, sf):
-    return VIEWS["issues_summary"](project(spark).tables).select("severity", "code", F.coalesce("statement_index", F.lit(9)).alias("statement_index")).where("severity = 'error'")
+    return VIEWS["issues_summary"](project(spark).tables).select("severity", "code", "statement_index")
 
 
 @query("""SELECT * FROM (VALUES ('raw_orders', 'status <> ''void''', 'where'), ('raw_orders', 'amount > 0', 'where'), ('user_totals', 'sum(total) > 10', 'having'),

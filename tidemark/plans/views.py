@@ -53,19 +53,23 @@ def table_dependencies(t: Tables) -> DataFrame:
     return e.select("project_id", "s.source_name", F.col("f.qualified_name").alias("source_table"), F.col("t.qualified_name").alias("target_table"), "edge_type").distinct()
 
 
-def closure(edges: DataFrame, start: str, end: str, depth: int = DEPTH) -> DataFrame:
+def closure(edges: DataFrame, start: str, end: str, depth: int = DEPTH, paths: bool = True) -> DataFrame:
     """(project_id, start, end, depth, expression): every path of up to depth edges, one row a path.
 
-    The frontier of each length is written to the shared folder and joined with the edges once more, until it's empty;
-    the plan never grows with the depth.
+    Without paths, every (start, end, depth) once and no expression: as many paths as meet again are one, so a level never
+    has more rows than there are pairs, in a graph full of diamonds and around a cycle too. The frontier of each length
+    is written to the shared folder and joined with the edges once more, until it's empty; the plan never grows with the
+    depth but for the levels it reads.
     """
     flows = edges.where(F.col("edge_type").isin(*FLOWS))
-    step = cut(flows.select("project_id", F.col(start).alias("_at"), F.col(end).alias("_next"), F.col("expression").alias("_expression")))
-    frontier = cut(flows.select("project_id", F.col(start).alias("start"), F.col(end).alias("end"), F.lit(1).alias("depth"), "expression"))
+    once = (lambda df: df) if paths else (lambda df: df.drop("expression").distinct())
+    step = cut(once(flows.select("project_id", F.col(start).alias("_at"), F.col(end).alias("_next"), "expression")))
+    last = ["expression"] if paths else []
+    frontier = cut(once(flows.select("project_id", F.col(start).alias("start"), F.col(end).alias("end"), F.lit(1).alias("depth"), "expression")))
     levels = [frontier]
     while len(levels) < depth and not frontier.isEmpty():
-        more = frontier.join(step, (frontier["project_id"] == step["project_id"]) & (F.col("end") == F.col("_at")))
-        frontier = cut(more.select(frontier["project_id"], "start", F.col("_next").alias("end"), (F.col("depth") + 1).alias("depth"), F.col("_expression").alias("expression")))
+        more = frontier.drop("expression").join(step.withColumnRenamed("_at", "end"), ["project_id", "end"]).select("project_id", "start", F.col("_next").alias("end"), (F.col("depth") + 1).alias("depth"), *last)
+        frontier = cut(more if paths else more.distinct())
         levels.append(frontier)
     out = levels[0]
     for level in levels[1:]:
@@ -73,15 +77,15 @@ def closure(edges: DataFrame, start: str, end: str, depth: int = DEPTH) -> DataF
     return out
 
 
-def _named_closure(t: Tables, start: str, end: str, far: str) -> DataFrame:
+def _named_closure(t: Tables, start: str, end: str, far: str, paths: bool = True) -> DataFrame:
     columns = t["nodes"].where("node_type = 'column'")
     # a flow that leaves a column only ever meets columns: flows between relations need not be followed
     own = columns.select("project_id", F.col("id").alias("from_node_id")).distinct()
-    c = closure(t["edges"].join(own, ["project_id", "from_node_id"], "left_semi"), start, end)
+    c = closure(t["edges"].join(own, ["project_id", "from_node_id"], "left_semi"), start, end, paths=paths)
     here = columns.select("project_id", F.col("id").alias("start"), F.col("qualified_name").alias("column_table"), F.col("label").alias("column_name"))
     there = columns.select("project_id", F.col("id").alias("end"), F.col("qualified_name").alias(f"{far}_table"), F.col("label").alias(f"{far}_column"))
     j = c.join(here, ["project_id", "start"]).join(there, ["project_id", "end"])
-    return j.select("project_id", "column_table", "column_name", f"{far}_table", f"{far}_column", "depth", F.col("expression").alias("transformation"))
+    return j.select("project_id", "column_table", "column_name", f"{far}_table", f"{far}_column", "depth", *([F.col("expression").alias("transformation")] if paths else []))
 
 
 @view
@@ -191,7 +195,7 @@ def data_flow_paths(t: Tables) -> DataFrame:
 
 @view
 def columns_by_source_table(t: Tables) -> DataFrame:
-    d = column_descendants(t)
+    d = _named_closure(t, "from_node_id", "to_node_id", "descendant", paths=False)
     return d.select("project_id", F.col("column_table").alias("source_table"), F.col("column_name").alias("source_column"), F.col("descendant_table").alias("affected_table"), F.col("descendant_column").alias("affected_column"), F.col("depth").alias("distance")).distinct()
 
 
@@ -232,9 +236,9 @@ def schema_coverage(t: Tables) -> DataFrame:
     st = t["schema_tables"]
     like = F.expr("qualified_name LIKE concat('%', name, '%')")
     hit = st.select("project_id", F.col("id").alias("_id"), "name").join(names, "project_id").where(like).select("project_id", "_id", "qualified_name")
-    refs = hit.join(n, ["project_id", "qualified_name"]).groupBy("project_id", "_id").agg(F.countDistinct("statement_id").alias("n"))
-    out = st.join(refs, (st["project_id"] == refs["project_id"]) & (st["id"] == refs["_id"]), "left")
-    return out.select(st["project_id"], "catalog", "schema_name", F.col("name").alias("table_name"), "resolution_source", F.col("n").isNotNull().alias("is_referenced"), F.coalesce("n", F.lit(0)).alias("reference_count"))
+    refs = hit.join(n, ["project_id", "qualified_name"]).groupBy("project_id", F.col("_id").alias("id")).agg(F.countDistinct("statement_id").alias("n"))
+    out = st.join(refs, ["project_id", "id"], "left")
+    return out.select("project_id", "catalog", "schema_name", F.col("name").alias("table_name"), "resolution_source", F.col("n").isNotNull().alias("is_referenced"), F.coalesce("n", F.lit(0)).alias("reference_count"))
 
 
 __all__ = ["VIEWS", "closure", "cut", "drop_cut"]

@@ -7,21 +7,25 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators.lineage import Lineage, analyze, scripts_of
-
-#: Bytes of the largest script that is read.
-SCRIPT_BYTES = 10 << 20
-
+from tidemark.operators.lineage import SCRIPT_BYTES, Lineage, analyze, scripts_of
 
 def folder(spark: SparkSession, path: str, dialect: str = "generic", schema: str | None = None, project: str | None = None) -> DataFrame:
-    """(project_id, ord, name, content, dialect, schema) of all .sql files under path. A file's project is its folder, or project.
+    """(project_id, ord, name, content, dialect, schema, bytes) of all .sql files under path. A file's project is its folder, or project.
 
-    Files over SCRIPT_BYTES are left out. Order within a project is by path.
+    Files over SCRIPT_BYTES come without content, which analyze() turns into an issue. Order within a project is by path.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= SCRIPT_BYTES)
+    return scripts_in(spark, [path], dialect, schema, project)
+
+
+def scripts_in(spark: SparkSession, paths: list[str], dialect: str = "generic", schema: str | None = None, project: str | None = None, recursive: bool = True) -> DataFrame:
+    """folder() of several folders, with or without those below them."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.sql").option("recursiveFileLookup", str(recursive).lower()).load(paths)
     parts = F.split("path", "/")
     owner = F.lit(project) if project else F.element_at(parts, -2)
-    return files.select(owner.alias("project_id"), F.lit(0).alias("ord"), F.col("path").alias("name"), F.col("content").cast("string").alias("content"), F.lit(dialect).alias("dialect"), F.lit(schema).cast("string").alias("schema"))
+    # the filter on length keeps large files from being read
+    fits, large = files.where(F.col("length") <= SCRIPT_BYTES), files.where(F.col("length") > SCRIPT_BYTES)
+    pick = lambda df, content: df.select(owner.alias("project_id"), F.lit(0).alias("ord"), F.col("path").alias("name"), content.alias("content"), F.lit(dialect).alias("dialect"), F.lit(schema).cast("string").alias("schema"), F.col("length").alias("bytes"))
+    return pick(fits, F.col("content").cast("string")).union(pick(large, F.lit(None).cast("string")))
 
 
 def inline(spark: SparkSession, sql: str, name: str | None = None, dialect: str = "generic", schema: str | None = None) -> DataFrame:
@@ -60,10 +64,23 @@ def schema_from_catalog(spark: SparkSession, database: str | None = None) -> str
 
 def schema_from_jdbc(spark: SparkSession, url: str, schema: str | None = None, **options: str) -> str:
     """The schema of a database with an information_schema, over JDBC; the driver must be on the class path."""
-    where = f"table_schema = '{schema}'" if schema else "table_schema NOT IN ('information_schema', 'pg_catalog', 'mysql', 'sys', 'performance_schema')"
-    sql = f"SELECT table_schema, table_name, column_name, data_type, ordinal_position FROM information_schema.columns WHERE {where}"
-    rows = spark.read.format("jdbc").options(url=url, query=sql, **options).load().orderBy("table_schema", "table_name", "ordinal_position").collect()
+    sql = "SELECT table_schema, table_name, column_name, data_type, ordinal_position FROM information_schema.columns"
+    own = F.col("table_schema") == schema if schema else ~F.col("table_schema").isin("information_schema", "pg_catalog", "mysql", "sys", "performance_schema")
+    rows = spark.read.format("jdbc").options(url=url, query=sql, **options).load().where(own).orderBy("table_schema", "table_name", "ordinal_position").collect()
     tables: dict[str, list[tuple[str, str | None]]] = {}
     for r in rows:
         tables.setdefault(f"{r['table_schema']}.{r['table_name']}", []).append((r["column_name"], r["data_type"]))
     return schema_json(tables)
+
+
+def schema_from_sqlite(path: str) -> str:
+    """The schema of a SQLite file, with primary and foreign keys; the standard library's client reads it."""
+    import sqlite3
+
+    tables = []
+    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as c:
+        for (name,) in c.execute("SELECT name FROM sqlite_master WHERE type IN ('table', 'view') AND name NOT LIKE 'sqlite\\_%' ESCAPE '\\' ORDER BY name").fetchall():
+            keys = {r[3]: {"table": r[2], "column": r[4] or r[3]} for r in c.execute("SELECT * FROM pragma_foreign_key_list(?)", (name,))}
+            columns = [{"name": r[1], "dataType": r[2] or None, "isPrimaryKey": bool(r[5]), "foreignKey": keys.get(r[1])} for r in c.execute("SELECT * FROM pragma_table_info(?) ORDER BY cid", (name,))]
+            tables.append({"name": name, "columns": columns})
+    return json.dumps({"allowImplied": True, "tables": tables})
