@@ -91,6 +91,60 @@ def _keys(v: Any, depth: int, head: str = "") -> list[str]:
     return [x for k, y in v.items() for x in ([head + k] + _keys(y, depth - 1, f"{head}{k}."))]
 
 
+def _or_null(f: Callable[[Any], Any]) -> Callable[[Any], Any]:
+    """f, but null where its input isn't what it reads."""
+
+    def run(v: Any) -> Any:
+        try:
+            return f(v)
+        except (ValueError, zlib.error):
+            return None
+
+    return run
+
+
+def _value(text: str | None) -> Any:
+    return json.loads(text) if text is not None else None
+
+
+def _changed(change: Callable[[Any, Any, Any], None]) -> Callable[[str, str, str | None], str | None]:
+    """An edit by a JSON value; null where the text or the value isn't JSON."""
+
+    def run(text: str, path: str, new: str | None) -> str | None:
+        try:
+            v = _value(new)
+        except ValueError:
+            return None
+        return _edit(text, path, lambda a, k: change(a, k, v))
+
+    return run
+
+
+def jaro_winkler(a: str, b: str) -> float:
+    """Jaro similarity, raised by a tenth of what is missing for each of up to four equal first signs."""
+    if not a or not b:
+        return float(a == b)
+    reach = max(0, max(len(a), len(b)) // 2 - 1)
+    used = [False] * len(b)
+    first = []
+    for i, c in enumerate(a):
+        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
+            if not used[j] and b[j] == c:
+                used[j] = True
+                first.append(c)
+                break
+    m = len(first)
+    if not m:
+        return 0.0
+    second = [c for c, u in zip(b, used, strict=True) if u]
+    swapped = sum(x != y for x, y in zip(first, second, strict=True)) / 2
+    jaro = (m / len(a) + m / len(b) + (m - swapped) / m) / 3
+    same = 0
+    while same < min(4, len(a), len(b)) and a[same] == b[same]:
+        same += 1
+    return jaro + same * 0.1 * (1 - jaro)
+
+
 def _ip(text: str) -> str | None:
     try:
         return ipaddress.ip_address(text).exploded
@@ -100,22 +154,22 @@ def _ip(text: str) -> str | None:
 
 @cache
 def _udf(name: str):
-    value = lambda v: json.loads(v) if v is not None else None
     table: dict[str, tuple[str, Callable[..., Any]]] = {
-        "json_set": ("string", lambda t, p, v: _edit(t, p, lambda a, k: _set(a, k, value(v)))),
+        "json_set": ("string", _changed(_set)),
         "json_remove": ("string", lambda t, p: _edit(t, p, _drop)),
         "jsonb_delete_at_path": ("string", lambda t, p: _edit(t, p, _drop)),
-        "json_array_insert": ("string", lambda t, p, v: _edit(t, p, lambda a, k: _insert(a, k, value(v)))),
-        "json_array_append": ("string", lambda t, p, v: _edit(t, p, lambda a, k: _append(a, k, value(v)))),
+        "json_array_insert": ("string", _changed(_insert)),
+        "json_array_append": ("string", _changed(_append)),
         "json_strip_nulls": ("string", _strip_nulls),
-        "json_keys_at_depth": ("array<string>", lambda t, d: _keys(json.loads(t), int(d))),
+        "json_keys_at_depth": ("array<string>", lambda t, d: _or_null(lambda x: _keys(json.loads(x), int(d)))(t)),
         "to_base32": ("string", lambda b: base64.b32encode(bytes(b)).decode()),
-        "from_base32": ("binary", lambda t: base64.b32decode(t)),
+        "from_base32": ("binary", _or_null(base64.b32decode)),
         "normalize": ("string", lambda t, form: unicodedata.normalize(form, t)),
         "compress": ("binary", lambda b: zlib.compress(bytes(b))),
-        "decompress_binary": ("binary", lambda b: zlib.decompress(bytes(b))),
-        "decompress_string": ("string", lambda b: zlib.decompress(bytes(b)).decode()),
+        "decompress_binary": ("binary", _or_null(lambda b: zlib.decompress(bytes(b)))),
+        "decompress_string": ("string", _or_null(lambda b: zlib.decompress(bytes(b)).decode())),
         "parse_ip": ("string", _ip),
+        "jarowinkler_similarity": ("double", jaro_winkler),
     }
     kind, f = table[name]
     run = _null_safe(f)
@@ -139,11 +193,11 @@ def call(name: str, *args: Column) -> Column:
     if name == "to_code_points":
         return F.transform(F.split(args[0], ""), F.ascii)
     if name == "code_points_to_string":
-        return F.array_join(F.transform(args[0], lambda c: F.char(c)), "")
+        return F.array_join(F.transform(args[0], lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")), "")
     if name == "minhash":
         return minhash(*args)
     if name == "minhash_combine":
-        return F.zip_with(args[0], args[1], F.least)
+        return F.zip_with(args[0], args[1], lambda x, y: F.least(x, y))
     if name == "approximate_similarity":
         return similarity(*args)
     return _udf(name)(*args)
@@ -168,3 +222,26 @@ def minhash(words: Column, hashes: int = 64) -> Column:
 def similarity(a: Column, b: Column) -> Column:
     """The share of equal places of two minhash signatures."""
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
+
+
+def geometric_mean():
+    """A user-defined aggregate: the geometric mean of a group's positive values, as a grouped Arrow-batched function."""
+
+    @F.pandas_udf("double")
+    def mean(v: pd.Series) -> float:
+        import numpy as np
+
+        return float(np.exp(np.log(v[v > 0].astype(float)).mean()))
+
+    return mean
+
+
+def word_places():
+    """A user-defined table function: (place, word) of a text's words."""
+
+    class Places:
+        def eval(self, text: str):
+            for i, word in enumerate((text or "").split()):
+                yield i, word
+
+    return F.udtf(Places, returnType="place: int, word: string")

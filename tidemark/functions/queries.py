@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.catalog import query, read
-from tidemark.functions.catalog import call
+from tidemark.catalog import ORACLES, QUERIES, query, read
+from tidemark.functions import custom
+from tidemark.functions.catalog import CUSTOM, call, spark_sql
+from tidemark.functions.examples import EXAMPLES
 
 
 @query("""SELECT c_custkey, upper(c_name) AS up, lower(c_mktsegment) AS low, length(c_name) AS len, substr(c_name, 1, 4) AS sub, replace(c_name, '#', '-') AS rep, trim('  ' || c_mktsegment || ' ') AS tr,
@@ -93,3 +95,33 @@ def fn_aggregate(spark, sf):
         call("bitwise_and_agg", "user_id").alias("ba"), call("bitwise_or_agg", "user_id").alias("bo"), call("bitwise_xor_agg", "user_id").alias("bx"), call("logical_or", "value > 99").alias("any_big"), call("arg_max", "event_id", "event_id").alias("top"),
         F.countDistinct("user_id").alias("users"), F.round(F.corr("value", "user_id"), 9).alias("co"), F.round(F.covar_pop("value", "user_id"), 6).alias("cp"), F.round(F.skewness("value") * F.sqrt(F.count("value") * (F.count("value") - 1)) / (F.count("value") - 2), 6).alias("sk"), F.mode("event_type").alias("mo"),
     )
+
+
+@query("""SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS g FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag""")
+def fn_user_aggregate(spark, sf):
+    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(custom.geometric_mean()(F.col("l_quantity")), 6).alias("g"))
+
+
+@query("""SELECT p_partkey, (i - 1)::INT AS place, list_extract(string_split(p_name, ' '), i) AS word FROM (SELECT p_partkey, p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)""")
+def fn_user_table(spark, sf):
+    spark.udtf.register("word_places", custom.word_places())
+    read(spark, sf, "part").createOrReplaceTempView("tidemark_part")
+    return spark.sql("SELECT p_partkey, w.place, w.word FROM tidemark_part, LATERAL word_places(p_name) w")
+
+
+def _examples(family: str) -> None:
+    rows = EXAMPLES[family]
+    names = [f"{n}_{sum(m == n for m, *_ in rows[:i]) + 1}" for i, (n, *_) in enumerate(rows)]
+    quote = lambda v: "NULL::VARCHAR" if v is None else "'" + v.replace("'", "''") + "'"
+    sql = ", ".join(f"{quote(v)} AS {c}" for c, (_, _, v) in zip(names, rows, strict=True))
+
+    def run(spark, sf):
+        values = [F.expr(f"cast({spark_sql(n, *a)} AS string)").alias(c) if n not in CUSTOM else custom.call(n, *[F.expr(x) for x in a]).cast("string").alias(c) for c, (n, a, _) in zip(names, rows, strict=True)]
+        return read(spark, sf, "region").select("r_regionkey", *values)
+
+    QUERIES[f"fn_values_{family}"] = run
+    ORACLES[f"fn_values_{family}"] = f"SELECT r_regionkey, {sql} FROM region"
+
+
+for _family in EXAMPLES:
+    _examples(_family)

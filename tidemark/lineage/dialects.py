@@ -42,8 +42,26 @@ _BY_NAME = {n: k for k, names in CANONICAL.items() for n in names.split()}
 RETURNS = {
     "count": "INTEGER", "row_number": "INTEGER", "rank": "INTEGER", "dense_rank": "INTEGER", "ntile": "INTEGER", "avg": "FLOAT", "concat": "TEXT", "concat_ws": "TEXT",
     "lower": "TEXT", "upper": "TEXT", "trim": "TEXT", "replace": "TEXT", "substring": "TEXT", "current_date": "DATE", "current_timestamp": "TIMESTAMP", "now": "TIMESTAMP",
-    "date_trunc": "TIMESTAMP",
+    "date_trunc": "TIMESTAMP", "left": "TEXT", "right": "TEXT", "ltrim": "TEXT", "rtrim": "TEXT", "chr": "TEXT", "initcap": "TEXT", "getdate": "TIMESTAMP", "sysdate": "TIMESTAMP",
+    "timeofday": "TIMESTAMP", "curdate": "DATE", "today": "DATE",
 }
+#: Functions whose type is that of their first argument.
+LIKE_FIRST = {"sum", "min", "max", "any_value", "lag", "lead", "first_value", "last_value"}
+NUMBERS = {"INTEGER", "FLOAT"}
+#: Dialects in which a boolean compares with an integer.
+LOOSE_BOOLEANS = {"mysql", "mssql", "sqlite", "generic"}
+
+
+def comparable(a: str, b: str, dialect: str) -> bool:
+    """Whether values of two canonical types may be compared: of one type, both numbers, or both points in time."""
+    if a == b or {a, b} <= NUMBERS or {a, b} == {"DATE", "TIMESTAMP"}:
+        return True
+    return {a, b} == {"BOOLEAN", "INTEGER"} and dialect in LOOSE_BOOLEANS
+
+
+def number_like(kind: str) -> bool:
+    """Whether a canonical type is a number. No other type becomes a FLOAT by itself."""
+    return kind in NUMBERS
 
 
 def canonical_type(name: str | None) -> str | None:

@@ -54,23 +54,47 @@ def tokens(sql: str, brackets: bool = False) -> list[Token]:
     return out
 
 
+#: Words after END that close what no BEGIN or CASE opened (fixed values).
+_CLOSED = {"IF", "LOOP", "WHILE", "FOR", "REPEAT"}
+_ROUTINES = {"PROCEDURE", "FUNCTION", "TRIGGER", "TASK", "EVENT", "PACKAGE"}
+
+
+def _split(toks: list[Token], blocks: bool) -> list[tuple[int, int]] | None:
+    """Spans of statements. With blocks, a semicolon between BEGIN and END of a routine parts nothing; None if one stays open."""
+    out: list[tuple[int, int]] = []
+    first, last, depth, head = None, 0, 0, []
+    for i, t in enumerate(toks):
+        if t.text == ";" and t.kind == "op" and not depth:
+            if first is not None:
+                out.append((first, last))
+            first, head = None, []
+            continue
+        if t.kind == "word":
+            head = [*head, t.upper] if len(head) < 6 else head
+            if blocks and head[0] == "CREATE" and _ROUTINES & set(head):
+                after = toks[i + 1].upper if i + 1 < len(toks) else ""
+                before = toks[i - 1].upper if i else ""
+                if t.upper == "BEGIN" or t.upper == "CASE" and before != "END":
+                    depth += 1
+                elif t.upper == "END" and after not in _CLOSED:
+                    depth = max(0, depth - 1)
+        first = t.start if first is None else first
+        last = t.end
+    if depth:
+        return None
+    return [*out, (first, last)] if first is not None else out
+
+
 def statements(sql: str, brackets: bool = False) -> list[tuple[int, int]]:
-    """Character spans of the statements that semicolons part, without empty ones; falls back on plain splitting."""
+    """Character spans of the statements that semicolons part, without empty ones.
+
+    The text is taken as a whole first, so that the bodies of procedures, functions and triggers stay with them; where
+    that leaves a block open, semicolons alone count, and where the text has no tokens, plain splitting.
+    """
     try:
-        out, first, last, depth = [], None, 0, 0
-        for t in tokens(sql, brackets):
-            if t.kind == "word" and first is not None:
-                depth += {"BEGIN": 0}.get(t.upper, 0)
-            if t.text == ";" and t.kind == "op":
-                if first is not None:
-                    out.append((first, last))
-                first = None
-                continue
-            first = t.start if first is None else first
-            last = t.end
-        if first is not None:
-            out.append((first, last))
-        return out
+        toks = tokens(sql, brackets)
+        whole = _split(toks, True)
+        return whole if whole is not None else _split(toks, False) or []
     except SqlError:
         out, at = [], 0
         for part in sql.split(";"):
@@ -79,3 +103,8 @@ def statements(sql: str, brackets: bool = False) -> list[tuple[int, int]]:
                 out.append((at + lead, at + len(part.rstrip())))
             at += len(part) + 1
         return out
+
+
+def utf16_offset(sql: str, at: int) -> int:
+    """A character offset as editors and browsers count it: in UTF-16 units."""
+    return len(sql[:at].encode("utf-16-le")) // 2

@@ -48,13 +48,14 @@ class Lineage:
         return {n: getattr(self, n) for n in TABLES}
 
 
-def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> Lineage:
+def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False, template: str = "dbt", context: dict | None = None) -> Lineage:
     """Lineage of scripts: columns project_id, ord, name, content, and optionally dialect, schema (JSON) and bytes.
 
     A project's statements depend on those before them, so a project is analyzed in one task, scripts in order of ord
     and then name; projects run side by side. Scripts over SCRIPT_BYTES, by their content or by bytes, give an issue instead. A project's dialect and
     schema are those of its first script that has one. Null content is an empty script. With hide_ctes, what flows through
-    CTEs joins its sources and targets directly.
+    CTEs joins its sources and targets directly. Templates are worked out by template (raw, jinja or dbt) with the
+    context's variables; a script whose template fails gives an issue.
     """
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     env = scripts.sparkSession.sparkContext.environment
@@ -68,7 +69,7 @@ def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> L
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         from tidemark.lineage.analyzer import Project
-        from tidemark.lineage.templates import render
+        from tidemark.lineage.templates import TemplateError, render
 
         pdf = pdf.sort_values(["ord", "name"], kind="stable", na_position="last")
         first = lambda c: next((v for v in pdf[c] if isinstance(v, str) and v), None)
@@ -80,7 +81,10 @@ def analyze(scripts: DataFrame, keep: bool = True, hide_ctes: bool = False) -> L
             if size > SCRIPT_BYTES or isinstance(content, str) and len(content.encode()) > SCRIPT_BYTES:
                 project.issue(None, "error", "PAYLOAD_SIZE", f"{name} is larger than {SCRIPT_BYTES} bytes")
             elif isinstance(content, str):
-                files.append((name, render(content)))
+                try:
+                    files.append((name, render(content, context, template)))
+                except TemplateError as e:
+                    project.issue(None, "error", "TEMPLATE_ERROR", f"{name}: {e}")
         rows = project.run(files).rows()
         out = [(kind, json.dumps(r)) for kind, rs in rows.items() for r in rs]
         return pd.DataFrame({"project_id": pdf["project_id"].iloc[0], "kind": [k for k, _ in out], "row": [r for _, r in out]})

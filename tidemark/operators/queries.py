@@ -6,7 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.catalog import query, read
-from tidemark.operators.relational import as_of_join, exact_sum, median_by_counts, range_join, small, top_k
+from tidemark.operators.relational import as_of_join, exact_sum, gap_fill, median_by_counts, range_join, small, top_k, top_sum
 
 
 
@@ -306,3 +306,55 @@ def star_join(spark, sf):
     bought = when.join(c, c.c_custkey == o.o_custkey).select("o_orderkey", "c_nationkey")
     lines = li.join(bought, li.l_orderkey == bought.o_orderkey).join(sold, (li.l_suppkey == sold.s_suppkey) & (F.col("c_nationkey") == F.col("s_nationkey")))
     return lines.groupBy("n_name").agg(F.sum(disc()).cast("double").alias("revenue"))
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders WHERE o_custkey < 40 GROUP BY ALL),
+  e AS (SELECT o_custkey, unnest(generate_series(min(day), max(day), INTERVAL 1 DAY))::DATE AS day FROM d GROUP BY o_custkey)
+  SELECT o_custkey, day::VARCHAR AS day, last_value(n IGNORE NULLS) OVER (PARTITION BY o_custkey ORDER BY day) AS n FROM e LEFT JOIN d USING (o_custkey, day)""")
+def agg_gap_fill(spark, sf):
+    d = read(spark, sf, "orders").where("o_custkey < 40").groupBy("o_custkey", F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    return gap_fill(d, "o_custkey", "day", "1 DAY", ["n"], carry=True).withColumn("day", F.col("day").cast("string"))
+
+
+@query("""SELECT l_suppkey, sum(l_quantity::DECIMAL(18,4))::DOUBLE AS total FROM lineitem GROUP BY l_suppkey ORDER BY total DESC, l_suppkey LIMIT 7""")
+def agg_top_sum(spark, sf):
+    return top_sum(read(spark, sf, "lineitem"), "l_suppkey", "l_quantity", 7)
+
+
+@query("""SELECT n_name, s_suppkey FROM nation NATURAL JOIN (SELECT s_nationkey AS n_nationkey, s_suppkey FROM supplier)""")
+def join_natural(spark, sf):
+    n, s = read(spark, sf, "nation"), read(spark, sf, "supplier").select(F.col("s_nationkey").alias("n_nationkey"), "s_suppkey")
+    shared = [c for c in n.columns if c in s.columns]
+    return s.join(small(n), shared).select("n_name", "s_suppkey")
+
+
+@query("""SELECT p_brand, p_size FROM part WHERE p_size < 30 INTERSECT ALL SELECT p_brand, p_size FROM part WHERE p_size > 10""")
+def set_intersect_all(spark, sf):
+    p = read(spark, sf, "part").select("p_brand", "p_size")
+    return p.where("p_size < 30").intersectAll(p.where("p_size > 10"))
+
+
+@query("""SELECT o_orderkey, first_value(c IGNORE NULLS) OVER w AS a, last_value(c IGNORE NULLS) OVER w AS b FROM (SELECT o_orderkey, o_custkey, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN o_orderkey END AS c FROM orders)
+  WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+def window_ignore_nulls(spark, sf):
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey").rowsBetween(-2, 0)
+    c = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey"))
+    return read(spark, sf, "orders").select("o_orderkey", F.first(c, True).over(w).alias("a"), F.last(c, True).over(w).alias("b"))
+
+
+@query("""SELECT l_returnflag, quantile_disc(l_quantity, 0.3) AS disc, quantile_cont(l_quantity, 0.3) AS cont FROM lineitem GROUP BY l_returnflag""")
+def agg_percentiles(spark, sf):
+    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.expr("percentile_disc(0.3) WITHIN GROUP (ORDER BY l_quantity)").alias("disc"), F.expr("percentile_cont(0.3) WITHIN GROUP (ORDER BY l_quantity)").alias("cont"))
+
+
+@query("""SELECT event_id, e.value AS word FROM events, LATERAL (SELECT unnest(string_split(event_type, 'i')) AS value) e""")
+def table_flatten(spark, sf):
+    return read(spark, sf, "events").select("event_id", F.explode(F.split("event_type", "i")).alias("word"))
+
+
+@query("""SELECT event_id, key, (props::JSON ->> ('$.' || key)) AS value FROM (SELECT event_id, props, unnest(json_keys(props)) AS key FROM events)""")
+def table_json_each(spark, sf):
+    """OPENJSON and JSON_TABLE: a row for each member of an object."""
+    return read(spark, sf, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))

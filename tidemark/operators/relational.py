@@ -67,3 +67,25 @@ def median_by_counts(df: DataFrame, key: str, value: str, at: float = 0.5, name:
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(key, value).agg(F.count("*").alias("many"))
     return counts.groupBy(key).agg(F.percentile(F.col(value), F.lit(at), F.col("many")).alias(name))
+
+
+def gap_fill(df: DataFrame, key: str, time: str, step: str, values: list[str], carry: bool = False) -> DataFrame:
+    """A row for each step between a key's first and last time, with df's values where it has that time, else null.
+
+    step is an interval, such as '1 DAY'; times off the grid from a key's first are left out. With carry, the last value
+    that isn't null goes on. Rows with a null key or time take no part.
+    """
+    there = df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
+    ends = there.groupBy(key).agg(F.min(time).alias("low"), F.max(time).alias("high"))
+    grid = ends.select(F.col(key), F.explode(F.sequence("low", "high", F.expr(f"INTERVAL {step}"))).alias(time))
+    out = grid.join(there.select(key, time, *values), [key, time], "left")
+    if carry:
+        w = W.partitionBy(key).orderBy(time).rowsBetween(W.unboundedPreceding, W.currentRow)
+        out = out.select(key, time, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values])
+    return out
+
+
+def top_sum(df: DataFrame, key: str, weight: str, k: int) -> DataFrame:
+    """The k keys with the largest sums of weight, largest first, ties by key. Exact; a top-k is all that is sorted."""
+    sums = df.groupBy(key).agg(exact_sum(weight).alias("total"))
+    return sums.orderBy(F.desc("total"), key).limit(k)
