@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.catalog import ORACLES, QUERIES, query
 from tidemark.operators import graph as G
 from tidemark.operators.lineage import Lineage, analyze, scripts_of
-from tidemark.plans import sample
+from tidemark.plans import expected, sample
 from tidemark.plans.views import VIEWS
 
 _ENDS = "edges e JOIN nodes f ON f.id = e.from_node_id AND f.statement_id = e.statement_id JOIN nodes t ON t.id = e.to_node_id AND t.statement_id = e.statement_id"
@@ -236,3 +237,60 @@ def graph_merge_statements(spark, sf):
     (SELECT count(*) FROM p WHERE a = item) + (SELECT count(*) FROM p WHERE b = item AND NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)) AS degree FROM i"""))
 def graph_matrix_metrics(spark, sf):
     return G.matrix_metrics(G.dependency_matrix(VIEWS["table_dependencies"](sample.graph(spark, sf)), "source_table", "target_table"))
+
+
+def many(spark, hide_ctes: bool = False) -> Lineage:
+    rows = [(p, 0, "f.sql", sql, dialect, schema) for p, dialect, schema, sql in sample.MANY]
+    return analyze(spark.createDataFrame(rows, "project_id string, ord int, name string, content string, dialect string, schema string"), hide_ctes=hide_ctes)
+
+
+def _flows(t) -> DataFrame:
+    key = ["project_id", "statement_id"]
+    n = t["nodes"].select(*key, "id", F.coalesce("qualified_name", "label").alias("name"))
+    e = t["edges"].where("edge_type <> 'ownership'")
+    e = e.join(n.withColumnsRenamed({"id": "from_node_id", "name": "source"}), [*key, "from_node_id"]).join(n.withColumnsRenamed({"id": "to_node_id", "name": "target"}), [*key, "to_node_id"])
+    return e.select("project_id", F.col("statement_id").alias("statement_index"), "edge_type", "source", "target", "expression", "operation", "is_approximate")
+
+
+@query(expected.sql("statements"))
+def lineage_many_statements(spark, sf):
+    return many(spark).statements.select("project_id", "statement_index", "statement_type", "join_count", "complexity_score")
+
+
+@query(expected.sql("flows"))
+def lineage_many_flows(spark, sf):
+    return _flows(many(spark).tables)
+
+
+@query(expected.sql("hidden"))
+def lineage_hidden_ctes(spark, sf):
+    return _flows(many(spark, True).tables).where("project_id = 'infer' OR project_id = 'star' AND statement_index = 1")
+
+
+@query(expected.sql("issues"))
+def lineage_many_issues(spark, sf):
+    return VIEWS["issues_summary"](many(spark).tables).select("project_id", "statement_index", "severity", "code")
+
+
+@query(expected.sql("constraints"))
+def lineage_many_constraints(spark, sf):
+    c = many(spark).schema_constraints
+    return c.select("project_id", F.col("table").alias("table_name"), "constraint_type", F.array_join("columns", ",").alias("columns"), "referenced_table", F.array_join("referenced_columns", ",").alias("referenced_columns"))
+
+
+@query(expected.sql("filters"))
+def lineage_many_filters(spark, sf):
+    t = many(spark).tables
+    n = t["nodes"].select("project_id", "statement_id", F.col("id").alias("node_id"), F.coalesce("qualified_name", "label").alias("relation"))
+    return t["filters"].join(n, ["project_id", "statement_id", "node_id"]).select("project_id", F.col("statement_id").alias("statement_index"), "relation", "predicate")
+
+
+@query("""SELECT * FROM (VALUES ('keys', 'INNER', 'o.u_id = u.id', 'u'), ('keys', 'INNER', 'z.o_id = o.id', 'z'), ('star', 'INNER', 'NATURAL', 'b'), ('star', 'LEFT', 'l.id = r.id', 'c')) v(project_id, join_type, join_condition, table_name)""")
+def lineage_many_joins(spark, sf):
+    return VIEWS["join_graph"](many(spark).tables).select("project_id", "join_type", "join_condition", "table_name")
+
+
+@query("""SELECT * FROM (VALUES ('keys', 'o', 'u_id', 'u', 'id', false), ('keys', 'u', 'id', 'o', 'u_id', true), ('keys', 'z', 'o_id', 'o', 'id', true), ('keys', 'o', 'id', 'z', 'o_id', true),
+  ('star', 'a', 'id', 'c', 'id', true), ('star', 'c', 'id', 'a', 'id', true)) v(project_id, table_name, column_name, referenced_table, referenced_column, implied)""")
+def lineage_foreign_keys(spark, sf):
+    return G.foreign_keys(many(spark).tables).select("project_id", F.col("table").alias("table_name"), F.col("column").alias("column_name"), "referenced_table", "referenced_column", "implied")
