@@ -1 +1,3 @@
-"""SQL lineage analytics and corpus operators on PySpark."""
+"""Lineage of SQL and preparation of text corpora on Spark."""
+
+__version__ = "0.2.0"

@@ -133,9 +133,6 @@ def top_by_degree(pairs: DataFrame, source: str, target: str, n: int) -> DataFra
     return d.withColumn("_r", F.row_number().over(W.partitionBy("project_id").orderBy(F.desc("degree"), "item"))).where(F.col("_r") <= n).drop("_r")
 
 
-__all__ = ["reach", "connected", "prune_dangling", "restrict", "search", "namespace", "column_owner", "script_tables", "script_dependencies", "dependency_matrix", "top_by_degree", "drop_cut"]
-
-
 def merge_statements(nodes: DataFrame, joins: DataFrame, filters: DataFrame) -> DataFrame:
     """One row for each node of a project over all its statements: type, label, first known join, and all filters."""
     n = nodes.groupBy("project_id", "id").agg(
@@ -147,12 +144,97 @@ def merge_statements(nodes: DataFrame, joins: DataFrame, filters: DataFrame) ->
     return out.select("project_id", "id", "node_type", "label", "qualified_name", "statements", "j.join_type", "j.join_condition", F.coalesce("filters", F.array().cast("array<string>")).alias("filters"))
 
 
+def merged_statement(statements: DataFrame) -> DataFrame:
+    """(project_id, statements, joins, complexity): a project's statements as one, joins summed, complexity that of the worst."""
+    return statements.groupBy("project_id").agg(F.count("*").alias("statements"), F.sum("join_count").alias("joins"), F.max("complexity_score").alias("complexity"))
+
+
 def matrix_metrics(cells: DataFrame) -> DataFrame:
     """(project_id, item, writes, reads, degree) of a dependency matrix's rows."""
     out = cells.groupBy("project_id", F.col("row").alias("item")).agg(F.count_if(F.col("cell") == "w").alias("writes"), F.count_if(F.col("cell") == "r").alias("reads"))
     return out.withColumn("degree", F.col("writes") + F.col("reads"))
 
 
+def column_names(nodes: DataFrame) -> DataFrame:
+    """(project_id, name): the different names of columns."""
+    return nodes.where("node_type = 'column'").select("project_id", F.col("label").alias("name")).distinct()
+
+
+def table_info(t: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, label, qualified_name, node_type, columns): relations with the names of all columns that some statement gives them, in order."""
+    key = ["project_id", "statement_id"]
+    own = t["edges"].where("edge_type = 'ownership'").select(*key, F.col("from_node_id").alias("id"), F.col("to_node_id").alias("column_id"))
+    names = t["nodes"].where("node_type = 'column'").select(*key, F.col("id").alias("column_id"), F.col("label").alias("column"))
+    r = t["nodes"].where(F.col("node_type").isin("table", "view", "cte")).select(*key, "id", "label", "qualified_name", "node_type")
+    j = r.join(own.join(names, [*key, "column_id"]), [*key, "id"], "left")
+    return j.groupBy("project_id", "label", "qualified_name", "node_type").agg(F.array_join(F.sort_array(F.collect_set("column")), "; ").alias("columns"))
+
+
+def table_dependencies_detailed(t: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, source, target, column_count, columns, expressions): pairs of relations between which columns flow, and which."""
+    key = ["project_id", "statement_id"]
+    own = t["edges"].where("edge_type = 'ownership'").select(*key, F.col("to_node_id").alias("column_id"), F.col("from_node_id").alias("id"))
+    r = t["nodes"].where(F.col("node_type").isin("table", "view", "cte")).select(*key, "id", F.coalesce("qualified_name", "label").alias("relation"))
+    owned = own.join(r, [*key, "id"]).select(*key, "column_id", "relation")
+    names = t["nodes"].where("node_type = 'column'").select(*key, F.col("id").alias("column_id"), "label")
+    side = lambda end, relation, label: owned.join(names, [*key, "column_id"]).select(*key, F.col("column_id").alias(end), F.col("relation").alias(relation), F.col("label").alias(label))
+    e = t["edges"].where(F.col("edge_type").isin("data_flow", "derivation")).select(*key, "from_node_id", "to_node_id", "expression")
+    j = e.join(side("from_node_id", "source", "a"), [*key, "from_node_id"]).join(side("to_node_id", "target", "b"), [*key, "to_node_id"]).where("source <> target")
+    pair = F.concat(F.col("a"), F.lit(" -> "), F.col("b"))
+    return j.groupBy("project_id", "source", "target").agg(F.countDistinct("a", "b").alias("column_count"), F.array_join(F.sort_array(F.collect_set(pair)), "; ").alias("columns"), F.countDistinct("expression").alias("expressions"))
+
+
+def script_matrix(t: dict[str, DataFrame]) -> DataFrame:
+    """The dependency matrix of scripts."""
+    return dependency_matrix(script_dependencies(t), "producer", "consumer")
+
+
+def hybrid_graph(t: dict[str, DataFrame]) -> DataFrame:
+    """(project_id, source, target, edge_type): scripts to the tables that they write, and tables to the scripts that read them."""
+    s = script_tables(t)
+    w = s.where("writes").select("project_id", F.col("source_name").alias("source"), F.col("table_name").alias("target"), F.lit("writes").alias("edge_type"))
+    return w.union(s.where("reads").select("project_id", "table_name", "source_name", F.lit("reads")))
+
+
+def flow_edges(t: dict[str, DataFrame], columns: bool = False) -> DataFrame:
+    """(project_id, source_id, target_id, edge_type, statements): the edges to draw, each once over all statements.
+
+    Between relations, or with columns between columns too; ownership isn't drawn.
+    """
+    kinds = ("table", "view", "cte", "output", "column") if columns else ("table", "view", "cte", "output")
+    n = t["nodes"].where(F.col("node_type").isin(*kinds)).select("project_id", "id").distinct()
+    e = t["edges"].where("edge_type <> 'ownership' AND from_node_id <> to_node_id")
+    for end in ("from_node_id", "to_node_id"):
+        e = e.join(n.withColumnRenamed("id", end), ["project_id", end], "left_semi")
+    return e.groupBy("project_id", F.col("from_node_id").alias("source_id"), F.col("to_node_id").alias("target_id"), "edge_type").agg(F.countDistinct("statement_id").alias("statements"))
+
+
+def filter_tables(t: dict[str, DataFrame], labels: list[str], direction: str = "both") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges that the tables of some labels, with their columns, reach downstream, upstream or both; none, if no label is there."""
+    hit = t["nodes"].where(F.col("node_type").isin("table", "view", "cte") & F.col("label").isin(*labels)).select("project_id", "id").distinct()
+    own = column_owner(t["edges"]).withColumnRenamed("owner_id", "id")
+    starts = hit.union(own.join(hit, ["project_id", "id"], "left_semi").select("project_id", F.col("column_id").alias("id")))
+    flows = t["edges"].where("edge_type <> 'ownership' AND from_node_id <> to_node_id")
+    found = [reach(flows, starts, down).select("project_id", "id") for down in (True, False) if direction == "both" or direction == ("downstream" if down else "upstream")]
+    keep = found[0] if len(found) == 1 else found[0].union(found[1])
+    owners = own.join(keep.withColumnRenamed("id", "column_id"), ["project_id", "column_id"], "left_semi").select("project_id", "id")
+    return restrict(t["nodes"], t["edges"], keep.union(owners))
+
+
+def neighbours(edges: DataFrame) -> DataFrame:
+    """(project_id, id, downstream, upstream): for each node the nodes next to it, in order."""
+    e = edges.where("edge_type <> 'ownership' AND from_node_id <> to_node_id").select("project_id", "from_node_id", "to_node_id").distinct()
+    both = e.select("project_id", F.col("from_node_id").alias("id"), F.col("to_node_id").alias("down"), F.lit(None).cast("string").alias("up"))
+    both = both.union(e.select("project_id", "to_node_id", F.lit(None).cast("string"), "from_node_id"))
+    return both.groupBy("project_id", "id").agg(F.sort_array(F.collect_list("down")).alias("downstream"), F.sort_array(F.collect_list("up")).alias("upstream"))
+
+
+def analysis_key(scripts: DataFrame) -> DataFrame:
+    """(project_id, key): a digest of a project's scripts, dialect and schema, under which a result may be kept."""
+    part = F.sha2(F.concat_ws("\x1f", F.col("ord").cast("string"), "name", "content", "dialect", "schema"), 256)
+    return scripts.groupBy("project_id").agg(F.sha2(F.array_join(F.sort_array(F.collect_list(part)), ""), 256).alias("key"))
+
+
 def created_relations(t: dict[str, DataFrame]) -> DataFrame:
     """(project_id, statement_id, id): what a CREATE statement makes; the relation that its data flows into, or else its only one."""
     made = t["statements"].where(F.col("statement_type").startswith("CREATE_")).select("project_id", F.col("id").alias("statement_id"))

@@ -9,47 +9,15 @@ from tidemark.catalog import ORACLES, QUERIES, query
 from tidemark.operators import graph as G
 from tidemark.operators.lineage import Lineage, analyze, scripts_of
 from tidemark.plans import expected, sample
+from tidemark.plans.view_sql import ENDS, SAMPLE
 from tidemark.plans.views import VIEWS
 
-_ENDS = "edges e JOIN nodes f ON f.id = e.from_node_id AND f.statement_id = e.statement_id JOIN nodes t ON t.id = e.to_node_id AND t.statement_id = e.statement_id"
-_UP = """, p AS (SELECT to_node_id AS a, from_node_id AS b, 1 AS depth, expression FROM edges WHERE edge_type IN ('data_flow', 'derivation') AND from_node_id LIKE 'c%'
-  UNION ALL SELECT p.a, e.from_node_id, p.depth + 1, e.expression FROM p JOIN edges e ON e.to_node_id = p.b WHERE e.edge_type IN ('data_flow', 'derivation') AND p.depth < 50)"""
-_DOWN = _UP.replace("to_node_id AS a, from_node_id AS b", "from_node_id AS a, to_node_id AS b").replace("p.a, e.from_node_id", "p.a, e.to_node_id").replace("e.to_node_id = p.b", "e.from_node_id = p.b")
-_FAR = "FROM p JOIN nodes n ON n.id = p.a AND n.node_type = 'column' JOIN nodes m ON m.id = p.b AND m.node_type = 'column'"
-_IN_OUT = "LEFT JOIN edges i ON i.to_node_id = n.id LEFT JOIN edges o ON o.from_node_id = n.id"
-
-_VIEW_SQL = {
-    "column_lineage": f" SELECT 'main' AS project_id, e.id AS edge_id, source_name, statement_index, f.qualified_name AS source_table, f.label AS source_column, t.qualified_name AS target_table, t.label AS target_column, e.expression AS transformation, operation, is_approximate FROM {_ENDS} JOIN statements s ON s.id = e.statement_id WHERE f.node_type = 'column' AND t.node_type = 'column' AND edge_type IN ('data_flow', 'derivation')",
-    "table_dependencies": f" SELECT DISTINCT 'main' AS project_id, source_name, f.qualified_name AS source_table, t.qualified_name AS target_table, edge_type FROM {_ENDS} JOIN statements s ON s.id = e.statement_id WHERE f.node_type IN ('table', 'view', 'cte') AND t.node_type IN ('table', 'view', 'cte')",
-    "column_ancestors": f"{_UP} SELECT 'main' AS project_id, n.qualified_name AS column_table, n.label AS column_name, m.qualified_name AS ancestor_table, m.label AS ancestor_column, depth, p.expression AS transformation {_FAR}",
-    "column_descendants": f"{_DOWN} SELECT 'main' AS project_id, n.qualified_name AS column_table, n.label AS column_name, m.qualified_name AS descendant_table, m.label AS descendant_column, depth, p.expression AS transformation {_FAR}",
-    "node_details": " SELECT 'main' AS project_id, n.id, n.statement_id, node_type, label, qualified_name, expression, resolution_source, statement_index, source_name, statement_type, is_grouping_key, function AS aggregation_function, is_distinct AS aggregation_distinct FROM nodes n LEFT JOIN statements s ON s.id = n.statement_id LEFT JOIN aggregations a ON a.node_id = n.id AND a.statement_id = n.statement_id",
-    "edge_details": f" SELECT 'main' AS project_id, e.id, edge_type, operation, e.expression, is_approximate, f.node_type AS from_type, f.label AS from_label, f.qualified_name AS from_qualified_name, t.node_type AS to_type, t.label AS to_label, t.qualified_name AS to_qualified_name, join_type, join_condition, statement_index, source_name FROM {_ENDS} LEFT JOIN joins j ON j.node_id = f.id AND j.statement_id = f.statement_id LEFT JOIN statements s ON s.id = e.statement_id",
-    "join_graph": " SELECT 'main' AS project_id, source_name, statement_index, join_type, join_condition, qualified_name AS table_name, label AS table_label FROM joins j JOIN nodes n ON n.id = j.node_id AND n.statement_id = j.statement_id LEFT JOIN statements s ON s.id = n.statement_id",
-    "node_filters": " SELECT 'main' AS project_id, qualified_name AS table_name, label AS node_label, node_type, predicate, filter_type, source_name, statement_index FROM filters f JOIN nodes n ON n.id = f.node_id AND n.statement_id = f.statement_id LEFT JOIN statements s ON s.id = n.statement_id",
-    "complexity_by_statement": " SELECT 'main' AS project_id, source_name, statement_index, statement_type, complexity_score, join_count, (SELECT count(DISTINCT id) FROM nodes n WHERE n.statement_id = s.id AND node_type = 'table') AS table_count, (SELECT count(DISTINCT id) FROM nodes n WHERE n.statement_id = s.id AND node_type = 'column') AS column_count, (SELECT count(DISTINCT id) FROM edges e WHERE e.statement_id = s.id) AS edge_count FROM statements s",
-    "issues_summary": " SELECT 'main' AS project_id, severity, code, message, source_name, statement_index, statement_type, span_start, span_end FROM issues i LEFT JOIN statements s ON s.id = i.statement_id",
-    "table_usage": f" SELECT 'main' AS project_id, qualified_name AS table_name, node_type, resolution_source, count(DISTINCT n.statement_id) AS statement_count, count(DISTINCT i.id) AS incoming_edges, count(DISTINCT o.id) AS outgoing_edges FROM (SELECT DISTINCT id, qualified_name, node_type, resolution_source, statement_id FROM nodes) n {_IN_OUT} WHERE node_type IN ('table', 'view', 'cte') GROUP BY ALL",
-    "column_connectivity": f" SELECT 'main' AS project_id, qualified_name AS table_name, label AS column_name, count(DISTINCT i.id) AS upstream_count, count(DISTINCT o.id) AS downstream_count, count(DISTINCT i.id) + count(DISTINCT o.id) AS total_connections FROM nodes n {_IN_OUT} WHERE node_type = 'column' GROUP BY n.id, qualified_name, label HAVING count(DISTINCT i.id) + count(DISTINCT o.id) > 0",
-    "statements_with_issues": " SELECT 'main' AS project_id, source_name, statement_index, statement_type, complexity_score, count(*) FILTER (WHERE severity = 'error') AS error_count, count(*) FILTER (WHERE severity = 'warning') AS warning_count, count(*) FILTER (WHERE severity = 'info') AS info_count FROM statements s JOIN issues i ON i.statement_id = s.id GROUP BY s.id, ALL".replace("GROUP BY s.id, ALL", "GROUP BY s.id, source_name, statement_index, statement_type, complexity_score"),
-    "data_flow_paths": f" SELECT 'main' AS project_id, source_name, statement_index, f.qualified_name AS source_table, f.label AS source_column, e.expression AS transformation, operation, t.qualified_name AS target_table, t.label AS target_column, CASE WHEN is_approximate THEN 'APPROXIMATE' ELSE 'EXACT' END AS lineage_confidence FROM {_ENDS} JOIN statements s ON s.id = e.statement_id WHERE edge_type IN ('data_flow', 'derivation')",
-    "columns_by_source_table": f"{_DOWN} SELECT DISTINCT 'main' AS project_id, n.qualified_name AS source_table, n.label AS source_column, m.qualified_name AS affected_table, m.label AS affected_column, depth AS distance {_FAR}",
-    "transformation_audit": f" SELECT 'main' AS project_id, source_name, statement_index, f.qualified_name AS input_table, f.label AS input_column, e.expression AS transformation_expression, operation AS transformation_type, t.qualified_name AS output_table, t.label AS output_column, a.function AS aggregation_applied FROM {_ENDS} JOIN statements s ON s.id = e.statement_id LEFT JOIN aggregations a ON a.node_id = t.id AND a.statement_id = t.statement_id WHERE e.expression IS NOT NULL OR a.function IS NOT NULL",
-    "cross_statement_flow": """, x AS (SELECT DISTINCT statement_id, to_node_id AS id FROM edges WHERE edge_type = 'data_flow'), r AS (SELECT n.* FROM nodes n WHERE node_type IN ('table', 'view')),
-      w AS (SELECT r.id, r.statement_id AS writer FROM r JOIN x ON x.id = r.id AND x.statement_id = r.statement_id),
-      q AS (SELECT r.id, r.qualified_name, r.statement_id AS reader FROM r WHERE NOT EXISTS (SELECT 1 FROM x WHERE x.id = r.id AND x.statement_id = r.statement_id)),
-      m AS (SELECT q.id, q.qualified_name, reader, max(writer) AS writer FROM q JOIN w ON w.id = q.id AND w.writer < q.reader GROUP BY ALL)
-      SELECT 'main' AS project_id, a.source_name AS from_source, a.statement_index AS from_statement, b.source_name AS to_source, b.statement_index AS to_statement, qualified_name AS shared_object, 'cross_statement' AS edge_type FROM m JOIN statements a ON a.id = writer JOIN statements b ON b.id = reader""",
-    "schema_coverage": " SELECT 'main' AS project_id, st.catalog, st.schema_name, st.name AS table_name, st.resolution_source, count(n.id) > 0 AS is_referenced, count(DISTINCT n.statement_id) AS reference_count FROM schema_tables st LEFT JOIN nodes n ON n.qualified_name LIKE '%' || st.name || '%' AND n.node_type IN ('table', 'view') GROUP BY st.id, st.catalog, st.schema_name, st.name, st.resolution_source",
-}
-
-
 def _register(name: str, view) -> None:
     def run(spark, sf):
         return view(sample.graph(spark, sf))
 
     QUERIES[f"view_{name}"] = run
-    ORACLES[f"view_{name}"] = sample.oracle(_VIEW_SQL[name], "WITH RECURSIVE" in _VIEW_SQL[name] or ", p AS" in _VIEW_SQL[name])
+    ORACLES[f"view_{name}"] = sample.oracle(SAMPLE[name], ", p AS" in SAMPLE[name])
 
 
 for _name, _view in VIEWS.items():
@@ -102,14 +70,14 @@ def graph_namespace(spark, sf):
     return G.namespace(t["nodes"], t["edges"], ["public"])[0].select("project_id", "id", "statement_id", "node_type", "label")
 
 
-@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {_ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name),
+@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name),
   i AS (SELECT a AS item FROM p UNION SELECT b FROM p)
   SELECT 'main' AS project_id, r.item AS row, c.item AS column, CASE WHEN r.item = c.item THEN '-' WHEN EXISTS (SELECT 1 FROM p WHERE a = r.item AND b = c.item) THEN 'w' WHEN EXISTS (SELECT 1 FROM p WHERE b = r.item AND a = c.item) THEN 'r' ELSE '' END AS cell FROM i r, i c"""))
 def graph_dependency_matrix(spark, sf):
     return G.dependency_matrix(VIEWS["table_dependencies"](sample.graph(spark, sf)), "source_table", "target_table")
 
 
-@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {_ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name)
+@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name)
   SELECT 'main' AS project_id, item, count(*) AS degree FROM (SELECT a AS item, b FROM p UNION ALL SELECT b, a FROM p) GROUP BY item ORDER BY degree DESC, item LIMIT 5"""))
 def graph_top_by_degree(spark, sf):
     return G.top_by_degree(VIEWS["table_dependencies"](sample.graph(spark, sf)), "source_table", "target_table", 5)
@@ -231,7 +199,7 @@ def graph_merge_statements(spark, sf):
     return m.select("project_id", "id", "node_type", "statements", "join_type", "join_condition", F.array_join("filters", ",").alias("filters"))
 
 
-@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {_ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name),
+@query(sample.oracle(f""", p AS (SELECT DISTINCT f.qualified_name AS a, t.qualified_name AS b FROM {ENDS} WHERE edge_type = 'data_flow' AND f.node_type <> 'column' AND t.node_type <> 'column' AND f.qualified_name <> t.qualified_name),
   i AS (SELECT a AS item FROM p UNION SELECT b FROM p)
   SELECT 'main' AS project_id, item, (SELECT count(*) FROM p WHERE a = item) AS writes, (SELECT count(*) FROM p WHERE b = item AND NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)) AS reads,
     (SELECT count(*) FROM p WHERE a = item) + (SELECT count(*) FROM p WHERE b = item AND NOT EXISTS (SELECT 1 FROM p q WHERE q.a = p.b AND q.b = p.a)) AS degree FROM i"""))
@@ -294,3 +262,84 @@ def lineage_many_joins(spark, sf):
   ('star', 'a', 'id', 'c', 'id', true), ('star', 'c', 'id', 'a', 'id', true)) v(project_id, table_name, column_name, referenced_table, referenced_column, implied)""")
 def lineage_foreign_keys(spark, sf):
     return G.foreign_keys(many(spark).tables).select("project_id", F.col("table").alias("table_name"), F.col("column").alias("column_name"), "referenced_table", "referenced_column", "implied")
+
+
+@query(sample.oracle(" SELECT DISTINCT 'main' AS project_id, label AS name FROM nodes WHERE node_type = 'column'"))
+def graph_column_names(spark, sf):
+    return G.column_names(sample.graph(spark, sf)["nodes"])
+
+
+@query(sample.oracle(""" SELECT 'main' AS project_id, n.label, n.qualified_name, n.node_type, coalesce(string_agg(DISTINCT c.label, '; ' ORDER BY c.label), '') AS columns FROM nodes n
+  LEFT JOIN edges e ON e.edge_type = 'ownership' AND e.from_node_id = n.id AND e.statement_id = n.statement_id LEFT JOIN nodes c ON c.id = e.to_node_id AND c.statement_id = e.statement_id AND c.node_type = 'column'
+  WHERE n.node_type IN ('table', 'view', 'cte') GROUP BY n.label, n.qualified_name, n.node_type"""))
+def graph_table_info(spark, sf):
+    return G.table_info(sample.graph(spark, sf))
+
+
+@query(sample.oracle(""", o AS (SELECT e.statement_id, e.to_node_id AS id, r.qualified_name AS relation, c.label FROM edges e JOIN nodes r ON r.id = e.from_node_id AND r.statement_id = e.statement_id AND r.node_type <> 'column'
+    JOIN nodes c ON c.id = e.to_node_id AND c.statement_id = e.statement_id WHERE e.edge_type = 'ownership')
+  SELECT 'main' AS project_id, a.relation AS source, b.relation AS target, count(DISTINCT (a.label, b.label)) AS column_count, string_agg(DISTINCT a.label || ' -> ' || b.label, '; ' ORDER BY a.label || ' -> ' || b.label) AS columns, count(DISTINCT e.expression) AS expressions
+  FROM edges e JOIN o a ON a.id = e.from_node_id AND a.statement_id = e.statement_id JOIN o b ON b.id = e.to_node_id AND b.statement_id = e.statement_id
+  WHERE e.edge_type IN ('data_flow', 'derivation') AND a.relation <> b.relation GROUP BY a.relation, b.relation"""))
+def graph_table_dependencies_detailed(spark, sf):
+    return G.table_dependencies_detailed(sample.graph(spark, sf))
+
+
+_SCRIPTS = """, r AS (SELECT n.*, source_name, EXISTS (SELECT 1 FROM edges e WHERE e.statement_id = n.statement_id AND e.to_node_id = n.id AND edge_type = 'data_flow') AS i,
+    EXISTS (SELECT 1 FROM edges e WHERE e.statement_id = n.statement_id AND e.from_node_id = n.id AND edge_type IN ('data_flow', 'join_dependency')) AS o
+    FROM nodes n JOIN statements s ON s.id = n.statement_id WHERE node_type IN ('table', 'view')),
+  x AS (SELECT source_name, qualified_name, bool_or(i) AS w, bool_or(o OR NOT i) AS rd FROM r GROUP BY ALL)"""
+
+
+@query(sample.oracle(_SCRIPTS + """, p AS (SELECT DISTINCT a.source_name AS a, b.source_name AS b FROM x a JOIN x b ON a.qualified_name = b.qualified_name AND a.w AND b.rd AND a.source_name <> b.source_name), i AS (SELECT a AS item FROM p UNION SELECT b FROM p)
+  SELECT 'main' AS project_id, r.item AS row, c.item AS column, CASE WHEN r.item = c.item THEN '-' WHEN EXISTS (SELECT 1 FROM p WHERE a = r.item AND b = c.item) THEN 'w' WHEN EXISTS (SELECT 1 FROM p WHERE b = r.item AND a = c.item) THEN 'r' ELSE '' END AS cell FROM i r, i c"""))
+def graph_script_matrix(spark, sf):
+    return G.script_matrix(sample.graph(spark, sf))
+
+
+@query(sample.oracle(_SCRIPTS + " SELECT 'main' AS project_id, source_name AS source, qualified_name AS target, 'writes' AS edge_type FROM x WHERE w UNION ALL SELECT 'main', qualified_name, source_name, 'reads' FROM x WHERE rd"))
+def graph_hybrid(spark, sf):
+    return G.hybrid_graph(sample.graph(spark, sf))
+
+
+_DRAWN = "e.edge_type <> 'ownership' AND e.from_node_id <> e.to_node_id"
+
+
+@query(sample.oracle(f""" SELECT 'main' AS project_id, from_node_id AS source_id, to_node_id AS target_id, edge_type, count(DISTINCT statement_id) AS statements FROM edges e
+  WHERE {_DRAWN} AND from_node_id IN (SELECT id FROM nodes WHERE node_type <> 'column') AND to_node_id IN (SELECT id FROM nodes WHERE node_type <> 'column') GROUP BY ALL"""))
+def graph_flow_tables(spark, sf):
+    return G.flow_edges(sample.graph(spark, sf))
+
+
+@query(sample.oracle(f""" SELECT 'main' AS project_id, from_node_id AS source_id, to_node_id AS target_id, edge_type, count(DISTINCT statement_id) AS statements FROM edges e
+  WHERE {_DRAWN} AND from_node_id IN (SELECT id FROM nodes) AND to_node_id IN (SELECT id FROM nodes) GROUP BY ALL"""))
+def graph_flow_columns(spark, sf):
+    return G.flow_edges(sample.graph(spark, sf), True)
+
+
+@query(sample.oracle(""", s AS (SELECT id FROM nodes WHERE label = 'Brand#3' AND node_type <> 'column' UNION SELECT to_node_id FROM edges WHERE edge_type = 'ownership' AND from_node_id IN (SELECT id FROM nodes WHERE label = 'Brand#3' AND node_type <> 'column')),
+  f AS (SELECT from_node_id AS a, to_node_id AS b FROM edges WHERE edge_type <> 'ownership' AND from_node_id <> to_node_id),
+  k AS (SELECT id FROM s UNION SELECT f.b FROM k JOIN f ON f.a = k.id), o AS (SELECT id FROM k UNION SELECT from_node_id FROM edges WHERE edge_type = 'ownership' AND to_node_id IN (SELECT id FROM k))
+  SELECT DISTINCT 'main' AS project_id, n.id, n.label FROM nodes n JOIN o ON o.id = n.id""", True))
+def graph_filter_tables(spark, sf):
+    return G.filter_tables(sample.graph(spark, sf), ["Brand#3"], "downstream")[0].select("project_id", "id", "label").distinct()
+
+
+@query(sample.oracle(f""", e2 AS (SELECT DISTINCT from_node_id AS a, to_node_id AS b FROM edges e WHERE {_DRAWN})
+  SELECT 'main' AS project_id, id, coalesce(string_agg(d, ',' ORDER BY d), '') AS downstream, coalesce(string_agg(u, ',' ORDER BY u), '') AS upstream FROM (SELECT a AS id, b AS d, NULL AS u FROM e2 UNION ALL SELECT b, NULL, a FROM e2) GROUP BY id"""))
+def graph_neighbours(spark, sf):
+    n = G.neighbours(sample.graph(spark, sf)["edges"])
+    return n.select("project_id", "id", F.array_join("downstream", ",").alias("downstream"), F.array_join("upstream", ",").alias("upstream"))
+
+
+@query(sample.oracle(" SELECT 'main' AS project_id, count(*) AS statements, sum(join_count)::BIGINT AS joins, max(complexity_score) AS complexity FROM statements"))
+def graph_merged_statement(spark, sf):
+    return G.merged_statement(sample.graph(spark, sf)["statements"])
+
+
+@query(sample.oracle(""" SELECT 'main' AS project_id, least(100, greatest(1, 5 * count(DISTINCT CASE WHEN node_type IN ('table', 'view') THEN id END) + 8 * count(DISTINCT CASE WHEN node_type = 'cte' THEN id END)
+  + 10 * (SELECT sum(join_count) FROM statements) + 2 * (SELECT count(*) FROM filters)))::BIGINT AS complexity FROM nodes"""))
+def graph_complexity(spark, sf):
+    from tidemark.sources.export import summary
+
+    return summary(sample.graph(spark, sf)).select("project_id", "complexity")

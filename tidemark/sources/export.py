@@ -12,8 +12,9 @@ import re
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.graph import script_tables
+from tidemark.operators.graph import script_tables, table_info
 from tidemark.operators.lineage import TABLES
+from tidemark.plans.view_sql import create_view
 from tidemark.plans.views import VIEWS
 
 Tables = dict[str, DataFrame]
@@ -51,7 +52,13 @@ def summary(t: Tables) -> DataFrame:
     )
     s = t["statements"].groupBy(key).agg(F.count("*").alias("statements"), F.sum("join_count").alias("joins"), F.max("complexity_score").alias("max_complexity"))
     i = t["issues"].groupBy(key).agg(*[F.count_if(F.col("severity") == k).alias(f"{k}s") for k in ("error", "warning", "info")])
-    return s.join(n, key, "left").join(i, key, "left").na.fill(0)
+    # the whole project's complexity: its different relations, all joins and all filters
+    kinds = lambda *k: F.countDistinct(F.when(F.col("node_type").isin(*k), F.col("id")))
+    c = t["nodes"].groupBy(key).agg((5 * kinds("table", "view") + 8 * kinds("cte")).alias("_relations"))
+    f = t["filters"].groupBy(key).agg(F.count("*").alias("_filters"))
+    out = s.join(n, key, "left").join(i, key, "left").join(c, key, "left").join(f, key, "left").na.fill(0)
+    score = F.least(F.lit(100), F.greatest(F.lit(1), F.col("_relations") + 10 * F.col("joins") + 2 * F.col("_filters")))
+    return out.withColumn("complexity", score).drop("_relations", "_filters")
 
 
 def bundle(t: Tables) -> Tables:
@@ -59,9 +66,8 @@ def bundle(t: Tables) -> Tables:
     scripts = script_tables(t).groupBy("project_id", "source_name").agg(
         F.array_join(F.sort_array(F.collect_set(F.when(F.col("reads"), F.col("table_name")))), "; ").alias("reads"), F.array_join(F.sort_array(F.collect_set(F.when(F.col("writes"), F.col("table_name")))), "; ").alias("writes")
     )
-    tables = t["nodes"].where(F.col("node_type").isin("table", "view", "cte")).select("project_id", "label", "qualified_name", "node_type").distinct()
     schema = t["schema_tables"].join(t["schema_columns"].select("project_id", F.col("table_id").alias("id"), F.col("name").alias("column"), "data_type"), ["project_id", "id"], "left")
-    return {"scripts": scripts, "tables": tables, "column_mappings": column_mappings(t), "table_dependencies": VIEWS["table_dependencies"](t), "summary": summary(t), "issues": VIEWS["issues_summary"](t), "resolved_schema": schema}
+    return {"scripts": scripts, "tables": table_info(t), "column_mappings": column_mappings(t), "table_dependencies": VIEWS["table_dependencies"](t), "summary": summary(t), "issues": VIEWS["issues_summary"](t), "resolved_schema": schema}
 
 
 def write_csv(t: Tables, path: str) -> None:
@@ -77,18 +83,42 @@ def _literal(v: object) -> str:
     return str(v) if isinstance(v, (int, float)) else "'" + str(v).replace("'", "''") + "'"
 
 
-def sql_script(t: Tables, project: str, schema: str | None = None) -> str:
-    """DDL and rows of a project's tables as SQL. schema, if given, must be a plain name of at most 63 characters."""
+#: Version of the tables' form, for those who read an export.
+SCHEMA_VERSION = 1
+
+
+def _ddl(prefix: str) -> list[str]:
+    out = [f"CREATE TABLE {prefix}_meta (key VARCHAR PRIMARY KEY, value VARCHAR);"]
+    for name, columns in TABLES.items():
+        ddl = columns.replace("STRING", "VARCHAR").replace("ARRAY<VARCHAR>", "VARCHAR")
+        out.append(f"CREATE TABLE {prefix}{name} ({ddl.replace('table VARCHAR', 'table_name VARCHAR')});")
+    return out
+
+
+def _meta(project: str, stamp: str | None) -> dict[str, str]:
+    from tidemark import __version__
+
+    return {"schema_version": str(SCHEMA_VERSION), "version": __version__, "project": project} | ({"exported_at": stamp} if stamp else {})
+
+
+def _plain(t: Tables, name: str, project: str) -> DataFrame:
+    """A project's rows of a table, arrays as text."""
+    df = t[name].where(F.col("project_id") == project).drop("project_id")
+    return df.select(*[F.array_join(c, ";").alias(c) if kind.startswith("array") else F.col(c) for c, kind in df.dtypes])
+
+
+def sql_script(t: Tables, project: str, schema: str | None = None, stamp: str | None = None) -> str:
+    """Tables, what the export is, rows and the views of a project as SQL. schema, if given, must be a plain name of at most 63 characters."""
     if schema is not None and (not re.fullmatch(r"[A-Za-z_][A-Za-z0-9_]{0,62}", schema) or schema.lower() in _RESERVED):
         raise ValueError(f"{schema!r} can't name a schema")
     prefix = f"{schema}." if schema else ""
     out = [f"CREATE SCHEMA IF NOT EXISTS {schema};"] if schema else []
-    for name, columns in TABLES.items():
-        ddl = columns.replace("STRING", "VARCHAR").replace("ARRAY<VARCHAR>", "VARCHAR")
-        out.append(f"CREATE TABLE {prefix}{name} ({ddl.replace('table VARCHAR', 'table_name VARCHAR')});")
-        for r in t[name].where(F.col("project_id") == project).drop("project_id").toLocalIterator():
-            out.append(f"INSERT INTO {prefix}{name} VALUES ({', '.join(_literal(';'.join(v) if isinstance(v, list) else v) for v in r)});")
-    return "\n".join(out) + "\n"
+    out += _ddl(prefix)
+    out += [f"INSERT INTO {prefix}_meta VALUES ({_literal(k)}, {_literal(v)});" for k, v in _meta(project, stamp).items()]
+    for name in TABLES:
+        for r in _plain(t, name, project).toLocalIterator():
+            out.append(f"INSERT INTO {prefix}{name} VALUES ({', '.join(map(_literal, r))});")
+    return "\n".join(out + [create_view(v, prefix) for v in VIEWS]) + "\n"
 
 
 def _mermaid_id(name: str) -> str:
@@ -198,9 +228,34 @@ def write_xlsx(t: Tables, project: str, path: str) -> None:
             z.writestr(f"xl/worksheets/sheet{i + 1}.xml", f'<?xml version="1.0"?><worksheet xmlns="{main}"><sheetData>' + "".join(f"<row>{r}</row>" for r in rows) + "</sheetData></worksheet>")
 
 
-def duckdb_file(t: Tables, project: str, path: str) -> None:
-    """One project's tables in a DuckDB file; needs the duckdb client."""
+def duckdb_file(t: Tables, project: str, path: str, stamp: str | None = None) -> None:
+    """One project's tables and views in a DuckDB file; needs the duckdb client, to which the rows go as Arrow."""
     import duckdb
 
     with duckdb.connect(path) as c:
-        c.execute(sql_script(t, project))
+        c.execute("\n".join(_ddl("")))
+        c.executemany("INSERT INTO _meta VALUES (?, ?)", list(_meta(project, stamp).items()))
+        for name in TABLES:
+            rows = _plain(t, name, project).toArrow()
+            c.register("rows_", rows)
+            c.execute(f"INSERT INTO {name} SELECT * FROM rows_")
+            c.unregister("rows_")
+        for v in VIEWS:
+            c.execute(create_view(v))
+
+
+def text_table(rows: dict[str, list[dict]], quiet: bool = False) -> str:
+    """A project's result for a terminal: files, counts, what flows where by relation, and issues unless quiet."""
+    kind = lambda *kinds: {n["id"]: n for n in rows["nodes"] if n["node_type"] in kinds}
+    relations = kind("table", "view", "cte", "output")
+    name = lambda n: n["qualified_name"] or n["label"]
+    flows = sorted({(name(relations[e["from_node_id"]]), name(relations[e["to_node_id"]])) for e in rows["edges"] if e["edge_type"] in ("data_flow", "join_dependency") and e["from_node_id"] in relations and e["to_node_id"] in relations})
+    files = sorted({s["source_name"] for s in rows["statements"] if s["source_name"]})
+    out = ["Lineage", "=" * 50, *([f"Files: {', '.join(files)}"] if files else [])]
+    out.append(f"{len(rows['statements'])} statements, {len(kind('table', 'view'))} tables, {len(kind('column'))} columns, {sum(s['join_count'] for s in rows['statements'])} joins")
+    if flows:
+        wide = max(len(a) for a, _ in flows)
+        out += ["", "Flows:", *[f"  {a:<{wide}} -> {b}" for a, b in flows]]
+    if rows["issues"] and not quiet:
+        out += ["", "Issues:", *[f"  {i['severity']:<7} {i['code']}: {i['message']}" for i in rows["issues"]]]
+    return "\n".join(out) + "\n"
