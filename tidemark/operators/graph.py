@@ -26,7 +26,8 @@ def reach(edges: DataFrame, starts: DataFrame, downstream: bool = True, max_dept
     while (max_depth is None or depth < max_depth) and not frontier.isEmpty():
         depth += 1
         if len(levels) > LEVELS:
-            levels = [cut(_together(levels))]
+            old, levels = levels, [cut(_together(levels))]
+            drop_cut(*old[:-1])  # the last one is the frontier
         found = frontier.join(step, ["project_id", "id"]).select("project_id", F.col("_next").alias("id")).distinct()
         frontier = cut(found.join(_together(levels), ["project_id", "id"], "left_anti").withColumn("depth", F.lit(depth)))
         levels.append(frontier)

@@ -71,6 +71,7 @@ def closure(edges: DataFrame, start: str, end: str, depth: int = DEPTH, paths: b
         more = frontier.drop("expression").join(step.withColumnRenamed("_at", "end"), ["project_id", "end"]).select("project_id", "start", F.col("_next").alias("end"), (F.col("depth") + 1).alias("depth"), *last)
         frontier = cut(more if paths else more.distinct())
         levels.append(frontier)
+    drop_cut(step)
     out = levels[0]
     for level in levels[1:]:
         out = out.union(level)

@@ -30,22 +30,33 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+#: The tables that this driver wrote and hasn't removed.
+_ours: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame, partition_by: str | None = None) -> DataFrame:
     """Writes df to the shared folder and reads it back: later reads survive lost executors, and the work is done once.
 
-    The table goes when the driver ends.
+    The table goes when the driver ends, if drop_cut() didn't remove it before. A driver that is killed leaves its tables
+    behind, under names that begin with tidemark- and its session's application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidemark-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/tidemark-{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(partition_by) if partition_by else df.write
+    _ours[path] = spark
     writer.parquet(path)
-    atexit.register(remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_cut(df: DataFrame) -> None:
-    """Removes a table that cut() wrote and that nothing reads any more."""
-    for f in df.inputFiles()[:1]:
-        if "/tidemark-" in f:
-            head, _, tail = f.rpartition("/tidemark-")
-            remove(df.sparkSession, f"{head}/tidemark-{tail.split('/')[0]}")
+def drop_cut(*tables: DataFrame) -> None:
+    """Removes tables that cut() wrote and that nothing reads any more; others are left alone."""
+    for df in tables:
+        for f in df.inputFiles()[:1]:
+            for path in [p for p in _ours if f"/{p.rpartition('/')[2]}/" in f]:
+                remove(_ours.pop(path), path)
+
+
+@atexit.register
+def _drop_all() -> None:
+    for path, spark in list(_ours.items()):
+        remove(spark, path)
