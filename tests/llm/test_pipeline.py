@@ -46,14 +46,30 @@ def test_held_out_accuracy(spark, name):
     assert np.mean(held.predicted == held["quality" if "quality" in name else "toxic"]) > 0.9
 
 
-def test_the_rest_does_without_this_part(tmp_path):
+@pytest.mark.parametrize("left", [(), ("corpus_pipeline.py",)], ids=["all gone", "pipeline left"])
+def test_the_rest_does_without_this_part(tmp_path, left):
     import os
     import subprocess
     import sys
 
     root = os.path.dirname(os.path.abspath(entry.__file__))
     copy = tmp_path / "repo"
-    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "llm", "corpus_pipeline.py", "spark-warehouse"))
+    gone = [x for x in ("llm", "corpus_pipeline.py") if x not in left]
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", *gone))
     code = "import __spark_entry__ as e; q = e.queries(); assert q and not any(n.startswith('op') or n == 'pipeline' for n in q), sorted(q); e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=copy, check=True, env=env)
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_lineage.py", "tests/test_api.py", "tests/test_cli.py", "-k", "not formats"], cwd=copy, check=True, env=env)
+
+
+def test_a_broken_part_shows(tmp_path):
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.abspath(entry.__file__))
+    copy = tmp_path / "repo"
+    shutil.copytree(root, copy, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse"))
+    os.remove(copy / "tidemark" / "llm" / "mixing.py")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    assert subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=copy, env=env, capture_output=True).returncode

@@ -70,7 +70,9 @@ def components(edges: DataFrame, max_rounds: int = 60, small: int = SMALL) -> Da
     ).distinct()
     e, seen = cut(e), None
     if e.count() <= small:
-        return cut(e.coalesce(1).mapInArrow(_in_one_task, "node long, component long"))
+        out = cut(e.coalesce(1).mapInArrow(_in_one_task, "node long, component long"))
+        drop_cut(e)
+        return out
     for _ in range(max_rounds):
         now = _signature(e)
         if now[0] == 0 or now == seen:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, fields, join_dealt, partitions, power_of_two, prepare, row_of
+from tidemark.llm.common import cut, drop_cut, fields, join_dealt, partitions, power_of_two, prepare, row_of
 from tidemark.llm.graph import components
 from tidemark.llm.text import set_digest, shingle_sets
 
@@ -238,7 +238,9 @@ def _buckets(sets: DataFrame) -> DataFrame:
     """(token, rep, n, have, central, many): classes by prefix shingle where several share it."""
     entries = cut(sets.select(F.explode("prefix").alias("token"), "rep", "n", "have", "central"))
     many = cut(entries.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"))
-    return join_dealt(entries, many, ["token"], entries.count())
+    out = cut(join_dealt(entries, many, ["token"], entries.count()))
+    drop_cut(entries, many)
+    return out
 
 
 def _may_link(percent: int):
@@ -270,7 +272,7 @@ def _central(still: DataFrame, upto: int, done: int) -> DataFrame:
 
 def members(classes: DataFrame, percent: int) -> DataFrame:
     """(node, component) for all classes that links touch. classes: rep, n, have, bits, central, prefix, segments."""
-    buckets = cut(_buckets(classes))
+    buckets = _buckets(classes)
     total = buckets.count()
     ordered = lambda df: df.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
     top = F.max_by(F.struct("rep", "n", "have", "central"), F.struct("central", "rep"))
@@ -281,6 +283,7 @@ def members(classes: DataFrame, percent: int) -> DataFrame:
     tried = cut(ordered(best))
     found = cut(_linked(tried, classes, percent))
     member = components(found)
+    drop_cut(hubs)
     done = 0
     while True:
         label = F.coalesce("component", "rep")
@@ -288,6 +291,7 @@ def members(classes: DataFrame, percent: int) -> DataFrame:
         span = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("many").alias("many"))
         open_ = cut(span.where("low <> high").select("token", "many"))
         if open_.isEmpty():
+            drop_cut(buckets, tried, found, open_)
             return member
         still = join_dealt(labelled.drop("many"), open_, ["token"], total)
         still = cut(still.join(classes.select("rep", "bits"), "rep"))
@@ -299,10 +303,14 @@ def members(classes: DataFrame, percent: int) -> DataFrame:
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             new = cut(_linked(pairs, classes, percent))
-            tried = cut(tried.union(pairs))
+            before, tried = tried, cut(tried.union(pairs))
+            drop_cut(before)
             if not new.isEmpty():
-                found = cut(found.union(new))
+                before, found, old = found, cut(found.union(new)), member
                 member = components(found)
+                drop_cut(before, old)
+            drop_cut(new)
+        drop_cut(open_, still, pairs)
         done = upto
 
 
@@ -341,6 +349,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, fragments:
     named = cut(grouped.join(smallest, "component", "left").select(*key, "many", F.coalesce("least", "smallest").alias("component_id")))
     # rows without an id have no part in the classes' counts, and need none
     out = join_dealt(real.where("doc_id is not null"), named, key, rows).select("doc_id", "n", "component_id")
+    drop_cut(sets)
     alone = meta.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
     out = _joint_ids(out).unionByName(alone)
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

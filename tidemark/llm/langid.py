@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import crc_mod, cut, draw, prepare
+from tidemark.llm.common import crc_mod, cut, draw, drop_cut, prepare
 from tidemark.llm.text import PIECE, blocks
 
 #: Bound of the texts per language that centroids are fitted on, centroids per language, and hashed n-gram dimensions.
@@ -151,6 +151,7 @@ def train(docs: DataFrame, learn, per_language: int = PER_LANGUAGE, centroids: i
 
     fitted = vectors.groupBy("lang").applyInArrow(cluster, "lang string, k long, centroids binary, reach binary")
     rows = sorted((r["lang"], bytes(r["centroids"]), bytes(r["reach"])) for r in fitted.toLocalIterator())
+    drop_cut(vectors)
     if not rows:
         return Model([], idf, np.zeros((0, 1 << BITS), np.float32), np.zeros(0, int), np.zeros(0))
     reach = [np.frombuffer(r, np.float64) for _, _, r in rows]
