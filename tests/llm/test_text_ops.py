@@ -5,7 +5,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import jaccard, langid, mixing, packing, quality, substring, toxicity
+from tidemark.llm import common, jaccard, langid, mixing, packing, quality, substring, toxicity
 from tidemark.llm.queries import tokenizer_path
 from tidemark.llm.text import Words, shingle_sets
 
@@ -84,13 +84,13 @@ UNLIKE = [" ".join(f"w{i}x{k}" for k in range(i % 9 + 1)) for i in range(50)]
 def test_similar_groups_where_little_is_shared(spark, texts, fragments):
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, None, "s", 7) for i, t in rows], DOCS)
-    monkey = jaccard.partitions
-    jaccard.partitions = lambda spark: 1 << 20  # no more tasks for more fragments
+    monkey = common.partitions
+    common.partitions = lambda spark: 1 << 20  # no more tasks for more fragments
     try:
         got = sorted(tuple(r) for r in jaccard.similar_groups(df, fragments=fragments).collect())
         kept = sorted(r.doc_id for r in jaccard.one_of_each(df, fragments=fragments).collect())
     finally:
-        jaccard.partitions = monkey
+        common.partitions = monkey
     assert got == brute_groups(rows)
     assert kept == sorted({c for _, _, c in got})
 
@@ -100,7 +100,7 @@ def test_large_buckets_are_dealt(spark, monkeypatch, fragments):
     monkeypatch.setattr(jaccard, "DEALT", 3)
     monkeypatch.setattr(jaccard, "HUBS", 4)
     monkeypatch.setattr(jaccard, "GROWTH", 2)
-    monkeypatch.setattr(jaccard, "partitions", lambda spark: 1 << 20)
+    monkeypatch.setattr(common, "partitions", lambda spark: 1 << 20)
     rng = random.Random(11)
     vocab = [f"v{i}" for i in range(400)]
     line = "a b c d e f g h"

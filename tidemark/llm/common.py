@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.scratch import cut, drop_cut, shared_dir
 
-__all__ = ["crc_mod", "cut", "draw", "drop_cut", "fields", "join_dealt", "partitions", "power_of_two", "prepare", "read", "row_of", "share", "shared_dir"]
+__all__ = ["crc_mod", "cut", "deal", "draw", "drop_cut", "even_keys", "fields", "join_dealt", "partitions", "power_of_two", "prepare", "read", "row_of", "share", "shared_dir"]
 
 #: Keys that hold at least this part of all rows are joined by broadcast: there can't be more of them than its inverse.
 HOT = 1000
@@ -80,3 +80,30 @@ def join_dealt(left: DataFrame, right: DataFrame, keys: list[str], total: int) -
     few = F.broadcast(right.where(hot(total)))
     rest = left.join(few.select(*keys), keys, "left_anti").join(right.where(~hot(total)), keys)
     return left.join(few, keys).unionByName(rest)
+
+
+#: Tasks to which groups are dealt one by one; more groups than that are dealt by hash, which is even enough then.
+TASKS = 1 << 15
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int] | range:
+    """n numbers of which hash partitioning into n partitions puts one into each, in order of partition.
+
+    Groups that have these as keys are dealt one to a task; keys 0, 1, 2 and so on would often share one. Beyond TASKS
+    they are just those.
+    """
+    if n > TASKS:
+        return range(n)
+    found: dict[int, int] = {}
+    start, wide = 0, 16 * n
+    while len(found) < n:
+        ids = spark.range(start, start + wide, 1, 1).select(F.col("id").cast("int").alias("k"))
+        for r in ids.groupBy(F.expr(f"pmod(hash(k), {n})").alias("p")).agg(F.min("k").alias("k")).collect():
+            found.setdefault(r["p"], r["k"])
+        start += wide
+    return [found[p] for p in range(n)]
+
+
+def deal(rows: DataFrame, fragments: int) -> DataFrame:
+    """rows, by frag, in as many partitions as there are fragments, TASKS at most, unless the session has more."""
+    return rows.repartition(min(fragments, TASKS), "frag") if fragments >= partitions(rows.sparkSession) else rows

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, drop_cut, fields, join_dealt, partitions, power_of_two, prepare, row_of
+from tidemark.llm.common import cut, deal, drop_cut, even_keys, fields, join_dealt, partitions, power_of_two, prepare, row_of
 from tidemark.llm.graph import components
 from tidemark.llm.text import set_digest, shingle_sets
 
@@ -77,12 +77,13 @@ def _bits(fragments: int) -> tuple[int, int, int]:
     return k, max(0, 16 - k), min(48, 64 - k)
 
 
-def _send(docs: DataFrame, size: int, fragments: int) -> DataFrame:
+def _send(docs: DataFrame, size: int, keys: list[int] | range) -> DataFrame:
     """(frag, block, kind, data): kind 0 are a block's entries in a fragment, kind 1 is what the block's documents are.
 
     The data of kind 0 begin with the block's documents that have entries there, their number first, and the 128 bits
-    of the set of each.
+    of the set of each. frag is the fragment's key.
     """
+    fragments = len(keys)
     k, drop, keep = _bits(fragments)
 
     def flush(block: int, sets: list[np.ndarray], meta: list[tuple]) -> pa.RecordBatch:
@@ -99,8 +100,8 @@ def _send(docs: DataFrame, size: int, fragments: int) -> DataFrame:
         rows = []
         for f, a, b in zip(frags, at, [*at[1:], len(every)], strict=True):
             there = np.unique(doc[a:b])
-            rows.append((int(f), block, 0, np.uint32(len(there)).tobytes() + there.tobytes() + digest[there].tobytes() + entry[a:b].tobytes()))
-        rows.append((block % fragments, block, 1, known.tobytes()))
+            rows.append((keys[int(f)], block, 0, np.uint32(len(there)).tobytes() + there.tobytes() + digest[there].tobytes() + entry[a:b].tobytes()))
+        rows.append((keys[block % fragments], block, 1, known.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["frag", "block", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,9 +136,10 @@ def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.frombuffer(data, "<u2", n, 4), digest, np.frombuffer(data, _ENTRY, offset=4 + 18 * n)
 
 
-def _count(rows: DataFrame, fragments: int) -> DataFrame:
+def _count(rows: DataFrame, keys: list[int] | range) -> DataFrame:
     """Per fragment: entries whose shingle more than one set holds, back to the first block that has the set."""
-    keep = _bits(fragments)[2]
+    keep = _bits(len(keys))[2]
+    place = {key: i for i, key in enumerate(keys)} if isinstance(keys, list) else keys
 
     def run(table: pa.Table) -> pa.Table:
         frag, block, kind = (table.column(i).to_numpy() for i in range(3))
@@ -178,7 +180,7 @@ def _count(rows: DataFrame, fragments: int) -> DataFrame:
             count = np.repeat(count, count)
             many = count > 1
             shared = np.empty(int(many.sum()), _SHARED)
-            shared["token"] = token[many] | (np.uint64(frag[parts[0]]) << np.uint64(keep))
+            shared["token"] = token[many] | (np.uint64(place[int(frag[0])]) << np.uint64(keep))
             shared["count"], shared["doc"], of = np.minimum(count[many], 0xFFFFFFFF), doc[many], of[many]
             order = np.argsort(of, kind="stable")
             shared, of = shared[order], of[order]
@@ -336,10 +338,9 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80, fragments:
     key = ["n", "d1", "d2"]
     real = meta.where("n > 0")
     classes = real.where("doc_id is not null").groupBy(*key).agg(F.min("doc_id").alias("smallest"), F.count("*").alias("many"))
-    sent = _send(known.where("text is not null"), size, fragments)
-    if fragments > partitions(spark):
-        sent = sent.repartition(fragments, "frag")
-    left = _survivors(_count(sent, fragments), fragments, percent)
+    keys = even_keys(spark, fragments)
+    sent = deal(_send(known.where("text is not null"), size, keys), fragments)
+    left = _survivors(_count(sent, keys), fragments, percent)
     # a number for each set, which stays since the table is written
     sets = cut(left.withColumn("rep", F.monotonically_increasing_id()))
     member = members(sets.select("rep", "n", "have", "bits", "central", "prefix", "segments"), percent)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import fields, partitions, power_of_two, prepare, row_of
+from tidemark.llm.common import deal, even_keys, fields, partitions, power_of_two, prepare, row_of
 from tidemark.llm.text import PIECE, Words, blocks, mix, pieces, power, running, sums
 
 #: A cut may follow one word in 2 ** CUT_BITS; a chunk has MIN_WORDS to MAX_WORDS words, the last of a text perhaps fewer.
@@ -121,12 +121,12 @@ def text_chunks(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
 
 
-def _send(docs: DataFrame, fragments: int) -> DataFrame:
+def _send(docs: DataFrame, keys: list[int] | range) -> DataFrame:
     """(frag, kind, data). kind 0: a block's first chunk of each digest; kind 1: its other chunks, repeats for sure.
 
     So that a digest of which there are very many counts once a block where it is compared with other blocks.
     """
-    bits = fragments.bit_length() - 1
+    bits = len(keys).bit_length() - 1
 
     def flush(entries: list[np.ndarray], number: int) -> pa.RecordBatch:
         every = np.concatenate(entries)
@@ -137,12 +137,12 @@ def _send(docs: DataFrame, fragments: int) -> DataFrame:
         first, later = every[new], every[~new & ~new[lead]]
         frag = first["digest"] >> np.uint64(64 - bits) if bits else np.zeros(len(first), np.uint64)
         frags, at = np.unique(frag, return_index=True)  # the digests are in order, and so are the fragments
-        rows = [(int(f), 0, first[a:b].tobytes()) for f, a, b in zip(frags, at, [*at[1:], len(first)], strict=True)]
+        rows = [(keys[int(f)], 0, first[a:b].tobytes()) for f, a, b in zip(frags, at, [*at[1:], len(first)], strict=True)]
         if len(later):
             places = np.empty(len(later), _PLACE)
             for c in _PLACE.names:
                 places[c] = later[c]
-            rows.append((number % fragments, 1, places.tobytes()))
+            rows.append((keys[number % len(keys)], 1, places.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["frag", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,9 +247,7 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | No
     tag = F.coalesce(F.xxhash64("text").bitwiseAND(F.lit(0xFFFFFFFF)), F.lit(0)).cast("long")
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_NO_ID)))
     keyed = docs.select(row_of(docs), F.col("text").alias("old"), key.alias("id"), tag.alias("tag"))
-    sent = _send(keyed.where("old is not null").select("id", "tag", "old"), fragments)
-    if fragments > partitions(spark):
-        sent = sent.repartition(fragments, "frag")
+    sent = deal(_send(keyed.where("old is not null").select("id", "tag", "old"), even_keys(spark, fragments)), fragments)
     marks = _repeats(sent).groupBy("id", "tag").agg(F.collect_list("places").alias("places"))
 
     @F.pandas_udf("text string, removed array<struct<start: int, end: int>>, removed_words long")
