@@ -29,10 +29,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, deal, drop_cut, even_keys, fields, join_dealt, partitions, power_of_two, prepare, row_of
 from tidemark.llm.graph import components
-from tidemark.llm.text import set_digest, shingle_sets
+from tidemark.llm.text import let_go, set_digest, shingle_sets
 
 #: Shingles that one block of documents holds before it is sent out, and documents in it at most.
-BLOCK_SHINGLES, BLOCK_DOCS = 1_500_000, 60_000
+BLOCK_SHINGLES, BLOCK_DOCS = 1_000_000, 60_000
 #: Shingles that a fragment should count at most: it is one group in one worker. There are as many fragments as that takes.
 FRAGMENT_SHINGLES = 4_000_000
 #: Fragments in which the overlaps of candidate pairs are counted.
@@ -67,6 +67,7 @@ def digests(docs: DataFrame, size: int = 5) -> DataFrame:
             d = np.array([set_digest(s) for s in sets], np.int64).reshape(-1, 2)
             n = np.fromiter(map(len, sets), np.int64, len(sets))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n), pa.array(d[:, 0]), pa.array(d[:, 1])], names=["doc_id", "n", "d1", "d2"])
+        let_go()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, n long, d1 long, d2 long")
 
@@ -125,6 +126,8 @@ def _send(docs: DataFrame, size: int, keys: list[int] | range) -> DataFrame:
                     block, sets, meta, seen, total = block + 1, [], [], set(), 0
         if sets:
             yield flush(block, sets, meta)
+        sets, meta = [], []
+        let_go()
 
     return docs.select("text").mapInArrow(run, "frag int, block long, kind int, data binary")
 
@@ -188,6 +191,7 @@ def _count(rows: DataFrame, keys: list[int] | range) -> DataFrame:
             ends = np.append(at, len(of))[1:]  # none, where nothing is shared
             out += [(int(block[parts[w]]), 0, shared[a:b].tobytes()) for w, a, b in zip(which, at, ends, strict=True)]
         cols = zip(*out, strict=True) if out else ([], [], [])
+        let_go()
         return pa.table([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["block", "kind", "data"])
 
     return rows.groupBy("frag").applyInArrow(run, "block long, kind int, data binary")

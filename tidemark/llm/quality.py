@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, draw, prepare, share
-from tidemark.llm.text import PIECE, Words, blocks, hashed, joined_sum, pieces
+from tidemark.llm.text import PIECE, Words, blocks, hashed, joined_sum, let_go, pieces
 
 #: Bound of the labelled rows that the model is fitted on.
 ROWS = 20_000
@@ -253,6 +253,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(texts), pa.float64())], names=["doc_id", "score"])
+        let_go()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, score double")
 

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import deal, even_keys, fields, partitions, power_of_two, prepare, row_of
-from tidemark.llm.text import PIECE, Words, blocks, mix, pieces, power, running, sums
+from tidemark.llm.text import PIECE, Words, blocks, let_go, mix, pieces, power, running, sums
 
 #: A cut may follow one word in 2 ** CUT_BITS; a chunk has MIN_WORDS to MAX_WORDS words, the last of a text perhaps fewer.
 CUT_BITS, MIN_WORDS, MAX_WORDS = 2, 3, 16
@@ -26,7 +26,7 @@ MIN_RUN = 16
 #: Bytes that the gear hash looks back.
 WINDOW = 16
 #: Chunks that one block of documents holds before it is sent out.
-BLOCK_CHUNKS = 400_000
+BLOCK_CHUNKS = 250_000
 #: Bytes of text whose chunks one fragment should compare: it is one group in one worker. There are as many as that takes.
 FRAGMENT_BYTES = 96 << 20
 
@@ -174,6 +174,8 @@ def _send(docs: DataFrame, keys: list[int] | range) -> DataFrame:
                     entries, held, number = [], 0, number + 1
         if entries and held:
             yield flush(entries, number)
+        entries = []
+        let_go()
 
     return docs.mapInArrow(run, "frag int, kind int, data binary")
 
@@ -265,6 +267,7 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | No
                 at = b
             kept.append(raw[at:])
             out.append((b"".join(kept).decode(), [{"start": a, "end": b} for a, b in cuts], n))
+        let_go()
         return pd.DataFrame(out, columns=["text", "removed", "removed_words"])
 
     joined = keyed.join(marks, ["id", "tag"], "left")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 #: ASCII white space (fixed values): space and 0x09 to 0x0D.
 _SPACE = np.zeros(256, bool)
@@ -24,7 +26,7 @@ _tables: dict[int, np.ndarray] = {}
 _BITS = 21
 _STEP = 1 << _BITS
 #: Bytes that a block of texts or a piece of a long text has about.
-PIECE = 1 << 20
+PIECE = 1 << 19
 
 
 def _table(base: int, n: int) -> np.ndarray:
@@ -201,3 +203,12 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
     one = np.sum(mix(hashes ^ np.uint64(0x8EBC6AF09C88C6E3)), dtype=np.uint64)
     two = np.sum(mix(hashes * np.uint64(0x589965CC75374CC3) + np.uint64(1)), dtype=np.uint64)
     return int(one.astype(np.int64)), int(two.astype(np.int64))
+
+
+def let_go() -> None:
+    """Gives memory that is free in this worker back to the machine: workers stay alive between stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass

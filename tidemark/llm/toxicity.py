@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import crc_mod, draw, prepare, share
-from tidemark.llm.text import PIECE, Words, blocks, pieces
+from tidemark.llm.text import PIECE, Words, blocks, let_go, pieces
 
 #: Bounds of the sample that the classifier is fitted on: confirmed toxic texts, and unlabelled texts.
 POSITIVES, UNLABELLED = 4000, 8000
@@ -208,6 +208,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(texts), pa.float64())], names=["doc_id", "score"])
+        let_go()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, "doc_id long, score double")
 
