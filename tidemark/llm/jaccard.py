@@ -40,7 +40,7 @@ CHECK_FRAGMENTS = 4
 #: Hubs of a bucket that the second round compares with the rest of it; each later round takes GROWTH times as many.
 HUBS, GROWTH = 256, 16
 #: Rows of a bucket that one task compares with its hubs; larger buckets are dealt over several.
-DEALT = 2000
+DEALT = 500
 
 _ENTRY = np.dtype([("key", "<u4"), ("high", "<u2"), ("doc", "<u2")])
 _SHARED = np.dtype([("token", "<u8"), ("count", "<u4"), ("doc", "<u2")])
@@ -261,19 +261,19 @@ def _near_bits(percent: int):
     return (100 + percent) * apart <= (100 - percent) * (F.col("n") + F.col("hub_n"))
 
 
-def _salted():
-    """The part of its bucket that a class is in: buckets of over DEALT classes are dealt over several tasks."""
-    return F.pmod(F.xxhash64("rep"), F.ceil(F.col("many") / DEALT).cast("long"))
+def _parts():
+    """Parts of a bucket: one of over DEALT classes is dealt over several tasks."""
+    return F.ceil(F.col("many") / DEALT).cast("long")
 
 
 def _central(still: DataFrame, upto: int, done: int) -> DataFrame:
-    """The classes of each bucket from place done + 1 to upto, most central first."""
-    order = [F.desc("central"), F.desc("rep")]
-    large = still.where(F.col("many") > DEALT).withColumn("salt", _salted())
-    # of a part, no class behind place upto can be one of the bucket's first upto
-    first = large.withColumn("place", F.row_number().over(W.partitionBy("token", "salt").orderBy(*order))).where(F.col("place") <= upto)
-    both = still.where(F.col("many") <= DEALT).unionByName(first.drop("salt", "place"))
-    return both.withColumn("place", F.row_number().over(W.partitionBy("token").orderBy(*order))).where(F.col("place") <= upto).where(F.col("place") > done)
+    """Of each part of a bucket its share of the bucket's places done + 1 to upto, most central first.
+
+    Each part ranks its own classes, so no task sees a whole bucket.
+    """
+    order = W.partitionBy("token", "salt").orderBy(F.desc("central"), F.desc("rep"))
+    ranked = still.withColumn("place", F.row_number().over(order)).where(F.col("place") <= upto)
+    return ranked.where((F.col("place") <= F.ceil(F.lit(upto) / _parts())) & (F.col("place") > F.ceil(F.lit(done) / _parts())))
 
 
 def members(classes: DataFrame, percent: int) -> DataFrame:
@@ -293,19 +293,21 @@ def members(classes: DataFrame, percent: int) -> DataFrame:
     done = 0
     while True:
         label = F.coalesce("component", "rep")
-        labelled = buckets.where(F.col("many") > done).join(member, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "have", "central", "many", label.alias("component"))
+        # a part has all of a bucket's classes at most, so now every class of the other buckets has been a hub
+        labelled = buckets.where(F.col("many") * _parts() > done).join(member, F.col("rep") == F.col("node"), "left").select("token", "rep", "n", "have", "central", "many", label.alias("component"))
         span = labelled.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max("many").alias("many"))
         open_ = cut(span.where("low <> high").select("token", "many"))
         if open_.isEmpty():
             drop_cut(buckets, tried, found, open_)
             return member
         still = join_dealt(labelled.drop("many"), open_, ["token"], total)
-        still = cut(still.join(classes.select("rep", "bits"), "rep"))
+        still = still.join(classes.select("rep", "bits"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), _parts()))
+        still = cut(still)
         upto = HUBS if not done else done * GROWTH
         near = _central(still, upto, done)
-        parts = F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("many") / DEALT).cast("long") - 1))
-        near = near.select("token", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("have").alias("hub_have"), F.col("bits").alias("hub_bits"), F.col("component").alias("hub_component"), parts.alias("salt"))
-        pairs = ordered(still.withColumn("salt", _salted()).join(near, ["token", "salt"]).where(_may_link(percent) & _near_bits(percent) & (F.col("component") != F.col("hub_component"))))
+        every = F.explode(F.sequence(F.lit(0).cast("long"), _parts() - 1))
+        near = near.select("token", F.col("rep").alias("hub"), F.col("n").alias("hub_n"), F.col("have").alias("hub_have"), F.col("bits").alias("hub_bits"), F.col("component").alias("hub_component"), every.alias("salt"))
+        pairs = ordered(still.join(near, ["token", "salt"]).where(_may_link(percent) & _near_bits(percent) & (F.col("component") != F.col("hub_component"))))
         pairs = cut(pairs.join(tried, ["a", "b"], "left_anti"))
         if not pairs.isEmpty():
             new = cut(_linked(pairs, classes, percent))
