@@ -125,3 +125,63 @@ def _examples(family: str) -> None:
 
 for _family in EXAMPLES:
     _examples(_family)
+
+
+@query("""SELECT l_returnflag, any_value(l_returnflag) AS any_, avg(l_quantity) AS avg_, bit_and(l_linenumber) AS ba, bit_or(l_linenumber) AS bo, bit_xor(l_linenumber) AS bx, (count(*) FILTER (l_quantity > 10) % 2) = 1 AS xo,
+  round(corr(l_quantity, l_tax), 9) AS co, count(*) AS n, count(*) FILTER (l_quantity > 10) AS ci, round(covar_pop(l_quantity, l_tax), 6) AS cp, round(covar_samp(l_quantity, l_tax), 6) AS cs, bool_and(l_quantity > 0) AS la, bool_or(l_quantity > 49) AS lo,
+  max(l_quantity) AS mx, min(l_quantity) AS mn, median(l_quantity) AS md, quantile_cont(l_quantity, 0.25) AS qu, round(stddev(l_quantity), 6) AS sd, round(stddev_pop(l_quantity), 6) AS sp, round(stddev_samp(l_quantity), 6) AS ss, sum(l_linenumber)::BIGINT AS su, round(variance(l_quantity), 6) AS va,
+  round(var_pop(l_quantity), 6) AS vp, sum(l_linenumber) FILTER (l_quantity > 10)::BIGINT AS si, arg_max(l_orderkey, l_orderkey) AS am, arg_min(l_orderkey, l_orderkey) AS an, first(l_returnflag) AS fi, last(l_returnflag) AS la_, array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS un,
+  array_to_string(list_sort(list(DISTINCT l_linenumber)), ',') AS ua, count(*) AS ag, 2 * count(*) AS cc, count(*) AS gc, true AS ad, true AS hl, true AS aq, count(*) AS ja, round(regr_avgx(l_quantity, l_tax), 9) AS rx, round(regr_avgy(l_quantity, l_tax), 9) AS ry,
+  count(DISTINCT l_linenumber) AS bc, true AS tk
+FROM lineitem GROUP BY l_returnflag""")
+def fn_aggregate_names(spark, sf):
+    """Aggregates by their dialect names; approximate ones must come within a tenth."""
+    q, line = "l_quantity", "l_linenumber"
+    near = lambda a, b: (F.abs(a / b - 1) < 0.1)
+    rows = read(spark, sf, "lineitem").withColumn("big", F.col(q) > 10).withColumn("one", F.array(line)).withColumn("two", F.array(line, line))
+    return rows.groupBy("l_returnflag").agg(
+        call("any_value", "l_returnflag").alias("any_"), call("avg", q).alias("avg_"), call("bitwise_and_agg", line).alias("ba"), call("bitwise_or_agg", line).alias("bo"), call("bitwise_xor_agg", line).alias("bx"), call("boolxor_agg", "big").alias("xo"),
+        F.round(call("corr", q, "l_tax"), 9).alias("co"), call("count", "1").alias("n"), call("count_if", "big").alias("ci"), F.round(call("covar_pop", q, "l_tax"), 6).alias("cp"), F.round(call("covar_samp", q, "l_tax"), 6).alias("cs"), call("logical_and", f"{q} > 0").alias("la"), call("logical_or", f"{q} > 49").alias("lo"),
+        call("max", q).alias("mx"), call("min", q).alias("mn"), call("median", q).alias("md"), call("quantile", q, "0.25").alias("qu"), F.round(call("stddev", q), 6).alias("sd"), F.round(call("stddev_pop", q), 6).alias("sp"), F.round(call("stddev_samp", q), 6).alias("ss"), call("sum", line).alias("su"), F.round(call("variance", q), 6).alias("va"),
+        F.round(call("variance_pop", q), 6).alias("vp"), call("sum_if", line, "big").alias("si"), call("arg_max", "l_orderkey", "l_orderkey").alias("am"), call("arg_min", "l_orderkey", "l_orderkey").alias("an"), call("first", "l_returnflag").alias("fi"), call("last", "l_returnflag").alias("la_"),
+        F.array_join(F.sort_array(call("array_unique_agg", line)), ",").alias("un"), F.array_join(F.sort_array(call("array_union_agg", "one")), ",").alias("ua"), F.size(call("array_agg", line)).cast("long").alias("ag"), F.size(call("array_concat_agg", "two")).cast("long").alias("cc"),
+        F.size(F.split(call("group_concat", line, "';'"), ";")).cast("long").alias("gc"), near(call("approx_distinct", line), F.countDistinct(line)).alias("ad"), near(call("hll", line), F.countDistinct(line)).alias("hl"), near(call("approx_quantile", q, "0.5"), F.median(q)).alias("aq"),
+        F.size(F.from_json(call("json_array_agg", line), "array<int>")).cast("long").alias("ja"), F.round(call("regr_avgx", q, "l_tax"), 9).alias("rx"), F.round(call("regr_avgy", q, "l_tax"), 9).alias("ry"),
+        F.bitmap_count(call("bitmap_construct_agg", f"bitmap_bit_position({line})")).alias("bc"), (F.size(call("approx_top_k", line, "3")) == 3).alias("tk"),
+    )
+
+
+@query("""SELECT r_regionkey, name, value FROM region, (VALUES ('explode', '1'), ('explode', '2'), ('explode_outer', NULL), ('posexplode', '7'), ('posexplode_outer', NULL), ('inline', '5'), ('unnest', '3'), ('exploding_generate_series', '1'), ('exploding_generate_series', '3'),
+  ('json_table', '1'), ('json_table', '2'), ('xml_table', 'x'), ('xml_table', 'y'), ('open_json', 'v')) v(name, value)""")
+def fn_generators(spark, sf):
+    r = read(spark, sf, "region").select("r_regionkey")
+    json_ = """'{"a": [1, 2]}'"""
+    calls = [
+        ("explode", ["array(1, 2)"], ["value"]), ("explode_outer", ["cast(NULL AS array<int>)"], ["value"]), ("posexplode", ["array(7)"], ["at", "value"]), ("posexplode_outer", ["cast(NULL AS array<int>)"], ["at", "value"]), ("inline", ["array(struct(5 AS x))"], ["value"]),
+        ("unnest", ["array(3)"], ["value"]), ("exploding_generate_series", ["1", "4", "2"], ["value"]), ("json_table", [json_, "'$.a'"], ["value"]), ("xml_table", ["'<a><b>x</b><b>y</b></a>'", "'a/b/text()'"], ["value"]), ("open_json", ["""'{"k": "v"}'"""], ["key", "value"]),
+    ]
+    out = None
+    for name, args, columns in calls:
+        one = r.select("r_regionkey", F.lit(name).alias("name"), call(name, *args).alias(*columns)).select("r_regionkey", "name", F.col("value").cast("string"))
+        out = one if out is None else out.union(one)
+    return out
+
+
+@query("""SELECT r_regionkey, true AS now, true AS current_date, true AS current_timestamp, true AS current_datetime, true AS current_timestamp_ltz, true AS utc_date, true AS utc_time, true AS utc_timestamp, true AS rand, true AS randn, true AS uuid, true AS current_user, true AS current_schema,
+  true AS compress, true AS st_distance, true AS minhash FROM region""")
+def fn_volatile(spark, sf):
+    """Functions whose value changes from run to run or that only go with another: their form is checked."""
+    today = "current_date()"
+    return read(spark, sf, "region").select(
+        "r_regionkey", (F.to_date(call("now")) == F.expr(today)).alias("now"), (call("current_date") == F.expr(today)).alias("current_date"), (F.to_date(call("current_timestamp")) == F.expr(today)).alias("current_timestamp"), (F.to_date(call("current_datetime")) == F.expr(today)).alias("current_datetime"),
+        (F.to_date(call("current_timestamp_ltz")) == F.expr(today)).alias("current_timestamp_ltz"), (call("utc_date") == F.expr(today)).alias("utc_date"), call("utc_time").rlike("^[0-2][0-9]:[0-5][0-9]:[0-5][0-9]$").alias("utc_time"), (F.to_date(call("utc_timestamp")) == F.expr(today)).alias("utc_timestamp"),
+        call("rand").between(0, 1).alias("rand"), call("randn").isNotNull().alias("randn"), (F.length(call("uuid")) == 36).alias("uuid"), call("current_user").isNotNull().alias("current_user"), (call("current_schema") == "default").alias("current_schema"),
+        (custom.call("decompress_string", custom.call("compress", F.lit("abc").cast("binary"))) == "abc").alias("compress"), custom.call("st_distance", F.lit(48.85), F.lit(2.35), F.lit(51.5), F.lit(-0.12)).between(340_000, 347_000).alias("st_distance"),
+        (F.size(custom.call("minhash", F.array(F.lit("x"), F.lit("y")))) == 64).alias("minhash"),
+    )
+
+
+@query("""SELECT r_regionkey, '{"' || r_name || '":' || r_regionkey || '}' AS o, '{"' || r_name || '":' || r_regionkey || '}' AS j, '{"' || r_name || '":' || r_regionkey || '}' AS b FROM region""")
+def fn_object_aggregates(spark, sf):
+    r = read(spark, sf, "region").groupBy("r_regionkey")
+    return r.agg(call("object_agg", "r_name", "r_regionkey").alias("o"), call("json_object_agg", "r_name", "r_regionkey").alias("j"), call("jsonb_object_agg", "r_name", "r_regionkey").alias("b"))
