@@ -40,7 +40,7 @@ CHECK_FRAGMENTS = 4
 #: Hubs of a bucket that the second round compares with the rest of it; each later round takes GROWTH times as many.
 HUBS, GROWTH = 256, 16
 #: Rows of a bucket that one task compares with its hubs; larger buckets are dealt over several.
-DEALT = 500
+DEALT = 200
 
 _ENTRY = np.dtype([("key", "<u4"), ("high", "<u2"), ("doc", "<u2")])
 _SHARED = np.dtype([("token", "<u8"), ("count", "<u4"), ("doc", "<u2")])
