@@ -102,7 +102,7 @@ def _send(docs: DataFrame, size: int, keys: list[int] | range) -> DataFrame:
         for f, a, b in zip(frags, at, [*at[1:], len(every)], strict=True):
             there = np.unique(doc[a:b])
             rows.append((keys[int(f)], block, 0, np.uint32(len(there)).tobytes() + there.tobytes() + digest[there].tobytes() + entry[a:b].tobytes()))
-        rows.append((keys[block % fragments], block, 1, known.tobytes()))
+        rows.append((keys[((block >> 32) + block) % fragments], block, 1, known.tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["frag", "block", "kind", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
