@@ -12,8 +12,15 @@ GROUP_BY_ALIAS = set("bigquery clickhouse databricks duckdb hive mysql redshift
 HAVING_ALIAS = GROUP_BY_ALIAS
 LATERAL_ALIAS = set("bigquery clickhouse databricks duckdb hive redshift snowflake".split())
 BRACKETS = {"mssql", "sqlite", "generic"}
-#: Functions whose first argument is a unit of time, not a column.
-UNIT_FIRST = set("datediff dateadd datepart date_part datetrunc date_trunc timestampadd timestampdiff timestampsub dateadd_big".split())
+#: Arguments, from 0, that are a unit of time and not a column, by function (without underscores) and dialect.
+UNITS = {
+    "datediff": {"mssql": 0, "redshift": 0, "snowflake": 0},
+    "dateadd": {"mssql": 0, "snowflake": 0},
+    "datepart": {"postgres": 0, "redshift": 0, "snowflake": 0},
+    "datetrunc": {"bigquery": 1, "databricks": 0, "duckdb": 0, "postgres": 0, "redshift": 0, "snowflake": 0},
+    "timestampadd": {"bigquery": 1, "snowflake": 0},
+    "timestampsub": {"bigquery": 1},
+}
 
 #: Aggregates that mark an output column as aggregated.
 AGGREGATES = set(
