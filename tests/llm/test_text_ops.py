@@ -79,8 +79,11 @@ def test_similar_groups_of_an_empty_table(spark):
 UNLIKE = [" ".join(f"w{i}x{k}" for k in range(i % 9 + 1)) for i in range(50)]
 
 
-@pytest.mark.parametrize("texts", [UNLIKE, UNLIKE[8:9], [UNLIKE[7]] * 3 + [UNLIKE[8]], [UNLIKE[8], UNLIKE[8].upper(), UNLIKE[7] + " z", UNLIKE[3]]], ids=["unlike", "one", "copies", "pair"])
-@pytest.mark.parametrize("fragments", [1, 64, 1 << 17])
+COPIES = [UNLIKE[7]] * 3 + [UNLIKE[8]]
+PAIR = [UNLIKE[8], UNLIKE[8].upper(), UNLIKE[7] + " z", UNLIKE[3]]
+
+
+@pytest.mark.parametrize("texts, fragments", [(UNLIKE, 1), (UNLIKE, 64), (UNLIKE[8:9], 64), (COPIES, 1), (COPIES, 64), (COPIES, 1 << 17), (PAIR, 64)])
 def test_similar_groups_where_little_is_shared(spark, texts, fragments):
     rows = list(enumerate(texts))
     df = spark.createDataFrame([(i, t, None, "s", 7) for i, t in rows], DOCS)

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.text import let_go
+
 CAPACITY = 2048
 #: Words kept with their ids by one Python worker; beyond that new words are encoded each time.
-KEPT_WORDS = 600_000
+KEPT_WORDS = 300_000
 #: One run of letters that normalising only lower-cases, then perhaps one run of plain punctuation.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:%$&*#|]*)")
 _SPACES = "\t\n\x0b\x0c\r"
@@ -264,5 +266,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
                 rows, size = [], 0
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), SCHEMA.types, strict=True)], schema=SCHEMA)
+        rows = []
+        let_go()
 
     return docs.selectExpr("cast(doc_id as long) as doc_id", "text").mapInArrow(run, DDL)

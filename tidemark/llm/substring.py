@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +31,7 @@ FRAGMENT_BYTES = 96 << 20
 
 _GEAR = (mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 _GEAR[0] = 0
-_BACK = np.arange(1, WINDOW + 1)
+_BACK = np.arange(1, WINDOW + 1, dtype=np.int32)
 _Q = 0xD1342543DE82EF95
 _QINV = pow(_Q, -1, 1 << 64)
 _ENTRY = np.dtype([("digest", "<u8"), ("id", "<i8"), ("place", "<u4"), ("tag", "<u4")])
@@ -43,9 +42,9 @@ _NO_ID = np.iinfo(np.int64).max
 def gear(data: np.ndarray, end: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """At each end the sum of gear values of the WINDOW bytes before it, but not before begin, each shifted left by its
     distance."""
-    at = end[:, None] - _BACK
+    at = end.astype(np.int32)[:, None] - _BACK
     value = _GEAR[data[np.maximum(at, 0)]] << (_BACK - 1).astype(np.uint32)
-    value[at < begin[:, None]] = 0
+    value[at < begin.astype(np.int32)[:, None]] = 0
     return value.sum(1, dtype=np.uint32)
 
 
@@ -252,23 +251,25 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN, fragments: int | No
     sent = deal(_send(keyed.where("old is not null").select("id", "tag", "old"), even_keys(spark, fragments)), fragments)
     marks = _repeats(sent).groupBy("id", "tag").agg(F.collect_list("places").alias("places"))
 
-    @F.pandas_udf("text string, removed array<struct<start: int, end: int>>, removed_words long")
-    def clean(text: pd.Series, places: pd.Series) -> pd.DataFrame:
+    kind = pa.struct([("text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))), ("removed_words", pa.int64())])
+
+    @F.arrow_udf("text string, removed array<struct<start: int, end: int>>, removed_words long")
+    def clean(text: pa.Array, places: pa.Array) -> pa.Array:
         out = []
-        for t, p in zip(text, places, strict=True):
-            if t is None or p is None:
-                out.append((None, None, 0))
+        for t, p in zip(text.cast(pa.binary()), places, strict=True):
+            if not (t.is_valid and p.is_valid):
+                out.append(None)
                 continue
-            raw = t.encode()
-            cuts, n = spans(raw, np.concatenate([np.frombuffer(x, "<u4") for x in p]).astype(np.int64), min_run)
+            raw = t.as_py()
+            cuts, n = spans(raw, np.concatenate([np.frombuffer(x, "<u4") for x in p.as_py()]).astype(np.int64), min_run)
             kept, at = [], 0
             for a, b in cuts:
                 kept.append(raw[at:a])
                 at = b
             kept.append(raw[at:])
-            out.append((b"".join(kept).decode(), [{"start": a, "end": b} for a, b in cuts], n))
+            out.append({"text": b"".join(kept).decode(), "removed": [{"start": a, "end": b} for a, b in cuts], "removed_words": n})
         let_go()
-        return pd.DataFrame(out, columns=["text", "removed", "removed_words"])
+        return pa.array(out, kind)
 
     joined = keyed.join(marks, ["id", "tag"], "left")
     marked = F.col("places").isNotNull()

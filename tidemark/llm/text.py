@@ -206,7 +206,8 @@ def set_digest(hashes: np.ndarray) -> tuple[int, int]:
 
 
 def let_go() -> None:
-    """Gives memory that is free in this worker back to the machine: workers stay alive between stages."""
+    """Gives memory that this worker needn't keep back to the machine: workers stay alive between stages."""
+    _tables.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -216,11 +216,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
     """docs whose score is under the threshold, columns as they are and whatever their names; rows that repeat fare alike."""
 
-    @F.pandas_udf("double")
-    def toxic(text):
-        import pandas as pd
-
-        return pd.Series(model.score([(t or "").encode() for t in text]))
+    @F.arrow_udf("double")
+    def toxic(text: pa.Array) -> pa.Array:
+        out = pa.array(model.score([t or b"" for t in text.cast(pa.binary()).to_pylist()]), pa.float64())
+        let_go()
+        return out
 
     return docs.where(toxic("text") < threshold)
 
