@@ -168,3 +168,19 @@ def test_rules_and_custom_functions(spark):
     assert got.u == "é" and got.ip == "10.0.0.1" and 340_000 < got.d < 347_000 and got.sim == 1 and got.e == "1" and got.h == 1 and got.asc
     frame = catalog.coverage(spark, ["upper", "arg_max", "coth", "json_set", "ai_agg", "sum"])
     assert {r.name: r.spark is not None for r in frame.collect()} == {"upper": True, "arg_max": True, "coth": True, "json_set": True, "ai_agg": False, "sum": True}
+
+
+def test_aggregates_that_keep_values_hold_a_part_of_a_group_at_once(spark, tmp_path, monkeypatch):
+    from tidemark.functions import queries
+
+    monkeypatch.setattr(queries, "PART", 3)
+    rows = [(i, i % 7 if i % 5 else None, float(i % 50 + 1), 0.01 * (i % 8), ("A", "B", None)[i % 3]) for i in range(100)]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_tax double, l_returnflag string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    out = queries.fn_aggregate_names(spark, str(tmp_path))
+    holds = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_list(l_linenumber" in x]
+    assert holds and all("part#" in x for x in holds)
+    for r in out.collect():
+        lines = [n for _, n, _, _, flag in rows if flag == r.l_returnflag]
+        there = [n for n in lines if n is not None]
+        assert (r.n, r.ag, r.cc, r.gc, r.ja) == (len(lines), len(there), 2 * len(lines), len(there), len(there))
+        assert r.ua == r.un == ",".join(map(str, sorted(set(there))))
