@@ -184,3 +184,13 @@ def test_aggregates_that_keep_values_hold_a_part_of_a_group_at_once(spark, tmp_p
         there = [n for n in lines if n is not None]
         assert (r.n, r.ag, r.cc, r.gc, r.ja) == (len(lines), len(there), 2 * len(lines), len(there), len(there))
         assert r.ua == r.un == ",".join(map(str, sorted(set(there))))
+
+
+def test_running_totals_over_frames_in_any_order(spark, tmp_path):
+    from tidemark.streaming import queries
+
+    day = [(7, 1704067200000000 + (i * 7919) % 20000 * 1000003) for i in range(20000)] + [(8, 1704067200123457), (8, 1704153600123456), (8, None), (9, None), (None, 1704067200000001), (None, 1704067200000004)]
+    events = spark.createDataFrame(day, "user_id long, us long").selectExpr("user_id", "timestamp_micros(us) AS ts")
+    events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.user_id: (r.events, r.longest_gap) for r in queries.stream_stateful(spark, str(tmp_path)).collect()}
+    assert found == {7: (20000, 1.000003), 8: (3, 86399.999999), 9: (1, 0.0), None: (2, 0.000003)}

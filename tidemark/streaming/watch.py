@@ -87,21 +87,29 @@ def newest(spark: SparkSession, out: str, keys: list[str]) -> DataFrame:
 def running_totals(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     """(user_id, events, longest_gap): a user's events so far and the longest time between two of them, in seconds.
 
-    A stateful operator over batches in order of time: the state of a user is a count, the latest time and the gap.
+    A stateful operator over batches in order of time: the state of a user is a count, the latest time and the gap, in
+    whole microseconds. A batch may bring a user's events in any order and in several frames: their times are put
+    together and sorted. Events without a time count and have no gap.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     def update(key, frames, state):
+        import numpy as np
         import pandas as pd
 
-        count, last, gap = state.get if state.exists else (0, None, 0.0)
+        count, last, gap = state.get if state.exists else (0, None, 0)
+        times = []
         for frame in frames:
-            for at in frame["at"].sort_values():
-                gap = max(gap, at - last) if last is not None else gap
-                last = at if last is None else max(at, last)
-                count += 1
+            count += len(frame)
+            times.append(frame["at"].dropna().to_numpy("int64"))
+        at = np.sort(np.concatenate(times))
+        if last is not None:
+            at = np.concatenate([[last], at[at > last]])
+        if len(at):
+            last = int(at[-1])
+            gap = max(gap, int(np.diff(at).max(initial=0)))
         state.update((count, last, gap))
-        yield pd.DataFrame({"user_id": [key[0]], "events": [count], "longest_gap": [gap]})
+        yield pd.DataFrame({"user_id": [key[0]], "events": [count], "longest_gap": [gap / 1e6]})
 
-    timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at")).withColumn("at", F.col("at") / 1e6)
-    return timed.groupBy("user_id").applyInPandasWithState(update, "user_id long, events long, longest_gap double", "count long, last double, gap double", "update", GroupStateTimeout.NoTimeout)
+    timed = events.select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return timed.groupBy("user_id").applyInPandasWithState(update, "user_id long, events long, longest_gap double", "count long, last long, gap long", "update", GroupStateTimeout.NoTimeout)
