@@ -194,3 +194,20 @@ def test_running_totals_over_frames_in_any_order(spark, tmp_path):
     events.coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
     found = {r.user_id: (r.events, r.longest_gap) for r in queries.stream_stateful(spark, str(tmp_path)).collect()}
     assert found == {7: (20000, 1.000003), 8: (3, 86399.999999), 9: (1, 0.0), None: (2, 0.000003)}
+
+
+def test_cross_statement_flow_builds_no_pairs_of_writers_and_readers(spark):
+    from tidemark.plans.views import cross_statement_flow
+
+    n = 400  # statements 0, 1, 4, 5, ... write a table that the others read
+    nodes = [("p", "t", i, "table", "t") for i in range(n)] + [("p", "t", 2, "view", "v"), ("p", "t", None, "table", "t"), ("p", None, 9, "table", "t"), ("q", "t", 3, "table", "t")]
+    edges = [("p", "data_flow", i, "s", "t") for i in range(n) if i % 4 < 2] + [("p", "ownership", 3, "s", "t")]
+    t = {
+        "nodes": spark.createDataFrame(nodes, "project_id string, id string, statement_id int, node_type string, qualified_name string"),
+        "edges": spark.createDataFrame(edges, "project_id string, edge_type string, statement_id int, from_node_id string, to_node_id string"),
+        "statements": spark.createDataFrame([("p", i, i, f"f{i}") for i in range(n)], "project_id string, id int, statement_index int, source_name string"),
+    }
+    out = cross_statement_flow(t)
+    assert not any(" > " in x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    found = sorted((r.from_statement, r.to_statement, r.shared_object) for r in out.collect())
+    assert found == sorted([(i - i % 4 + 1, i, "t") for i in range(n) if i % 4 > 1] + [(1, 2, "v")])

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemark.scratch import cut, drop_cut
@@ -215,12 +216,16 @@ def cross_statement_flow(t: Tables) -> DataFrame:
     """Relations that one statement writes and a later one reads: the last writer before each reader.
 
     An edge never spans statements in these tables, so a join of edges with both ends' statements would always be empty.
+    A relation's statements are put in order once and the last writer runs along; no pair of a writer and a reader is built.
     """
-    relations = t["nodes"].where(F.col("node_type").isin("table", "view"))
-    target = t["edges"].where(F.col("edge_type") == "data_flow").select("project_id", "statement_id", F.col("to_node_id").alias("id")).distinct()
-    written = relations.join(target, ["project_id", "statement_id", "id"], "left_semi").select("project_id", "id", F.col("statement_id").alias("writer"))
-    read = relations.join(target, ["project_id", "statement_id", "id"], "left_anti").select("project_id", "id", "qualified_name", F.col("statement_id").alias("reader"))
-    pairs = read.join(written, ["project_id", "id"]).where("reader > writer").groupBy("project_id", "id", "qualified_name", "reader").agg(F.max("writer").alias("writer"))
+    key = ["project_id", "statement_id", "id"]
+    relations = t["nodes"].where(F.col("node_type").isin("table", "view")).dropna(subset=key).select(*key, "qualified_name").distinct()
+    target = t["edges"].where(F.col("edge_type") == "data_flow").select("project_id", "statement_id", F.col("to_node_id").alias("id")).distinct().withColumn("_writes", F.lit(True))
+    along = W.partitionBy("project_id", "id").orderBy("statement_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    last = F.max(F.when(F.col("_writes"), F.col("statement_id"))).over(along)
+    # what a statement writes it doesn't read
+    seen = relations.join(target, key, "left").withColumn("writer", last).where("_writes IS NULL AND writer IS NOT NULL")
+    pairs = seen.select("project_id", "qualified_name", F.col("statement_id").alias("reader"), "writer")
     s = lambda role: t["statements"].select("project_id", F.col("id").alias(role), F.col("source_name").alias(f"{role}_source"), F.col("statement_index").alias(f"{role}_statement"))
     j = pairs.join(s("writer"), ["project_id", "writer"]).join(s("reader"), ["project_id", "reader"])
     return j.select("project_id", F.col("writer_source").alias("from_source"), F.col("writer_statement").alias("from_statement"), F.col("reader_source").alias("to_source"), F.col("reader_statement").alias("to_statement"), F.col("qualified_name").alias("shared_object"), F.lit("cross_statement").alias("edge_type"))
