@@ -211,3 +211,14 @@ def test_cross_statement_flow_builds_no_pairs_of_writers_and_readers(spark):
     assert not any(" > " in x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
     found = sorted((r.from_statement, r.to_statement, r.shared_object) for r in out.collect())
     assert found == sorted([(i - i % 4 + 1, i, "t") for i in range(n) if i % 4 > 1] + [(1, 2, "v")])
+
+
+def test_user_aggregate_never_holds_a_group(spark):
+    from tidemark.functions import custom
+
+    rows = [("a", 1, 2.0)] * 15000 + [("a", 1, 8.0)] * 15000 + [("a", 1, None), ("a", 1, -3.0), ("a", None, 5.0), (None, 2, 7.0), ("b", 3, 0.0)]
+    out = custom.geometric_mean(spark.createDataFrame(rows, "k string, j long, v double").coalesce(1), ["k", "j"], "v", "g")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
+    found = {(r.k, r.j): r.g and round(r.g, 9) for r in out.collect()}
+    assert found == {("a", 1): 4.0, ("a", None): 5.0, (None, 2): 7.0, ("b", 3): None}

@@ -12,7 +12,7 @@ from functools import cache
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -224,16 +224,29 @@ def similarity(a: Column, b: Column) -> Column:
     return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e)) / F.size(a)
 
 
-def geometric_mean():
-    """A user-defined aggregate: the geometric mean of a group's positive values, as a grouped Arrow-batched function."""
+def geometric_mean(rows: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
+    """A user-defined aggregate: for each group the geometric mean of its positive values, null if it has none.
 
-    @F.pandas_udf("double")
-    def mean(v: pd.Series) -> float:
-        import numpy as np
+    Python adds up logarithms within each Arrow batch, and Spark what the batches say; no group is ever held as a whole.
+    """
 
-        return float(np.exp(np.log(v[v > 0].astype(float)).mean()))
+    def add(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-    return mean
+        for batch in batches:
+            v = batch.column("_value")
+            log = pc.ln(pc.if_else(pc.greater(v, 0), v, None))
+            t = pa.table([*[batch.column(f"_key{i}") for i in range(len(keys))], log], names=[*named, "_log"])
+            sums = t.group_by(named).aggregate([("_log", "sum"), ("_log", "count")])
+            yield from sums.select([*named, "_log_sum", "_log_count"]).to_batches()
+
+    named = [f"_key{i}" for i in range(len(keys))]
+    own = rows.select(*[F.col(k).alias(n) for k, n in zip(keys, named, strict=True)], F.col(value).cast("double").alias("_value"))
+    kinds = "".join(f"{n} {dict(own.dtypes)[n]}, " for n in named)
+    sums = own.mapInArrow(add, f"{kinds}_log_sum double, _log_count long").groupBy(*named)
+    mean = F.exp(F.sum("_log_sum") / F.nullif(F.sum("_log_count"), F.lit(0)))
+    return sums.agg(mean.alias("_mean")).select(*[F.col(n).alias(k) for n, k in zip(named, keys, strict=True)], F.col("_mean").alias(name))
 
 
 def word_places():

@@ -102,7 +102,8 @@ def fn_aggregate(spark, sf):
 
 @query("""SELECT l_returnflag, round(exp(avg(ln(l_quantity))), 6) AS g FROM lineitem WHERE l_quantity > 0 GROUP BY l_returnflag""")
 def fn_user_aggregate(spark, sf):
-    return read(spark, sf, "lineitem").groupBy("l_returnflag").agg(F.round(custom.geometric_mean()(F.col("l_quantity")), 6).alias("g"))
+    means = custom.geometric_mean(read(spark, sf, "lineitem").where("l_quantity > 0"), ["l_returnflag"], "l_quantity", "g")
+    return means.withColumn("g", F.round("g", 6))
 
 
 @query("""SELECT p_partkey, (i - 1)::INT AS place, list_extract(string_split(p_name, ' '), i) AS word FROM (SELECT p_partkey, p_name, unnest(range(1, len(string_split(p_name, ' ')) + 1)) AS i FROM part)""")
