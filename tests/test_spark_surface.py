@@ -222,3 +222,24 @@ def test_user_aggregate_never_holds_a_group(spark):
     assert "AggregateInPandas" not in plan and "ArrowAggregatePython" not in plan
     found = {(r.k, r.j): r.g and round(r.g, 9) for r in out.collect()}
     assert found == {("a", 1): 4.0, ("a", None): 5.0, (None, 2): 7.0, ("b", 3): None}
+
+
+def test_closures_broadcast_no_more_than_a_bound(spark, tmp_path, monkeypatch):
+    from tidemark.plans import views
+
+    plans = []
+    cut = views.cut
+    monkeypatch.setattr(views, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    monkeypatch.setattr(views, "SMALL", 2, raising=False)
+    spark.createDataFrame([("p", c, "column", f"t.{c}", c) for c in "abcd"] + [("p", "t", "table", "t", "t")], "project_id string, id string, node_type string, qualified_name string, label string").write.parquet(f"{tmp_path}/nodes")
+    flows = [("p", x, y, "derivation", f"{x}{y}") for x, y in ("ab", "ac", "bd", "cd")] + [("p", "t", "a", "data_flow", None)]
+    spark.createDataFrame(flows, "project_id string, from_node_id string, to_node_id string, edge_type string, expression string").write.parquet(f"{tmp_path}/edges")
+    t = {"nodes": spark.read.parquet(f"{tmp_path}/nodes"), "edges": spark.read.parquet(f"{tmp_path}/edges")}
+    paths = [*flows[:4], ("p", "a", "d", None, "bd"), ("p", "a", "d", None, "cd")]
+    for view, start, end, last in ((views.column_descendants, 1, 2, ("bd", "cd")), (views.column_ancestors, 2, 1, ("ab", "ac"))):
+        out = view(t)
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+        expected = [(p[start], p[end], 1, p[4]) for p in paths[:4]] + [("ad"[start - 1], "ad"[end - 1], 2, x) for x in last]
+        assert sorted((r[2], r[4], r.depth, r.transformation) for r in out.collect()) == sorted(expected)
+    wide = [p for p in plans if "Broadcast" in p]
+    assert len(wide) == 2  # the two frontiers of two rows, one of each view

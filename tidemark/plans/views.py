@@ -20,6 +20,8 @@ RELATIONS = ("table", "view", "cte")
 FLOWS = ("data_flow", "derivation")
 #: Steps that a column's closure follows.
 DEPTH = 50
+#: Rows of a closure's frontier up to which it is broadcast.
+SMALL = 10_000
 
 
 def view(f: Callable[[Tables], DataFrame]) -> Callable[[Tables], DataFrame]:
@@ -60,16 +62,19 @@ def closure(edges: DataFrame, start: str, end: str, depth: int = DEPTH, paths: b
     Without paths, every (start, end, depth) once and no expression: as many paths as meet again are one, so a level never
     has more rows than there are pairs, in a graph full of diamonds and around a cycle too. The frontier of each length
     is written to the shared folder and joined with the edges once more, until it's empty; the plan never grows with the
-    depth but for the levels it reads.
+    depth but for the levels it reads. Only a frontier of up to SMALL rows is broadcast: the size of a file says little
+    about its rows in memory, so the larger ones, and the columns' names, are merged.
     """
     flows = edges.where(F.col("edge_type").isin(*FLOWS))
     once = (lambda df: df) if paths else (lambda df: df.drop("expression").distinct())
     step = cut(once(flows.select("project_id", F.col(start).alias("_at"), F.col(end).alias("_next"), "expression")))
     last = ["expression"] if paths else []
-    frontier = cut(once(flows.select("project_id", F.col(start).alias("start"), F.col(end).alias("end"), F.lit(1).alias("depth"), "expression")))
+    frontier = cut(step.select("project_id", F.col("_at").alias("start"), F.col("_next").alias("end"), F.lit(1).alias("depth"), *last))
     levels = [frontier]
-    while len(levels) < depth and not frontier.isEmpty():
-        more = frontier.drop("expression").join(step.withColumnRenamed("_at", "end"), ["project_id", "end"]).select("project_id", "start", F.col("_next").alias("end"), (F.col("depth") + 1).alias("depth"), *last)
+    while len(levels) < depth and (size := frontier.count()):
+        near = F.broadcast(frontier.drop("expression")) if size <= SMALL else frontier.drop("expression").hint("merge")
+        beyond = step.withColumnRenamed("_at", "end")
+        more = near.join(beyond if size <= SMALL else beyond.hint("merge"), ["project_id", "end"]).select("project_id", "start", F.col("_next").alias("end"), (F.col("depth") + 1).alias("depth"), *last)
         frontier = cut(more if paths else more.distinct())
         levels.append(frontier)
     drop_cut(step)
@@ -82,10 +87,10 @@ def closure(edges: DataFrame, start: str, end: str, depth: int = DEPTH, paths: b
 def _named_closure(t: Tables, start: str, end: str, far: str, paths: bool = True) -> DataFrame:
     columns = t["nodes"].where("node_type = 'column'")
     # a flow that leaves a column only ever meets columns: flows between relations need not be followed
-    own = columns.select("project_id", F.col("id").alias("from_node_id")).distinct()
+    own = columns.select("project_id", F.col("id").alias("from_node_id")).distinct().hint("merge")
     c = closure(t["edges"].join(own, ["project_id", "from_node_id"], "left_semi"), start, end, paths=paths)
-    here = columns.select("project_id", F.col("id").alias("start"), F.col("qualified_name").alias("column_table"), F.col("label").alias("column_name"))
-    there = columns.select("project_id", F.col("id").alias("end"), F.col("qualified_name").alias(f"{far}_table"), F.col("label").alias(f"{far}_column"))
+    here = columns.select("project_id", F.col("id").alias("start"), F.col("qualified_name").alias("column_table"), F.col("label").alias("column_name")).hint("merge")
+    there = columns.select("project_id", F.col("id").alias("end"), F.col("qualified_name").alias(f"{far}_table"), F.col("label").alias(f"{far}_column")).hint("merge")
     j = c.join(here, ["project_id", "start"]).join(there, ["project_id", "end"])
     return j.select("project_id", "column_table", "column_name", f"{far}_table", f"{far}_column", "depth", *([F.col("expression").alias("transformation")] if paths else []))
 
